@@ -24,7 +24,7 @@ from quillon.llm._batch import drop_written, mix, slices, utf8, windows, word_ha
 from quillon.llm._rows import keyed, without
 from quillon.llm.components import components
 
-SHINGLE, SKETCH, THRESHOLD, SLACK = 3, 64, 0.5, 0.12
+SHINGLE, SKETCH, THRESHOLD, SLACK = 3, 64, 0.6, 0.1
 
 
 def _sets(text: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,15 +86,16 @@ class _Search:
         self.nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("node2", "k1", "k2", "least")).alias("x")).select("node", "x.*"))
         held = self.nodes.select("node", F.size("least").alias("s"), F.explode("least").alias("v"))
         held = held.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("f > 1")
-        need = F.ceil(F.lit(threshold - slack) * F.col("s"))
+        # a set so small that every partner's sketch is its whole set needs no slack
+        need = F.ceil(F.when(F.col("s") <= sketch * threshold, threshold).otherwise(threshold - slack) * F.col("s") - 1e-9)
         by_node = Window.partitionBy("node")
         first = held.withColumns({"r": F.row_number().over(by_node.orderBy("f", "v")), "q": F.count(F.lit(1)).over(by_node)})
         # the s - q values that no other sketch holds come first in the order
         self.lists = written(first.where((F.col("q") >= need) & (F.col("r") <= F.col("q") - need + 1)).select("v", "node"))
         self.tested = self.edges = self.spark.createDataFrame([], "a long, b long")
 
-    def compare(self, pairs: DataFrame) -> int:
-        """Adds the pairs (a, b) that reach the threshold to edges, and gives their number."""
+    def compare(self, pairs: DataFrame) -> tuple[int, int]:
+        """Adds the pairs (a, b) that reach the threshold to edges; gives their number and that of the pairs tried."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = written(pairs.join(self.tested, ["a", "b"], "left_anti"))
         self.tested = self.tested.unionByName(pairs)
@@ -113,7 +114,7 @@ class _Search:
         good = written(good)
         self.edges = self.edges.unionByName(good)
         drop_written(whole)
-        return good.count()
+        return good.count(), pairs.count()
 
     def roots(self) -> DataFrame:
         return written(components(self.edges))
@@ -134,11 +135,11 @@ class _Search:
             left = by.agg(F.sum(F.col("n") * F.col("n") - F.col("same")).alias("p"), F.sum("n").alias("n")).first()
             if not left["p"]:
                 return roots
-            if turn and (left["p"] <= 8 * left["n"] + 100_000 or not found):
+            if turn and (left["p"] <= 8 * left["n"] or found < 0.05 * tried):
                 break
             rank = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("node"), F.col("root").alias("root"))
             led = listed.withColumn("lead", F.min(rank).over(Window.partitionBy("v"))).where("lead.root != root")
-            found = self.compare(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+            found, tried = self.compare(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
             roots = self.roots()
             drop_written(listed)
             turn += 1
@@ -173,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A group is a connected component of the pairs whose sets of lower-case word windows (shingle words; a shorter text
     is one window) have a Jaccard similarity of at least threshold. The least id of a group stays, null ids last, ties
     by text. Sketches of that many values are pruned below threshold - slack, so a pair just at the threshold is missed
-    with a chance of about 3 %. A null or empty text, and one without words, has no set: it is no copy of anything. A
+    with a chance of about 5 %. A null or empty text, and one without words, has no set: it is no copy of anything. A
     row that repeats another's id and text goes, with kept_id equal to doc_id if the first of them stays. Other columns
     are not read; their names don't matter. An empty table gives an empty result.
     """
