@@ -7,19 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._batch import written
+from quillon.llm.exact_dedup import drop_exact_duplicates
+from quillon.llm.language_id import keep_identified
 from quillon.llm.near_dedup import drop_near_duplicates
+from quillon.llm.packing import pack
+from quillon.llm.secrets import redact_secrets
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the classifier can tell stay; null texts and texts without letters go."""
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id stays of those with the same bytes."""
+    return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """The document of least id stays of each group of near copies."""
     return drop_near_duplicates(docs)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; what holds a secret, encoded or not, is replaced, and n_chars follows."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The windows, each with the spans of documents it holds."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
 ]
 
-# Classifiers, decoders and dynamic programs have no SQL; tests hold each stage against a brute-force version.
+# A trained classifier, recursive decoding and a dynamic program have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
