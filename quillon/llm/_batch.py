@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -66,6 +67,35 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FILTER_BITS = 27
+
+
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A filter of 2^27 bits (16 MB, however many keys there are) that has the bit of every key (a hash) set.
+
+    Keys far beyond its size fill it, and then it passes all; what it passes must be joined with the keys in any case.
+    """
+    place = F.shiftrightunsigned(key, 64 - FILTER_BITS)
+    words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def passing(docs: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
+    """The rows of docs whose key may be in the filter, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+    at = docs.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(at).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            yield batch.filter(pa.array((held.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def utf8(column: pa.Array, lower: bool = False) -> pa.Array:
     """column as string with nulls as empty texts."""
     column = pc.fill_null(column, "")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm._batch import drop_written, mix, slices, utf8, windows, word_hashes, written
+from quillon.llm._batch import drop_written, key_filter, mix, passing, slices, utf8, windows, word_hashes, written
 from quillon.llm._rows import keyed, without
 from quillon.llm.components import components
 
@@ -105,9 +105,11 @@ class _Search:
         likely = both.where(F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) >= F.lit(self.threshold - self.slack) * F.size("u")).select("a", "b")
         likely = written(likely)
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        keys = ends.join(self.nodes.select("node", "k1", "k2"), "node")
-        texts = self.docs.select("k1", "k2", "text").join(keys, ["k1", "k2"])
-        whole = written(_whole_sets(texts, self.shingle).dropDuplicates(["node"]))
+        keys = written(ends.join(self.nodes.select("node", "k1", "k2"), "node"))
+        # texts of no likely pair stay where they are
+        maybe = passing(self.docs.select("k1", "k2", "text"), "k1", key_filter(keys, "k1"))
+        texts = maybe.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        whole = written(_whole_sets(texts, self.shingle))
         sets = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         good = sets.withColumn("o", shared).where(F.col("o") >= self.threshold * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
