@@ -124,7 +124,8 @@ class TextIndex:
         by_term = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
         starts = None
         for i, w in enumerate(words):
-            here = F.transform(F.col("at")[w], lambda p, i=i: p - i)
+            shift = F.lit(i)
+            here = F.transform(F.col("at")[w], lambda p: p - shift)  # evaluated at once, so shift is this word's
             starts = here if starts is None else F.array_intersect(starts, here)
         return by_term.select("id", F.size(starts).cast("long").alias("n")).where("n > 0")
 

@@ -124,6 +124,8 @@ def fit(vectors: DataFrame, config: KMeansConfig = KMeansConfig(), init: np.ndar
             return np.zeros((0, 0))
         some = source.orderBy(F.xxhash64(F.lit(config.seed), "vector")).limit(INIT_SAMPLE).toArrow()
         sample = matrix(some.column("vector"))
+        if n <= INIT_SAMPLE:  # the sample is all there is
+            return fit_local(sample, config.num_clusters, config.max_iterations, config.seed)
         init = plus_plus(sample, min(config.num_clusters, len(sample)), config.seed)
     centers = np.array(init, np.float64)
     for _ in range(config.max_iterations):
