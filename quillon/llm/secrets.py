@@ -78,7 +78,7 @@ class Layer:
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}|[A-Za-z0-9+/_-]{16,})={0,2}(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}|[A-Za-z0-9+/_-]{16,})(?:(?:%3[Dd]){1,2}|={0,2})(?![A-Za-z0-9+/_=-])")
 _TO_STANDARD = str.maketrans("-_", "+/", "\r\n")
 
 
@@ -163,7 +163,7 @@ def _as_text(data: bytes) -> str | None:
 def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
     """The layers that the base64 runs of layer hold; of one too large its span and path."""
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").translate(_TO_STANDARD)
+        run = m[0].partition("%")[0].rstrip("=").translate(_TO_STANDARD)
         if len(run) % 4 == 1 or len(run) < 16:
             continue
         try:
