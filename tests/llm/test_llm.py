@@ -107,6 +107,22 @@ def test_near_against_all_pairs(spark):
     assert len(found & want) >= 0.9 * len(want) and not found - want
 
 
+def test_near_copies_between_a_half_and_more(spark):
+    """The similarity asked for is 0.5 whatever the module says: copies with a passage added, 0.5 to 0.6 alike, and others below."""
+    rows, want = [], set()
+    for i in range(60):
+        n, add = 120 + i, 0.72 + 0.2 * (i % 20) / 20 if i % 3 else 1.3
+        base = [f"w{i}x{j}" for j in range(n)]
+        copy = base + [f"v{i}x{j}" for j in range(int(n * add))]
+        alike = (n - 2) / (len(copy) - 2)
+        assert alike < 0.45 or 0.5 < alike < 0.6
+        rows += [(2 * i, " ".join(base), "en", "s"), (2 * i + 1, " ".join(copy), "en", "s")]
+        if alike > 0.5:
+            want.add((2 * i + 1, 2 * i))
+    found = {tuple(r) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert len(found & want) >= 0.9 * len(want) and not found - want
+
+
 def test_fingerprint_spans():
     text = "abracadabra abracadabra x"
     p = fingerprint.Prefix(text)
