@@ -2,8 +2,8 @@
 
 Each text is the first layer of a worklist. A layer is scanned for secrets and then decoded: URL escapes, Unicode
 escapes and character references as a whole, every run of base64 on its own, and compressed bytes wherever decoding
-yields them. Each new layer joins the worklist until no decoder finds anything new; a layer that was there before is not
-entered again, so encodings that lead back to themselves end. Every layer knows which span of its parent each of its
+yields them. Each new layer joins the worklist until no decoder finds anything new; a layer that was there before for the
+same span of the text is not entered again, so encodings that lead back to themselves end. Every layer knows which span of its parent each of its
 spans comes from, so a finding in any depth is told by its place in the text.
 """
 
@@ -181,12 +181,12 @@ def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
 
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """(rule, start, end, depth, path, hash of the secret) of each secret, sorted by place; path names the decoders."""
-    found: dict[tuple[str, int, int], tuple[int, str, str]] = {}
-    work, seen = deque([Layer(text)]), {text}
+    found: dict[tuple[str, int, int, str], tuple[int, str]] = {}
+    work, seen = deque([Layer(text)]), {(text, 0, len(text))}
 
     def note(rule: str, layer: Layer, start: int, end: int, path: tuple[str, ...], secret: str) -> None:
         digest = hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
-        found.setdefault((rule, *layer.origin(start, end)), (len(path), ">".join(path), digest))
+        found.setdefault((rule, *layer.origin(start, end), digest), (len(path), ">".join(path)))
 
     while work:
         layer = work.popleft()
@@ -207,10 +207,10 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
             else:
                 note("oversize_layer", layer, child[0], child[1], child[2], layer.text[child[0] : child[1]])
         for child in new:
-            if child is not None and child.text not in seen:
-                seen.add(child.text)
+            if child is not None and (key := (child.text, *child.origin(0, len(child.text)))) not in seen:
+                seen.add(key)
                 work.append(child)
-    return sorted((rule, start, end, *rest) for (rule, start, end), rest in found.items())
+    return sorted((rule, start, end, *rest, digest) for (rule, start, end, digest), rest in found.items())
 
 
 def redact(text: str) -> str:
@@ -234,7 +234,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     start and end are the characters of the text that hold the secret, encoded or not; depth is the number of decoders
     and path names them from the outside, so "" is plain text. secret_hash is the head of the SHA-256 of the match: the
-    result itself holds no secret. A span is told once for a rule, from the outermost layer. A compressed layer of more
+    result itself holds no secret. A secret is told once for a rule and span, from the outermost layer. A compressed layer of more
     than 64 MB is told as oversize_layer. Null and empty texts have no findings; repeated rows have their findings
     again. Other columns are not read, and an empty table gives an empty result.
     """

@@ -199,6 +199,16 @@ def test_secrets_in_layers(wrap):
     assert secrets.scan("nothing to see %41 here " + "abcd" * 10) == []
 
 
+def test_secrets_that_repeat():
+    blob = base64.b64encode(f"the key is {KEY}".encode()).decode()
+    deep = base64.b64encode(gzip.compress(f"the key is {KEY}".encode())).decode()
+    text = f"one {blob} two {blob} three {deep} end"
+    assert len([f for f in secrets.scan(text) if f[0] == "aws_access_key"]) == 3
+    assert secrets.redact(text) == f"one {secrets.MASK} two {secrets.MASK} three {secrets.MASK} end"
+    both = base64.b64encode(f"{KEY} and AKIA{KEY[:3:-1]}".encode()).decode()
+    assert len({f[5] for f in secrets.scan(f"x {both} y") if f[0] == "aws_access_key"}) == 2
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n shared line \nend", "en", f"s{i}") for i in range(9)] + [(9, "shared line", "en", None), (10, None, "en", "s1")]
     found = {r["doc_id"]: r for r in line_dedup.drop_widespread_lines(docs(spark, rows)).collect()}
