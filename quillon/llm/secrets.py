@@ -10,7 +10,6 @@ spans comes from, so a finding in any depth is told by its place in the text.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -78,7 +77,10 @@ class Layer:
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]+)\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}|[A-Za-z0-9+/_-]{16,})(?:(?:%3[Dd]){1,2}|={0,2})(?![A-Za-z0-9+/_=-])")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{16,}+)(?:(?:%3[Dd]){1,2}|={1,2})?")
+_SIGN = re.compile(r"[/_-]")
+_COMPRESSED = (b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _TO_STANDARD = str.maketrans("-_", "+/", "\r\n")
 
 
@@ -160,23 +162,63 @@ def _as_text(data: bytes) -> str | None:
     return text if text and bad * 20 <= min(len(text), 4096) else None
 
 
+def _decoded(run: str) -> bytes:
+    run = run.translate(_TO_STANDARD)
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _clean(data: bytes) -> int:
+    """How many bytes from the first on are UTF-8 without control characters."""
+    try:
+        text = data.decode()
+    except UnicodeDecodeError as e:
+        text = data[: e.start].decode()
+    m = _CONTROL.search(text)
+    return len((text[: m.start()] if m else text).encode())
+
+
+def _parts(run: str) -> Iterator[tuple[int, int]]:
+    """Where base64 may begin and end within a run that its signs / - _ join to a path or a name."""
+    starts = [0, *(m.end() for m in _SIGN.finditer(run))]
+    ends = [*(x - 1 for x in starts[1:]), len(run)]
+    done = 0
+    for start in starts:
+        if start < done or len(run) - start < 16:
+            continue
+        head = _decoded(run[start : start + 12])
+        if head.startswith(_COMPRESSED) or head[:2] in (b"\xff\xfe", b"\xfe\xff") or head[1::2] == bytes(4) or head[::2] == bytes(5):
+            yield start, len(run)
+            if start == 0:
+                return
+        elif _clean(head) >= 7:
+            clean = _clean(_decoded(run[start:]))
+            end = max((e for e in ends[bisect_right(ends, start) :] if (e - start) * 3 // 4 <= clean), default=start)
+            if end - start < 16:
+                end = len(run)
+            else:
+                done = end
+            yield start, end
+
+
 def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
     """The layers that the base64 runs of layer hold; of one too large its span and path."""
     for m in _BASE64.finditer(layer.text):
-        run = m[0].partition("%")[0].rstrip("=").translate(_TO_STANDARD)
-        if len(run) % 4 == 1 or len(run) < 16:
-            continue
-        try:
-            data: bytes | None = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        path = (*layer.path, "base64")
-        while data and (found := _inflate(data)):
-            path, data = (*path, found[0]), found[1]
-        if data is None:
-            yield m.start(), m.end(), path
-        elif (text := _as_text(data)) is not None:
-            yield Layer(text, path, layer, [(0, m.start(), m.end(), False)])
+        run = m[0].partition("%")[0].rstrip("=")
+        places = [(0, len(run))]
+        if "\n" not in run and _SIGN.search(run) and _clean(whole := _decoded(run)) < len(whole):
+            places += [p for p in _parts(run) if p != places[0]]
+        for first, last in places:
+            data: bytes | None = _decoded(run[first:last])
+            path, met = (*layer.path, "base64"), set()
+            while data and data not in met and (found := _inflate(data)):
+                met.add(data)
+                path, data = (*path, found[0]), found[1]
+            span = m.start() + first, m.end() if last == len(run) else m.start() + last
+            if data is None:
+                yield *span, path
+            elif (text := _as_text(data)) is not None:
+                yield Layer(text, path, layer, [(0, *span, False)])
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:

@@ -209,6 +209,16 @@ def test_secrets_that_repeat():
     assert len({f[5] for f in secrets.scan(f"x {both} y") if f[0] == "aws_access_key"}) == 2
 
 
+@pytest.mark.parametrize("before, after", [("cfg=", ""), ("https://host/x?data=", "&n=1"), ("A_LONG_NAME_OF_MANY_WORDS=", " x"), ("https://host/p/", ""), ("https://host/path/", "/more/of/it"), ("name-", ""), ("a_b-", "-tail")])
+@pytest.mark.parametrize("pack", [str.encode, lambda s: gzip.compress(s.encode())])
+@pytest.mark.parametrize("code", [base64.b64encode, base64.urlsafe_b64encode])
+def test_secrets_in_paths_and_names(before, after, pack, code):
+    for more in ("", "?>~ü?>~~ " * 3):
+        run = code(pack(f"{KEY} {more}is the key {more}")).decode()
+        redacted = secrets.redact(f"see {before}{run}{after} end")
+        assert run[:24] not in redacted and redacted.startswith(f"see {before}{secrets.MASK}") and redacted.endswith(" end"), (run, redacted)
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n shared line \nend", "en", f"s{i}") for i in range(9)] + [(9, "shared line", "en", None), (10, None, "en", "s1")]
     found = {r["doc_id"]: r for r in line_dedup.drop_widespread_lines(docs(spark, rows)).collect()}
