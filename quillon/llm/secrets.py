@@ -84,11 +84,12 @@ _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _TO_STANDARD = str.maketrans("-_", "+/", "\r\n")
 
 
-def _url(run: str) -> str | None:
+def _url(run: str) -> str:
+    data = bytes.fromhex(run.replace("%", ""))
     try:
-        return bytes.fromhex(run.replace("%", "")).decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
+        return data.decode("latin-1")
 
 
 def _unicode(run: str) -> str | None:
@@ -129,37 +130,99 @@ def _runs(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | None:
 
 
 def _inflate(data: bytes) -> tuple[str, bytes | None] | None:
-    """(method, bytes) of compressed data, bytes None if there are too many; None if data is not compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", _bounded(zlib.decompressobj(31), data)
-        if data[:3] == b"BZh":
-            return "bzip2", _bounded(bz2.BZ2Decompressor(), data)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return "xz", _bounded(lzma.LZMADecompressor(), data)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MAX_LAYER + 1)
-            return "zstd", out if len(out) <= MAX_LAYER else None
-        if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
-            return "zlib", _bounded(zlib.decompressobj(), data)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
+    """(method, bytes) of compressed data, all its members, bytes None if there are too many; None if data is not compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return _members("gzip", lambda: zlib.decompressobj(31), data, b"\x1f\x8b")
+    if data[:3] == b"BZh":
+        return _members("bzip2", bz2.BZ2Decompressor, data, b"BZh")
+    if data[:6] == b"\xfd7zXZ\x00":
+        return _members("xz", lzma.LZMADecompressor, data, b"\xfd7zXZ\x00")
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return _zstd(data)
+    if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
+        return _members("zlib", zlib.decompressobj, data, data[:1])
     return None
 
 
-def _bounded(machine, data: bytes) -> bytes | None:
-    out = machine.decompress(data, MAX_LAYER + 1)
-    return out if len(out) <= MAX_LAYER else None
-
-
-def _as_text(data: bytes) -> str | None:
-    """data as text if it is UTF-8 that is mostly printable."""
+def _members(name: str, machine, data: bytes, magic: bytes) -> tuple[str, bytes | None] | None:
+    out: list[bytes] = []
+    size = 0
+    while data.startswith(magic):
+        try:
+            m = machine()
+            out.append(m.decompress(data, MAX_LAYER + 1 - size))
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            break
+        size += len(out[-1])
+        if size > MAX_LAYER:
+            return name, None
+        if not m.eof:
+            data = b""
+            break
+        data = m.unused_data.lstrip(b"\0")
+    # what follows the last member is bytes as they are
+    return (name, b"".join([*out, data])) if out else None
+
+
+def _zstd(data: bytes) -> tuple[str, bytes | None] | None:
+    out, size = [], 0
+    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+        try:
+            while size <= MAX_LAYER and (part := reader.read(min(1 << 16, MAX_LAYER + 1 - size))):
+                out.append(part)
+                size += len(part)
+        except zstandard.ZstdError:
+            pass
+    return ("zstd", b"".join(out) if size <= MAX_LAYER else None) if out else None
+
+
+def _as_texts(data: bytes) -> Iterator[str]:
+    """data as text: UTF-8, or a character a byte where it is none, and UTF-16 as well where it looks so."""
     try:
-        text = data.decode()
+        yield data.decode()
     except UnicodeDecodeError:
-        return None
-    bad = sum(not (c.isprintable() or c in "\r\n\t") for c in text[:4096])
-    return text if text and bad * 20 <= min(len(text), 4096) else None
+        yield data.decode("latin-1")
+    half = len(data) // 2
+    for order, mark, high in (("le", b"\xff\xfe", 1), ("be", b"\xfe\xff", 0)):
+        if half and (data.startswith(mark) or data[high::2].count(0) * 4 > half > data[1 - high :: 2].count(0) * 8):
+            yield data.decode(f"utf-16-{order}", "replace").removeprefix("\ufeff")
+
+
+#: a run that may hold compressed bytes by escapes, and its units
+_ESCAPED = re.compile(r"""(?:%1[Ff]%8[Bb]|\\x1[Ff]\\x8[Bb]|\\u001[Ff]\\u008[Bb]|&#31;&#139;|&#[xX]1[Ff];&#[xX]8[Bb];|(?:B|%42|\\x42|\\u0042|&#66;)(?:Z|%5[Aa]|\\x5[Aa]|\\u005[Aa]|&#90;)(?:h|%68|\\x68|\\u0068|&#104;)|%[Ff][Dd](?:7|%37)|\\x[Ff][Dd](?:7|\\x37)|\\u00[Ff][Dd](?:7|\\u0037)|&#253;|(?:\(|%28|\\x28|\\u0028|&#40;)(?:%[Bb]5|\\x[Bb]5|\\u00[Bb]5|&#181;)|(?:x|%78|\\x78|\\u0078|&#120;)(?:[\^]|%01|%5[Ee]|%9[Cc]|%[Dd][Aa]|\\x01|\\x5[Ee]|\\x9[Cc]|\\x[Dd][Aa]|\\u0001|\\u005[Ee]|\\u009[Cc]|\\u00[Dd][Aa]|&#1;|&#94;|&#156;|&#218;))[^\s"'<>]+""")
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,2})\}|&#([0-9]{1,3});|&#[xX]0*([0-9A-Fa-f]{1,2});|\\([nrt\\])|(.)", re.S)
+_LETTER = {"n": 10, "r": 13, "t": 9, "\\": 92}
+
+
+def _escaped(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+    """The layers of compressed bytes that URL, Unicode and \\x escapes or character references hold."""
+    for m in _ESCAPED.finditer(layer.text):
+        name = "url" if "%" in m[0][:6] else "unicode"
+        units = []
+        for u in _BYTE.finditer(m[0]):
+            if u[5]:
+                units.append(int(u[5]))
+            elif u[7]:
+                units.append(_LETTER[u[7]])
+            elif u[8]:
+                units.append(ord(u[8]))
+            else:
+                units.append(int(u[1] or u[2] or u[3] or u[4] or u[6], 16))
+        data = bytes(x for x in units if x < 256)
+        yield from _opened(layer, name, data, m.start(), m.end(), False)
+
+
+def _opened(layer: Layer, name: str, data: bytes | None, start: int, end: int, plain: bool = True) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+    """The layers of a run's bytes, inflated as often as they are compressed; unless plain, only if they are."""
+    path, met = (*layer.path, name), set()
+    while data and data not in met and (found := _inflate(data)):
+        met.add(data)
+        path, data = (*path, found[0]), found[1]
+    if data is None:
+        yield start, end, path
+    elif data and (plain or met):
+        for text in _as_texts(data):
+            yield Layer(text, path, layer, [(0, start, end, False)])
 
 
 def _decoded(run: str) -> bytes:
@@ -192,8 +255,11 @@ def _parts(run: str) -> Iterator[tuple[int, int]]:
             if start == 0:
                 return
         elif _clean(head) >= 7:
-            clean = _clean(_decoded(run[start:]))
-            end = max((e for e in ends[bisect_right(ends, start) :] if (e - start) * 3 // 4 <= clean), default=start)
+            size = 64
+            while (clean := _clean(_decoded(run[start : start + size]))) > size // 4 * 3 - 4 and start + size < len(run):
+                size *= 2
+            i = bisect_right(ends, start + (clean * 4 + 3) // 3)
+            end = ends[i - 1] if i else start
             if end - start < 16:
                 end = len(run)
             else:
@@ -207,28 +273,24 @@ def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
         run = m[0].partition("%")[0].rstrip("=")
         places = [(0, len(run))]
         if "\n" not in run and _SIGN.search(run) and _clean(whole := _decoded(run)) < len(whole):
-            places += [p for p in _parts(run) if p != places[0]]
+            places = [p for p in _parts(run) if p != places[0]] + places
         for first, last in places:
-            data: bytes | None = _decoded(run[first:last])
-            path, met = (*layer.path, "base64"), set()
-            while data and data not in met and (found := _inflate(data)):
-                met.add(data)
-                path, data = (*path, found[0]), found[1]
-            span = m.start() + first, m.end() if last == len(run) else m.start() + last
-            if data is None:
-                yield *span, path
-            elif (text := _as_text(data)) is not None:
-                yield Layer(text, path, layer, [(0, *span, False)])
+            yield from _opened(layer, "base64", _decoded(run[first:last]), m.start() + first, m.end() if last == len(run) else m.start() + last)
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """(rule, start, end, depth, path, hash of the secret) of each secret, sorted by place; path names the decoders."""
     found: dict[tuple[str, int, int, str], tuple[int, str]] = {}
+    spans: dict[tuple[str, str], set[tuple[int, int]]] = {}
     work, seen = deque([Layer(text)]), {(text, 0, len(text))}
 
     def note(rule: str, layer: Layer, start: int, end: int, path: tuple[str, ...], secret: str) -> None:
         digest = hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
-        found.setdefault((rule, *layer.origin(start, end), digest), (len(path), ">".join(path)))
+        first, last = layer.origin(start, end)
+        # a run that is decoded from its parts and as a whole gives a secret by the closer span
+        if not any(first <= a and b <= last and (a, b) != (first, last) for a, b in spans.get((rule, digest), ())):
+            spans.setdefault((rule, digest), set()).add((first, last))
+            found.setdefault((rule, first, last, digest), (len(path), ">".join(path)))
 
     while work:
         layer = work.popleft()
@@ -243,7 +305,8 @@ def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
             new.append(_runs(layer, "url", _URL, _url))
         if "\\" in layer.text or "&#" in layer.text:
             new.append(_runs(layer, "unicode", _UNICODE, _unicode))
-        for child in _base64(layer):
+        escaped = _escaped(layer) if any(x in layer.text for x in ("%", "\\", "&#")) else ()
+        for child in (*_base64(layer), *escaped):
             if isinstance(child, Layer):
                 new.append(child)
             else:

@@ -1,11 +1,17 @@
 """Every operator over nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, and against brute force."""
 
 import base64
+import bz2
 import gzip
+import io
+import lzma
+import tarfile
+import zlib
 from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 
 import corpus_pipeline
 from quillon.llm import bpe, exact_dedup, fingerprint, html_text, language_id, license_scan, line_dedup, near_dedup, packing, secrets
@@ -219,6 +225,30 @@ def test_secrets_in_paths_and_names(before, after, pack, code):
         assert run[:24] not in redacted and redacted.startswith(f"see {before}{secrets.MASK}") and redacted.endswith(" end"), (run, redacted)
 
 
+def _tar() -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("app/.env")
+        entry.size = len(KEY)
+        tar.addfile(entry, io.BytesIO(KEY.encode()))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("data", [_tar(), KEY.encode("utf-16"), f"the key is {KEY}".encode("utf-16-be"), b"\xff\xfe\xfd " + KEY.encode(), b"\0" * 5000 + KEY.encode()] + [f(b"first ") + f(KEY.encode()) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)])
+def test_secrets_in_whole_layers(data):
+    run = base64.b64encode(data).decode()
+    assert {f[0] for f in secrets.scan(f"before {run} after")} >= {"aws_access_key"}
+    assert secrets.redact(f"before {run} after") == f"before {secrets.MASK} after"
+
+
+@pytest.mark.parametrize("press", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("escape", [quote, lambda b: "".join(f"%{c:02x}" for c in b), lambda b: "".join(f"\\x{c:02x}" for c in b), lambda b: "".join(f"\\u{c:04x}" for c in b), lambda b: "".join(f"&#{c};" for c in b)])
+def test_secrets_compressed_in_escapes(press, escape):
+    run = escape(press(f"the key is {KEY}".encode()))
+    assert "aws_access_key" in {f[0] for f in secrets.scan(f"before {run} after")}
+    assert secrets.redact(f"before {run} after") in (f"before {secrets.MASK} after", f"before {run} after".replace(KEY, secrets.MASK))
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n shared line \nend", "en", f"s{i}") for i in range(9)] + [(9, "shared line", "en", None), (10, None, "en", "s1")]
     found = {r["doc_id"]: r for r in line_dedup.drop_widespread_lines(docs(spark, rows)).collect()}
