@@ -77,14 +77,16 @@ def _hits(docs: DataFrame, spark: SparkSession, templates: dict[str, str], k: in
 def candidates(docs: DataFrame, templates: dict[str, str], k: int, drift: int, votes: float) -> DataFrame:
     """(id, k1, k2, spans): spans are (license, low, high, votes), the words low to high - 1 that may be the licence."""
     spark = docs.sparkSession
+    # copies of a template in a row are a template's length apart: diagonals of two copies must not be neighbours
+    near = {name: min(drift, len(words_of(text)) - 1) for name, text in templates.items()}
     need = {name: max(1, int(np.ceil(votes * (len(words_of(text)) - k + 1)))) for name, text in templates.items()}
     rows = ["id", "k1", "k2", "license"]
     diagonals = _hits(docs, spark, templates, k).withColumn("diagonal", F.col("d") - F.col("t")).groupBy(*rows, "diagonal").agg(F.collect_set("t").alias("t"), F.min("d").alias("low"), F.max("d").alias("high"))
     order = Window.partitionBy(*rows).orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int"), F.lit(1))
+    by_license = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("license"))
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > by_license(near)).cast("int"), F.lit(1))
     merged = diagonals.withColumn("apart", apart).withColumn("run", F.sum("apart").over(order)).groupBy(*rows, "run").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("t"), F.min("low").alias("low"), F.max("high").alias("high"))
-    enough = F.element_at(F.create_map(*[F.lit(x) for pair in need.items() for x in pair]), F.col("license"))
-    spans = merged.where(F.size("t") >= enough).select(*rows, "low", (F.col("high") + k).alias("high"), F.size("t").alias("votes"))
+    spans = merged.where(F.size("t") >= by_license(need)).select(*rows, "low", (F.col("high") + k).alias("high"), F.size("t").alias("votes"))
     return spans.groupBy("id", "k1", "k2").agg(F.array_sort(F.collect_list(F.struct("license", "low", "high", "votes"))).alias("spans"))
 
 
@@ -94,12 +96,19 @@ def verify(words: np.ndarray, spans: list[dict], templates: dict[str, np.ndarray
     for s in spans:
         template = templates[s["license"]]
         room = max(4, len(template) // 8)
-        low = max(0, s["low"] - room)
-        span = words[low : s["high"] + room]
-        n, first, last = aligned(span, template)
-        like = 2 * n / (len(template) + last + 1 - first) if n else 0.0
-        if like >= similarity:
-            found.append((round(like, 6), n, s["license"], low + first, low + last + 1, s["votes"]))
+        # a run may hold several copies: what is left on both sides of one is aligned again
+        work = [(max(0, s["low"] - room), min(len(words), s["high"] + room))]
+        tried = {(s["low"], s["high"])}
+        while work:
+            low, high = work.pop()
+            n, first, last = aligned(words[low:high], template)
+            like = 2 * n / (len(template) + last + 1 - first) if n else 0.0
+            if like >= similarity:
+                found.append((round(like, 6), n, s["license"], low + first, low + last + 1, s["votes"]))
+                tried.clear()
+                work += [x for x in ((low, low + first), (low + last + 1, high)) if 2 * (x[1] - x[0]) >= similarity * len(template)]
+            elif tried:  # words around the run may have drawn the alignment apart
+                work.append(tried.pop())
     kept: list[tuple[str, int, int, int, float]] = []
     for like, _, name, low, high, n in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
         if all(high <= x[1] or low >= x[2] for x in kept):
@@ -111,7 +120,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, license, first_word, end_word, votes, similarity), a row for every licence found in a row of docs.
 
     A span is looked at if at least that share of a template's windows of k words vote for it, on diagonals at most
-    drift apart, and holds if twice the words in common with the template, in order, by the words of both is at least
+    drift apart (less for a shorter template), and holds if twice the words in common with the template, in order, by the words of both is at least
     similarity. Of licences that overlap the most similar stays, ties by more words, then by name. Words are runs of
     letters and digits in lower case, counted from 0. Null and empty texts have no findings; repeated rows have theirs
     again. Templates shorter than k words find nothing. Other columns are not read, and an empty table gives an empty

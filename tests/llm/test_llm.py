@@ -275,6 +275,18 @@ def test_licences(spark):
     assert one["similarity"] == 1 and one["first_word"] == n and one["end_word"] == n + len(license_scan.words_of(text))
 
 
+def test_licences_in_a_row(spark):
+    short = {n: t for n, t in license_scan.TEMPLATES.items() if 3 <= len(license_scan.words_of(t)) <= 9}
+    assert short
+    rows = [(i, between.join([t] * 4), "en", "s") for i, (t, between) in enumerate((t, b) for t in short.values() for b in ("\n", "\nsee also\n", "\none two three\n"))]
+    found = license_scan.license_scan(docs(spark, rows)).collect()
+    for i, name in enumerate(n for n in short for _ in range(3)):
+        assert [r["license"] for r in found if r["doc_id"] == i] == [name] * 4
+    words = license_scan.words_of("\n".join([next(iter(short.values()))] * 3))
+    run = [{"license": next(iter(short)), "low": 0, "high": len(words), "votes": 3}]
+    assert len(license_scan.verify(words, run, {n: license_scan.words_of(t) for n, t in short.items()}, 0.8)) == 3
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(name, matches_sql):
     matches_sql(QUERIES[name], ORACLES[name])
