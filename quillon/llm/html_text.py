@@ -28,10 +28,10 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes canvas audio video object datalist title svg math rp area param".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes canvas audio video object datalist title rp area param defs desc metadata symbol annotation annotation-xml".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset menu dir".split())
-BLOCKS = PARAGRAPHS | frozenset("html body address article aside center details dialog div dd dt fieldset figcaption footer form header hgroup legend li main nav search section summary optgroup tr caption thead tbody tfoot td th".split())
+BLOCKS = PARAGRAPHS | frozenset("html body address article aside center details dialog div dd dt fieldset figcaption footer form header hgroup legend li main nav search section summary optgroup tr caption thead tbody tfoot td th text".split())  # text: of svg
 CLOSES_P = PARAGRAPHS | frozenset("address article aside center details dialog div dd dt figcaption footer form header hgroup li main nav search section summary listing plaintext xmp".split())
 #: tag -> (open tags that it ends, tags beyond which it doesn't look)
 IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
@@ -48,6 +48,7 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 _P_SCOPE = frozenset("table td th caption button object html body".split())
 _END_SCOPE = frozenset("table td th caption".split())
 _TABLE_ONLY = frozenset("table thead tbody tfoot tr".split())
+_IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 _IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template".split())
 
 
@@ -94,6 +95,10 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in _P_SCOPE:
                     break
+        if name in _IN_TABLE and name not in ("script", "style", "template"):  # ends what stands before the table
+            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _TABLE_ONLY or stack[i].tag in ("td", "th", "caption")), 0)
+            if i and stack[i].tag in _TABLE_ONLY:
+                close(i + 1)
         if name in IMPLIED:
             ends, scope = IMPLIED[name]
             found = None
@@ -109,8 +114,19 @@ def parse(page: str) -> Node:
                 stack.append(stack[-1].children[-1])
         if stack[-1].tag == "head" and name not in _IN_HEAD:
             stack.pop()
+        if name == "table" and stack[-1].tag in _TABLE_ONLY:  # ends the table it stands in
+            close(max(i for i in range(1, len(stack)) if stack[i].tag == "table"))
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        table = max((i for i in range(1, len(stack)) if stack[i].tag == "table"), default=0)
+        if stack[-1].tag in _TABLE_ONLY and table and name not in _IN_TABLE:
+            if name == "form":  # stays empty
+                return
+            parent = stack[table - 1]
+            parent.children.insert(len(parent.children) - 1, node)
+        else:
+            stack[-1].children.append(node)
+        if attrs.endswith("/") and any(x.tag in ("svg", "math") for x in (*stack, node)):
+            return
         if name not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
 

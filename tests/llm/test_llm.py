@@ -264,6 +264,11 @@ def test_html():
     assert html_text.render("") == "" and html_text.render("<div>" * 3000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("page, want", [("<table><form><tr><td>text</td></tr></form></table>", "text"), ("<table><tr><form><td>text</td></form></tr></table>", "text"), ("<table><center><tr><td>text</table>end", "text\n\nend"), ("<table><div>text</div><tr><td>cell</table>", "text\n\ncell"), ("<table><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"), ("<svg><defs/><title>no</title><path d='x'/><text>one</text></svg>", "one"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "x=1")])
+def test_html_text_out_of_place(page, want):
+    assert html_text.render(page) == want
+
+
 def test_licences(spark):
     name = "MIT/full"
     text = license_scan.TEMPLATES[name]
