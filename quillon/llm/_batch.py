@@ -6,13 +6,15 @@ the working set of a Python worker stays small however large a batch or however
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -37,13 +39,16 @@ def fresh(df: DataFrame, base: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Where neither the session nor the context has one, as in tests, a folder under the warehouse directory is set.
+    Where neither the session nor the context has one, a folder under the warehouse directory is set on a local master,
+    as in tests; on a cluster that is an error, for no folder of one machine would do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -67,33 +72,37 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-FILTER_BITS = 27
+#: The largest filter: 32 MB, however many keys there are.
+MOST_BITS = 28
 
 
 def key_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A filter of 2^27 bits (16 MB, however many keys there are) that has the bit of every key (a hash) set.
+    """A filter that has the bit of every key (a 64-bit hash) set: 16 to 32 bits a key, 2^28 bits at most.
 
-    Keys far beyond its size fill it, and then it passes all; what it passes must be joined with the keys in any case.
+    Beyond 16 million keys it passes more and more of the others; what it passes must be joined with the keys in any
+    case, so that costs shuffle and loses nothing.
     """
-    place = F.shiftrightunsigned(key, 64 - FILTER_BITS)
+    bits = min(MOST_BITS, max(10, (32 * keys.count()).bit_length() - 1))
+    place = F.shiftrightunsigned(key, 64 - bits)
     words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2^22 rows at most
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return out.view(np.uint64)
 
 
-def passing(docs: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
-    """The rows of docs whose key may be in the filter, without a shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-    at = docs.columns.index(key)
+def may_hold(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
+    """A predicate on a key column: whether the filter may have it. Only the key goes to Python, not the row."""
+    held = spark.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(at).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            yield batch.filter(pa.array((held.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        words = held.value
+        shift = np.uint64(64 - (len(words) * 64).bit_length() + 1)
+        place = keys.to_numpy().view(np.uint64) >> shift
+        return pd.Series((words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return test
 
 
 def utf8(column: pa.Array, lower: bool = False) -> pa.Array:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batch import fresh
+from quillon.llm._batch import fresh, key_filter, may_hold
 
 
 def text_keys(text: Column) -> tuple[Column, Column]:
@@ -22,20 +22,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 def without(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """docs less the rows whose (id, text) is in dropped (id, k1, k2), with one row for each key in repeated.
 
-    Both tables hold a key once. The texts move once at most, for the anti-join; repeated is mostly empty.
+    Both tables hold a key once and are written ones. A filter of their keys tells most rows that surely stay from the
+    others, and only those others move for the joins.
     """
     a, b, c = (fresh(docs, f"_quillon_{x}") for x in ("a", "b", "c"))
     k1, k2 = text_keys(docs[text_col])
+    keys = dropped.select("k1") if repeated is None else dropped.select("k1").unionByName(repeated.select("k1"))
+    maybe = may_hold(docs.sparkSession, key_filter(keys, "k1"))
     marked = docs.withColumns({a: k1, b: k2})
+    stays, left = marked.where(~maybe(F.col(a))), marked.where(maybe(F.col(a)))
     named = lambda t: t.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("id").alias(c))
 
     def on(x: DataFrame, t: DataFrame) -> Column:
         return (x[a] == t[a]) & (x[b] == t[b]) & x[id_col].eqNullSafe(t[c])
 
     gone = named(dropped)
-    left = marked.join(gone, on(marked, gone), "left_anti")
+    left = left.join(gone, on(left, gone), "left_anti")
     if repeated is not None and not repeated.isEmpty():
         twice = named(repeated)
         one = left.join(twice, on(left, twice), "left_semi").dropDuplicates([id_col, a, b])
         left = left.join(twice, on(left, twice), "left_anti").unionByName(one)
-    return left.drop(a, b)
+    return stays.unionByName(left).drop(a, b)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm._batch import drop_written, key_filter, mix, passing, slices, utf8, windows, word_hashes, written
+from quillon.llm._batch import drop_written, key_filter, may_hold, mix, slices, utf8, windows, word_hashes, written
 from quillon.llm._rows import keyed, without
 from quillon.llm.components import components
 
@@ -83,7 +83,8 @@ class _Search:
     def __init__(self, docs: DataFrame, rows: DataFrame, shingle: int, sketch: int, threshold: float, slack: float):
         self.spark: SparkSession = docs.sparkSession
         self.docs, self.shingle, self.sketch, self.threshold, self.slack = docs, shingle, sketch, threshold, slack
-        self.nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("node2", "k1", "k2", "least")).alias("x")).select("node", "x.*"))
+        self.held: list[DataFrame] = []
+        self.nodes = self.keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("node2", "k1", "k2", "n", "least")).alias("x")).select("node", "x.*"))
         held = self.nodes.select("node", F.size("least").alias("s"), F.explode("least").alias("v"))
         held = held.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("f > 1")
         # a set so small that every partner's sketch is its whole set needs no slack
@@ -91,35 +92,42 @@ class _Search:
         by_node = Window.partitionBy("node")
         first = held.withColumns({"r": F.row_number().over(by_node.orderBy("f", "v")), "q": F.count(F.lit(1)).over(by_node)})
         # the s - q values that no other sketch holds come first in the order
-        self.lists = written(first.where((F.col("q") >= need) & (F.col("r") <= F.col("q") - need + 1)).select("v", "node"))
+        self.lists = self.keep(first.where((F.col("q") >= need) & (F.col("r") <= F.col("q") - need + 1)).select("v", "node"))
         self.tested = self.edges = self.spark.createDataFrame([], "a long, b long")
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a written table that is deleted with the search."""
+        self.held.append(written(df))
+        return self.held[-1]
+
     def compare(self, pairs: DataFrame) -> tuple[int, int]:
         """Adds the pairs (a, b) that reach the threshold to edges; gives their number and that of the pairs tried."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs.join(self.tested, ["a", "b"], "left_anti"))
+        pairs = self.keep(pairs.join(self.tested, ["a", "b"], "left_anti"))
         self.tested = self.tested.unionByName(pairs)
-        least = self.nodes.select("node", "least")
-        both = pairs.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+        sets = self.nodes.select("node", "n", "least")
+        both = pairs.join(sets.toDF("a", "na", "x"), "a").join(sets.toDF("b", "nb", "y"), "b")
+        # sets whose sizes are too far apart can't be that similar, whatever they share
+        both = both.where(F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))
         both = both.withColumn("u", F.slice(F.array_sort(F.array_union("x", "y")), 1, self.sketch))
-        likely = both.where(F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) >= F.lit(self.threshold - self.slack) * F.size("u")).select("a", "b")
-        likely = written(likely)
+        shared = F.size(F.array_intersect(F.array_intersect("u", "x"), "y"))
+        likely = written(both.where(shared >= F.lit(self.threshold - self.slack) * F.size("u")).select("a", "b"))
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         keys = written(ends.join(self.nodes.select("node", "k1", "k2"), "node"))
         # texts of no likely pair stay where they are
-        maybe = passing(self.docs.select("k1", "k2", "text"), "k1", key_filter(keys, "k1"))
-        texts = maybe.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        maybe = may_hold(self.spark, key_filter(keys, "k1"))
+        texts = self.docs.select("k1", "k2", "text").where(maybe(F.col("k1"))).join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
         whole = written(_whole_sets(texts, self.shingle))
         sets = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         good = sets.withColumn("o", shared).where(F.col("o") >= self.threshold * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
-        good = written(good)
+        good = self.keep(good)
         self.edges = self.edges.unionByName(good)
-        drop_written(whole)
+        drop_written(likely, keys, whole)
         return good.count(), pairs.count()
 
     def roots(self) -> DataFrame:
-        return written(components(self.edges))
+        return self.keep(components(self.edges))
 
     def listed(self, roots: DataFrame) -> DataFrame:
         """(v, node, root) of the lists that hold more than one component."""
@@ -130,14 +138,15 @@ class _Search:
     def run(self) -> DataFrame:
         """(node, root) of the nodes that have a partner."""
         roots = self.spark.createDataFrame([], "node long, root long")
-        turn = 0
+        turn = found = tried = 0
         while True:
             listed = written(self.listed(roots))
             by = listed.groupBy("v", "root").count().groupBy("v").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
             left = by.agg(F.sum(F.col("n") * F.col("n") - F.col("same")).alias("p"), F.sum("n").alias("n")).first()
             if not left["p"]:
+                drop_written(listed)
                 return roots
-            if turn and (left["p"] <= 8 * left["n"] or found < 0.05 * tried):
+            if turn and (left["p"] <= 8 * left["n"] or found <= 0.05 * tried):
                 break
             rank = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("node"), F.col("root").alias("root"))
             led = listed.withColumn("lead", F.min(rank).over(Window.partitionBy("v"))).where("lead.root != root")
@@ -148,13 +157,17 @@ class _Search:
         # what is left: every pair of one list that is not in one component, by way of the components' pairs
         own = listed.select("v", "root").distinct()
         across = own.toDF("v", "ra").join(own.toDF("v", "rb"), "v").where("ra < rb")
-        pairs = across.join(listed.toDF("v", "a", "ra"), ["v", "ra"]).join(listed.toDF("v", "b", "rb"), ["v", "rb"])
+        sized = listed.join(self.nodes.select("node", F.col("n").alias("size")), "node").select("v", "node", "root", "size")
+        pairs = across.join(sized.toDF("v", "a", "ra", "na"), ["v", "ra"]).join(sized.toDF("v", "b", "rb", "nb"), ["v", "rb"])
+        pairs = pairs.where(F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))
         self.compare(pairs.select("a", "b"))
+        drop_written(listed)
         return self.roots()
 
 
 def _decided(docs: DataFrame, shingle: int, sketch: int, threshold: float, slack: float) -> DataFrame:
-    """(id, k1, k2, m, kept) by distinct (id, text) with words: m rows have it, kept is its group's first (id, k1, k2)."""
+    """(id, k1, k2, m, kept) by distinct (id, text) of a group of several rows: m rows have it, kept is the group's first
+    (id, k1, k2). The result is a written table; what was written on the way is gone."""
     rows = written(_sketches(docs, shingle, sketch))
     search = _Search(docs, rows, shingle, sketch, threshold, slack)
     roots = search.run()
@@ -162,8 +175,10 @@ def _decided(docs: DataFrame, shingle: int, sketch: int, threshold: float, slack
     keys = rows.where("node IS NOT NULL").groupBy("id", "k1", "k2", "node", "node2").agg(F.count(F.lit(1)).alias("m"))
     # two sets that share node and not node2 are different: the second then stands alone
     grouped = keys.join(named, ["node", "node2"]).select("root", "id", "k1", "k2", "m")
-    first = grouped.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "k1", "k2")).alias("kept"))
-    return grouped.join(first, "root").select("id", "k1", "k2", "m", "kept")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "k1", "k2")).alias("kept"), F.sum("m").alias("size")).where("size > 1")
+    decided = written(grouped.join(first, "root").select("id", "k1", "k2", "m", "kept"))
+    drop_written(rows, *search.held)
+    return decided
 
 
 def _is_kept() -> F.Column:
@@ -189,8 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs with one row of each group of near_duplicates(), all columns as they are; rows without words all stay."""
     parameters = {"shingle": SHINGLE, "sketch": SKETCH, "threshold": THRESHOLD, "slack": SLACK} | parameters
-    decided = written(_decided(keyed(docs, id_col, text_col), **parameters))
-    gone = decided.where(~_is_kept()).select("id", "k1", "k2").distinct()
+    decided = _decided(keyed(docs, id_col, text_col), **parameters)
+    gone = decided.where(~_is_kept()).select("id", "k1", "k2")
     return without(docs, id_col, text_col, gone, decided.where(_is_kept() & (F.col("m") > 1)).select("id", "k1", "k2"))
 
 

@@ -82,12 +82,45 @@ def test_exact_groups(odd):
     assert sorted((r["doc_id"], r["kept_id"]) for r in exact_dedup.exact_duplicates(odd).collect()) == [(2, 1), (2, 1)]
     kept = exact_dedup.drop_exact_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == 8
-    assert exact_dedup.exact_duplicates(odd, capacity=1, bits=4).count() == 2
+    assert exact_dedup.exact_duplicates(odd, capacity=1).count() == 2
 
 
 def test_directory_doubles():
-    depth, slots, buckets = exact_dedup.directory({0: 5, 1: 5, 15: 1}, 5, 4)
-    assert depth == 4 and len(slots) == 16 and slots[0] != slots[1] and sum(n for *_, n in buckets) == 11
+    keys = {0x00: 5, 0x10: 5, 0xF0: 1, 0xF1: 9}
+
+    def sizes(d, parents):
+        out = {}
+        for k, n in keys.items():
+            out.setdefault(k << 8 >> (16 - d), []).append(n)
+        return {p: (sum(n), len(n)) for p, n in out.items()}
+
+    depth, buckets = exact_dedup.directory(sizes, 5, 16)
+    assert depth == 8 and sum(n for *_, n in buckets) == 20
+    assert [b[2] for b in buckets if b[2]] == [5, 5, 1, 9]  # a bucket of one key does not split
+    ranges = [(p << (16 - d), (p + 1) << (16 - d)) for p, d, _ in buckets]
+    assert ranges[0][0] == 0 and ranges[-1][1] == 1 << 16 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+    at = exact_dedup.slot(buckets, np.array([k << 8 for k in keys], np.uint64), 16)
+    assert all(ranges[i][0] <= k << 8 < ranges[i][1] for i, k in zip(at, keys))
+    assert exact_dedup.owners([(0, 2, 5), (1, 2, 5), (1, 1, 1)], 6) == [0, 1, 1]
+    assert exact_dedup.directory(lambda d, parents: {}, 5) == (0, [(0, 0, 0)])
+
+
+def test_texts_of_one_key_are_chained(spark, monkeypatch):
+    """With keys of a few bits, most texts share theirs with others: only bytes tell them apart."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i), f"text {rng.integers(60)}", "en", "s") for i in rng.permutation(300)] + [(None, "text 5", "en", "s"), (7000, None, "en", "s")]
+    table = docs(spark, rows)
+    few = lambda text: (F.pmod(F.xxhash64(text), F.lit(5)), F.lit(0).cast("long"))
+    monkeypatch.setattr("quillon.llm._rows.text_keys", few)
+    first = {}
+    for i, t, *_ in rows:
+        if t is not None:
+            first[t] = min((x for x in (first.get(t), i) if x is not None), default=None)
+    want = sorted((i, first[t]) for i, t, *_ in rows if t is not None and i != first[t] and i is not None)
+    found = [tuple(r) for r in exact_dedup.exact_duplicates(table, capacity=50).collect()]
+    assert sorted(x for x in found if x[0] is not None) == want and [x for x in found if x[0] is None] == [(None, first["text 5"])]
 
 
 def test_near_against_all_pairs(spark):
