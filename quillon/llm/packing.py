@@ -5,21 +5,25 @@ within a block a dynamic program chooses the windows: each holds at most window
 sentence's end, or within a sentence that is longer than a window itself; the cost is the padding of all windows plus a
 penalty for every document that a cut divides. The best predecessor of a place is the least of a sliding range, which a
 monotone queue gives in constant time.
+
+A first pass counts words; their running sums, over rows of a few bytes a document, tell where in the stream every task's
+range of blocks begins. Then the texts move once, to the task of their range, which packs one block after the other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quillon.llm._batch import slices, utf8, written
+from quillon.llm._batch import drop_written, slices, utf8, written
 from quillon.llm._rows import text_keys
 
 WINDOW, SENTENCE_PENALTY, WORD_PENALTY, BLOCK_WORDS = 1024, 32, 256, 1 << 19
@@ -28,8 +32,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def sentence_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each sentence, row of each sentence) of a slice.
+def sentence_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each sentence, row of each sentence, where each word begins) of a slice.
 
     A word is a run of bytes that are no ASCII white space. A sentence ends with a word that ends in . ! or ? and before
     a line break.
@@ -44,13 +48,13 @@ def sentence_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, n
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
     rows = np.searchsorted(offsets, starts, side="right") - 1
     if not len(starts):
-        return rows, rows
+        return rows, rows, starts
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     final = np.isin(data[ends], list(b".!?"))
     final[:-1] |= (breaks[starts[1:]] > breaks[ends[:-1]]) | (rows[1:] != rows[:-1])
     final[-1] = True
     at = np.flatnonzero(final)
-    return np.diff(at, prepend=-1), rows[at]
+    return np.diff(at, prepend=-1), rows[at], starts
 
 
 def cuts(position: list[int], penalty: list[int], window: int) -> list[int]:
@@ -96,89 +100,166 @@ def places(sentences: list[np.ndarray], window: int, sentence_penalty: int, word
     return end, kind
 
 
+def _weights(n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What a document counts for a block's size: its words, or as many as its bytes would be at 16 a word."""
+    return np.where(n > 0, np.maximum(n, size // 16), 0)
+
+
 def _lengths(docs: DataFrame) -> DataFrame:
+    """(id, k1, k2, weight) of the rows of (id, k1, k2, text) that have words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, offsets, data in slices(utf8(batch.column("text"))):
-                n = len(offsets) - 1
-                size, rows = sentence_words(offsets, data)
-                begin = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
-                total = np.bincount(rows, size, minlength=n).astype(np.int64)
-                part = batch.slice(first, n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), part.column("k2"), pa.array(total), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(size, pa.int32()))], names=["id", "k1", "k2", "n", "sentences"])
+                size, rows, _ = sentence_words(offsets, data)
+                n = np.bincount(rows, size, minlength=len(offsets) - 1).astype(np.int64)
+                part = batch.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("k1"), part.column("k2"), pa.array(_weights(n, np.diff(offsets)))], names=["id", "k1", "k2", "weight"])
+
+    schema = T.StructType([docs.schema["id"], T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("weight", T.LongType())])
+    return docs.select("id", "k1", "k2", "text").mapInArrow(run, schema).where("weight > 0")
+
 
-    schema = T.StructType([docs.schema["id"], T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sentences", T.ArrayType(T.IntegerType()))])
-    return docs.select("id", "k1", "k2", "text").mapInArrow(run, schema).where("n > 0")
+def _key(i, k1: int, k2: int) -> tuple:
+    return (0, 0, k1, k2) if i is None else (1, i, k1, k2)
 
 
-def _blocks(lengths: DataFrame, block_words: int) -> DataFrame:
-    """lengths with the block of each document: that of its first word in the stream of all documents in order."""
+def _ranges(docs: DataFrame, block_words: int, tasks: int) -> list[tuple[tuple, int]]:
+    """(first key, its place in the stream) of each task's range, in order: about tasks ranges, cut where blocks begin."""
     order = [F.col("id").asc_nulls_first(), F.col("k1"), F.col("k2")]
-    ranged = lengths.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    held = written(ranged)
-    spark, before, offsets = lengths.sparkSession, 0, []
-    for r in held.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each range
-        offsets.append((r["part"], before))
-        before += r["n"]
+    counted = _lengths(docs).groupBy("id", "k1", "k2").agg(F.sum("weight").alias("weight"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = before + np.cumsum(batch.column("weight").to_numpy())
+            start = np.concatenate([[before], upto[:-1]])[: len(upto)]
+            before = int(upto[-1]) if len(upto) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start, pa.int64()), pa.array(np.full(len(start), part, np.int32))], names=[*batch.schema.names, "start", "part"])
+
+    schema = T.StructType([*counted.schema, T.StructField("start", T.LongType()), T.StructField("part", T.IntegerType())])
+    held = written(counted.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sums, schema))
+    spark, total, offsets = docs.sparkSession, 0, []
+    for r in held.groupBy("part").agg(F.sum("weight").alias("n")).orderBy("part").collect():  # a row for each range
+        offsets.append((r["part"], total))
+        total += r["n"]
+    blocks = -(-total // block_words)
+    several = max(1, blocks // max(tasks, blocks // 16)) if blocks else 1  # blocks of a task
     table = spark.createDataFrame(offsets, "part int, offset long")
-    within = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return held.withColumn("start", F.coalesce(within, F.lit(0))).join(F.broadcast(table), "part").withColumn("start", F.col("start") + F.col("offset")).withColumn("block", F.floor(F.col("start") / block_words)).drop("part", "offset")
+    start = (F.col("start") + F.col("offset")).alias("start")
+    placed = held.join(F.broadcast(table), "part").select("id", "k1", "k2", start).withColumn("range", F.floor(F.col("start") / (block_words * several)))
+    rows = placed.groupBy("range").agg(F.min_by(F.struct("id", "k1", "k2", "start"), "start").alias("x")).orderBy("range").select("x.*").collect()  # a row for each task
+    drop_written(held)
+    return [(_key(r["id"], r["k1"], r["k2"]), r["start"]) for r in rows]
+
+
+def _range_of(spark: SparkSession, ranges: list[tuple[tuple, int]]) -> Callable[[Column, Column, Column], Column]:
+    """The range that a key (id, k1, k2) lies in."""
+    held = spark.sparkContext.broadcast([k for k, _ in ranges])
+
+    @F.pandas_udf("int")
+    def find(key: pd.DataFrame) -> pd.Series:
+        first = held.value
+        keys = zip(key["id"].astype(object).where(key["id"].notna(), None), key["k1"], key["k2"])
+        return pd.Series([max(0, bisect_right(first, _key(i, a, b)) - 1) for i, a, b in keys], dtype="int32")
+
+    return lambda i, k1, k2: find(F.struct(i.alias("id"), k1.alias("k1"), k2.alias("k2")))
+
+
+def _packed(ids: pa.Array, place: np.ndarray, text: pa.Array, block: int, window: int, penalties: tuple[int, int]) -> pa.RecordBatch:
+    """The windows of one block's documents; place is each one's first place in the stream, all have words."""
+    ((_, offsets, data),) = slices(text, limit=1 << 62)
+    size, rows, word = sentence_words(offsets, data)
+    count = np.bincount(rows, minlength=len(text))
+    position, kind = places(np.split(size, np.cumsum(count)[:-1]), window, *penalties)
+    costs = np.array([0, *penalties])[kind]
+    at = np.array(cuts(position.tolist(), costs.tolist(), window))
+    end = position[at]
+    start = np.concatenate([[0], end[:-1]])
+    doc_end = np.cumsum(np.bincount(rows, size, minlength=len(text)).astype(np.int64))
+    doc_start = np.concatenate([[0], doc_end[:-1]])
+    first = np.searchsorted(doc_end, start, side="right")
+    many = np.searchsorted(doc_start, end, side="left") - first
+    doc = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    low, high = np.maximum(np.repeat(start, many), doc_start[doc]), np.minimum(np.repeat(end, many), doc_end[doc])
+    # the parts in order tile the texts: each begins with its first word, a document's first with the document
+    begin = np.where(low == doc_start[doc], offsets[doc], word[low])
+    pieces = pa.StringArray.from_buffers(len(doc), pa.py_buffer(np.append(begin, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    parts = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(place[doc]), pa.array(low - doc_start[doc]), pa.array(high - doc_start[doc]), pieces], names=["doc_id", "place", "first", "last", "text"])
+    n = len(at)
+    columns = {
+        "block": pa.array(np.full(n, block), pa.int64()),
+        "window": pa.array(np.arange(n), pa.int32()),
+        "n_words": pa.array(end - start, pa.int32()),
+        "padding": pa.array(window - (end - start), pa.int32()),
+        "cut": pa.array(np.array(KINDS, dtype=object)[kind[at]], pa.string()),
+        "parts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sentence_penalty: int = SENTENCE_PENALTY, word_penalty: int = WORD_PENALTY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(block, window, n_words, padding, cut, parts), a row for every window.
 
-    parts are (doc_id, first, last): words first to last - 1 of that document, in order of id (nulls first, ties by
-    text; repeated rows are all packed). cut tells where the window ends: at a document's end, a sentence's, or within a
+    parts are (doc_id, place, first, last, text): words first to last - 1 of that document with the white space after
+    them, in order of id (nulls first, ties by text; repeated rows are all packed). The texts of a document's parts, put
+    together, are the document's text. place is the document's first place in the stream, which no other row has, so it
+    tells rows apart whose ids repeat. cut tells where the window ends: at a document's end, a sentence's, or within a
     sentence longer than a window. Each block is packed on its own to the least padding plus penalties; a block begins
-    with the first document that starts in its block_words words, so a very long document makes its block longer. Null
+    with the first document that starts in its block_words places, so a very long document makes its block longer; a
+    document whose words are longer than 16 bytes on average takes more places, so that blocks are bounded in bytes. Null
     and empty texts and texts of white space have no words and are in no window. Other columns are not read; an empty
     table gives no windows.
     """
     k1, k2 = text_keys(docs[text_col])
-    lengths = written(_lengths(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), k1.alias("k1"), k2.alias("k2"))))
-    id_type = docs.schema[id_col].dataType
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        order = np.argsort(table.column("start").to_numpy(), kind="stable")
-        ids = table.column("id").take(pa.array(order))
-        flat = table.column("sentences").combine_chunks()
-        if isinstance(flat, pa.ChunkedArray):
-            flat = flat.chunk(0)
-        begin, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-        sentences = [values[begin[i] : begin[i + 1]] for i in order]
-        position, kind = places(sentences, window, sentence_penalty, word_penalty)
-        costs = np.array([0, sentence_penalty, word_penalty])[kind]
-        at = np.array(cuts(position.tolist(), costs.tolist(), window))
-        end = position[at]
-        start = np.concatenate([[0], end[:-1]])
-        doc_end = np.cumsum(table.column("n").to_numpy()[order])
-        doc_start = np.concatenate([[0], doc_end[:-1]])
-        first = np.searchsorted(doc_end, start, side="right")
-        last = np.searchsorted(doc_start, end, side="left")
-        many = last - first
-        doc = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        low = np.maximum(np.repeat(start, many), doc_start[doc]) - doc_start[doc]
-        high = np.minimum(np.repeat(end, many), doc_end[doc]) - doc_start[doc]
-        taken = ids.take(pa.array(doc))
-        taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
-        parts = pa.StructArray.from_arrays([taken, pa.array(low), pa.array(high)], names=["doc_id", "first", "last"])
-        n = len(at)
-        return pa.table(
-            {
-                "block": pa.array(np.full(n, table.column("block")[0].as_py()), pa.int64()),
-                "window": pa.array(np.arange(n), pa.int32()),
-                "n_words": pa.array(end - start, pa.int32()),
-                "padding": pa.array(window - (end - start), pa.int32()),
-                "cut": pa.array(np.array(KINDS, dtype=object)[kind[at]], pa.string()),
-                "parts": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), parts),
-            }
-        )
-
-    part = T.StructType([T.StructField("doc_id", id_type), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), k1.alias("k1"), k2.alias("k2"))
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
+    ranges = _ranges(source, block_words, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = spark.sparkContext.broadcast([start for _, start in ranges])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, -1
+        buffer: list[tuple[pa.Array, np.ndarray, pa.Array]] = []
+
+        def flush() -> pa.RecordBatch:
+            ids, place, text = zip(*buffer)
+            buffer.clear()
+            return _packed(pa.concat_arrays(ids), np.concatenate(place), pa.concat_arrays(text), now, window, (sentence_penalty, word_penalty))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if at is None:
+                at = held.value[batch.column("range")[0].as_py()]
+            for first, offsets, data in slices(batch.column("text")):
+                size, rows, _ = sentence_words(offsets, data)
+                n = np.bincount(rows, size, minlength=len(offsets) - 1).astype(np.int64)
+                weight = _weights(n, np.diff(offsets))
+                place = at + np.cumsum(weight) - weight
+                at += int(weight.sum())
+                some = np.flatnonzero(n)
+                part = batch.slice(first, len(n)).take(pa.array(some))
+                block = place[some] // block_words
+                for group in np.split(np.arange(len(some)), np.flatnonzero(np.diff(block)) + 1):
+                    if not len(group):
+                        continue
+                    if buffer and block[group[0]] != now:
+                        yield flush()
+                    now = int(block[group[0]])
+                    piece = part.slice(int(group[0]), len(group))
+                    buffer.append((piece.column("id"), place[some][group], piece.column("text")))
+        if buffer:
+            yield flush()
+
+    part = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("place", "first", "last")), T.StructField("text", T.StringType())])
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("window", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("padding", T.IntegerType()), T.StructField("cut", T.StringType()), T.StructField("parts", T.ArrayType(part))])
-    return _blocks(lengths, block_words).select("block", "start", "id", "n", "sentences").groupBy("block").applyInArrow(run, schema)
+    if not ranges:
+        return spark.createDataFrame([], schema)
+    moved = source.where("text IS NOT NULL").withColumn("range", _range_of(spark, ranges)(F.col("id"), F.col("k1"), F.col("k2")))
+    owned = moved.repartitionById(len(ranges), "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "k1", "k2")
+    return owned.select("range", "id", "text").mapInArrow(run, schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

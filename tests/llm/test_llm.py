@@ -220,9 +220,39 @@ def test_packing_is_the_least(spark):
 
 def test_packing_holds_every_word(spark, odd):
     words = sum(len((r["text"] or "").split()) for r in odd.select("text").collect())
-    rows = packing.pack(odd, window=512, block_words=5000).collect()
-    assert sum(r["n_words"] for r in rows) == words
-    assert all(r["n_words"] == sum(p["last"] - p["first"] for p in r["parts"]) <= 512 for r in rows)
+    for window, block in ((512, 5000), (64, 40), (1024, 1 << 19)):
+        rows = packing.pack(odd, window=window, block_words=block).collect()
+        assert sum(r["n_words"] for r in rows) == words
+        assert all(r["n_words"] == sum(p["last"] - p["first"] for p in r["parts"]) == sum(len(p["text"].split()) for p in r["parts"]) <= window for r in rows)
+        assert len({(r["block"], r["window"]) for r in rows}) == len(rows)
+        assert rebuilt(rows) == sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in odd.collect() if (r["text"] or "").strip())
+
+
+def rebuilt(rows):
+    """(id is not null, id, text) of every document that the windows hold, by their parts alone."""
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r["block"], r["window"])):
+        for p in r["parts"]:
+            whole = parts.setdefault((p["place"], p["doc_id"]), [])
+            assert p["first"] == (whole[-1]["last"] if whole else 0)
+            whole.append(p)
+    return sorted((i is not None, i or 0, "".join(p["text"] for p in whole)) for (_, i), whole in parts.items())
+
+
+def test_packing_does_not_depend_on_tasks(spark):
+    """Blocks are those of the stream, whatever the number of tasks; ids may be strings."""
+    rng = np.random.default_rng(9)
+    rows = [(f"é{i}" if i % 3 else f"z{i}", " ".join(["w" * int(rng.integers(1, 60)) + "." * (j % 7 == 0) for j in range(int(rng.integers(1, 90)))])) for i in range(300)]
+    table = spark.createDataFrame([*rows, (None, "no id here")], "doc_id string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("2", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((r["block"], r["window"], r["n_words"], str(r["parts"])) for r in packing.pack(table, window=100, block_words=1000).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and found[0][0][3].find("no id here") > 0
 
 
 KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
@@ -342,3 +372,4 @@ def test_pipeline_stages(spark):
     assert all(not secrets.scan(t) for t in texts)
     windows = corpus_pipeline.run(spark, at).collect()
     assert sum(r["n_words"] for r in windows) == sum(len(t.encode().split()) for t in texts)
+    assert [t for *_, t in rebuilt(windows)] == [t for _, t in sorted((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect())]
