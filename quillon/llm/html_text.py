@@ -18,11 +18,9 @@ from pyspark.sql import types as T
 
 MAX_DEPTH = 512  # as in browsers: deeper elements become siblings, and nothing is lost
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|=\s*\"[^\"]*\"|=\s*'[^']*'|\"[^\"<>]*\"|'[^'<>]*'|[\"'](?=[^>]*>))*+)>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRS = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+""")  # a value in quotes may hold >
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
@@ -46,8 +44,11 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "body": (frozenset(["head"]), frozenset(["html"])),
 } | {t: (frozenset("thead tbody tfoot tr td th caption colgroup".split()), frozenset(["table"])) for t in ("thead", "tbody", "tfoot", "caption", "colgroup")}
 _P_SCOPE = frozenset("table td th caption button object html body".split())
+_P_OR_SCOPE = _P_SCOPE | frozenset(["p"])
 _END_SCOPE = frozenset("table td th caption".split())
 _TABLE_ONLY = frozenset("table thead tbody tfoot tr".split())
+_TABLE = frozenset(["table"])
+_TABLE_PARTS = _TABLE_ONLY | frozenset("td th caption".split())
 _IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template".split())
 _IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template".split())
 
@@ -64,113 +65,149 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; any text is a page."""
+    """The tree of a page; any text is a page. The time it takes is in proportion to the page's length."""
     root = Node("html")
     stack = [root]
-
-    def close(found: int) -> None:
-        del stack[found:]
+    count: dict[str, int] = {}  # open elements by tag
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        count[node.tag] = count.get(node.tag, 0) + 1
+
+    def close(first: int, last: int | None = None) -> None:
+        for x in stack[first:last]:
+            count[x.tag] -= 1
+        del stack[first:last]
+
+    def innermost(tags: frozenset[str]) -> int:
+        if len(stack) > 32 and not any(count.get(t) for t in tags):
+            return 0
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
+
+    def before_table(what: "Node | str") -> bool:
+        """Puts what stands between cells before the table."""
+        i = innermost(_TABLE)
+        if i:
+            parent = stack[i - 1]
+            parent.children.insert(len(parent.children) - 1, what)
+        return bool(i)
 
     def add_text(text: str) -> None:
         if not text:
             return
         text = html.unescape(text) if "&" in text else text
-        if stack[-1].tag in _TABLE_ONLY and not text.isspace():  # text between cells is shown before the table
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "table":
-                    parent = stack[i - 1]
-                    parent.children.insert(len(parent.children) - 1, text)
-                    return
+        if stack[-1].tag in _TABLE_ONLY and not text.isspace() and before_table(text):
+            return
         if stack[-1].tag == "head" and not text.isspace():
-            stack.pop()
+            close(len(stack) - 1)
         stack[-1].children.append(text)
 
     def open_tag(name: str, attrs: str) -> None:
         if name == "html":
             return
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in _P_SCOPE:
-                    break
+        if name in CLOSES_P and count.get("p"):
+            i = innermost(_P_OR_SCOPE)
+            if stack[i].tag == "p":
+                close(i)
         if name in _IN_TABLE and name not in ("script", "style", "template"):  # ends what stands before the table
-            i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in _TABLE_ONLY or stack[i].tag in ("td", "th", "caption")), 0)
+            i = innermost(_TABLE_PARTS)
             if i and stack[i].tag in _TABLE_ONLY:
                 close(i + 1)
         if name in IMPLIED:
             ends, scope = IMPLIED[name]
             found = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in ends:
-                    found = i
+            if len(stack) <= 32 or any(count.get(t) for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in scope:
+                        break
+                    if stack[i].tag in ends:
+                        found = i
             if found is not None:
                 close(found)
             if name in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-                stack[-1].children.append(Node("tr"))
-                stack.append(stack[-1].children[-1])
+                row = Node("tr")
+                stack[-1].children.append(row)
+                push(row)
         if stack[-1].tag == "head" and name not in _IN_HEAD:
-            stack.pop()
-        if name == "table" and stack[-1].tag in _TABLE_ONLY:  # ends the table it stands in
-            close(max(i for i in range(1, len(stack)) if stack[i].tag == "table"))
+            close(len(stack) - 1)
+        if name == "table" and stack[-1].tag in _TABLE_ONLY and (i := innermost(_TABLE)):  # ends the table it stands in
+            close(i)
         node = Node(name, attrs)
-        table = max((i for i in range(1, len(stack)) if stack[i].tag == "table"), default=0)
-        if stack[-1].tag in _TABLE_ONLY and table and name not in _IN_TABLE:
+        if stack[-1].tag in _TABLE_ONLY and name not in _IN_TABLE and innermost(_TABLE):
             if name == "form":  # stays empty
                 return
-            parent = stack[table - 1]
-            parent.children.insert(len(parent.children) - 1, node)
+            before_table(node)
         else:
             stack[-1].children.append(node)
-        if attrs.endswith("/") and any(x.tag in ("svg", "math") for x in (*stack, node)):
+        if attrs.endswith("/") and (name in ("svg", "math") or count.get("svg") or count.get("math")):
             return
         if name not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
+            push(node)
 
     def end_tag(name: str) -> None:
         if name == "br":
             stack[-1].children.append(Node("br"))
             return
+        if not count.get(name):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == name:
                 if name in FORMATTING and any(x.tag in BLOCKS for x in stack[i + 1 :]):
-                    del stack[i]  # blocks within it go on without it
+                    close(i, i + 1)  # blocks within it go on without it
                 else:
                     close(i)
                 return
             if stack[i].tag in _END_SCOPE and name not in _TABLE_ONLY and name not in _END_SCOPE:
                 return
 
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
+    at, begin, size, quoted, last = 0, 0, len(page), True, page.rfind(">")
+    while (i := page.find("<", at)) >= 0:  # begin: where text begins that is not in the tree yet
+        sign = page[i + 1 : i + 2]
+        m = _NAME.match(page, i + 2 if sign == "/" else i + 1)
+        if m is None and sign not in ("!", "?", "/"):
+            at = i + 1
+            continue
         if m is None:
-            add_text(page[at:])
-            break
-        add_text(page[at : m.start()])
-        at = m.end()
-        if m["name"] is None:
-            if page.startswith("<![CDATA[", m.start()):
-                add_text(html.escape(page[m.start() + 9 : at].removesuffix("]]>"), quote=False))
+            if page.startswith("<!--", i):
+                if page.startswith((">", "->"), i + 4):
+                    at = page.index(">", i) + 1
+                else:
+                    end = _COMMENT_END.search(page, i + 4)
+                    at = end.end() if end else size
+            else:
+                close_with = "]]>" if page.startswith("<![CDATA[", i) else ">"
+                end = page.find(close_with, i)
+                at = end + len(close_with) if end >= 0 else size
+            add_text(page[begin:i])
+            begin = at
+            if page.startswith("<![CDATA[", i):
+                add_text(html.escape(page[i + 9 : at].removesuffix("]]>"), quote=False))
             continue
-        name = m["name"].lower()
-        if m["end"]:
+        if i > last:
+            break
+        stop = _ATTRS.match(page, m.end()).end() if quoted else page.find(">", m.end())
+        if quoted and stop >= size:  # quotes that don't close: from here on they mean nothing
+            quoted, stop = False, page.find(">", m.end())
+        if stop < 0:
+            break
+        add_text(page[begin:i])
+        attrs, name = page[m.end() : stop], m[0].lower()
+        at = begin = stop + 1
+        if sign == "/":
             end_tag(name)
             continue
         depth = len(stack)
-        open_tag(name, m["attrs"])
+        open_tag(name, attrs)
         if name in RAW:
-            stop = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            raw = page[at : stop.start() if stop else len(page)]
-            at = stop.end() if stop else len(page)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            raw = page[at : end.start() if end else size]
+            at = begin = end.end() if end else size
             if name in ("textarea", "xmp"):
                 parent = stack[-1].children[-1] if len(stack) <= depth and stack[-1].children and stack[-1].tag != name else stack[-1]
                 (parent.children if isinstance(parent, Node) else stack[-1].children).append(html.unescape(raw) if name == "textarea" else raw)
             if stack[-1].tag == name:
-                stack.pop()
+                close(len(stack) - 1)
+    add_text(page[begin:])
     return root
 
 
@@ -403,7 +440,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(page_id, text, n_chars), a row for every row of pages.
 
     A null page gives a null text and null n_chars, an empty one and one without visible text an empty text. Any text is
-    a page, however broken. Rows are independent, so repeated rows give equal rows; other columns are not read.
+    a page, however broken or long; elements deeper than 512 become siblings. An empty table gives an empty result. Rows are independent, so repeated rows give equal rows; other columns are not read.
     """
     source = pages.select(pages[id_col].alias("page_id"), pages[html_col].alias("html"))
 

@@ -105,7 +105,9 @@ class _Search:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = self.keep(pairs.join(self.tested, ["a", "b"], "left_anti"))
         self.tested = self.tested.unionByName(pairs)
-        sets = self.nodes.select("node", "n", "least")
+        # sketches of no pair stay where they are
+        asked = may_hold(self.spark, key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
+        sets = self.nodes.where(asked(F.col("node"))).select("node", "n", "least")
         both = pairs.join(sets.toDF("a", "na", "x"), "a").join(sets.toDF("b", "nb", "y"), "b")
         # sets whose sizes are too far apart can't be that similar, whatever they share
         both = both.where(F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))

@@ -6,7 +6,9 @@ import gzip
 import io
 import lzma
 import tarfile
+import time
 import zlib
+from html.parser import HTMLParser
 from urllib.parse import quote
 
 import numpy as np
@@ -332,6 +334,62 @@ def test_html_text_out_of_place(page, want):
     assert html_text.render(page) == want
 
 
+class _Visible(HTMLParser):
+    """Brute force: the words of all text nodes outside hidden elements, however the page is laid out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title", "head", "noscript", "template")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title", "head", "noscript", "template")
+
+    def handle_data(self, data):
+        if self.hidden <= 0:
+            self.words += data.split()
+
+
+def test_html_loses_no_text():
+    """Any nesting of blocks, lists, tables and inline tags, closed or not, keeps the words of every visible text node."""
+    rng = np.random.default_rng(4)
+    tags = "div p ul li table tr td th b i span blockquote pre form center h1 dl dt dd a section caption tbody em".split()
+    for case in range(300):
+        page, n = [], 0
+        for _ in range(int(rng.integers(3, 40))):
+            tag = str(rng.choice(tags))
+            kind = rng.integers(4)
+            if kind == 0:
+                page.append(f"<{tag}>")
+            elif kind == 1:
+                page.append(f"</{tag}>")
+            elif kind == 2:
+                page.append(f" t{case}x{n} ")
+                n += 1
+            else:
+                page.append(f"<{tag} title='a > b' class=\"c\"> u{case}x{n} </{tag}><!-- no -->")
+                n += 1
+        parser = _Visible()
+        parser.feed("".join(page))
+        parser.close()
+        assert sorted(w for w in html_text.render("".join(page)).split() if w[0] in "tu" and "x" in w) == sorted(parser.words), "".join(page)
+
+
+@pytest.mark.parametrize("page, want", [("<table><form><tr><td>x</td></tr></form></table>", "x"), ("<table><div>hello</div><tr><td>x</table>", "hello\n\nx"), ("<table><center>hi</center><tr><td>x</table>", "hi\n\nx"), ("<table><tr><b>bold</b><td>x</table>", "bold\n\nx"), ("<svg><text>label</text></svg>", "label"), ("<a title=\"1 > 0\">x</a>", "x"), ("a < b <3 > c", "a < b <3 > c"), ("<p title='it>x", "x"), ("<!-->x<!--->y<!-- z --!>w", "xyw")])
+def test_html_shows(page, want):
+    assert html_text.render(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a>" * 300_000, "<a \"<\"<" * 100_000 + ">", "<p><b>" * 150_000, "<a b='>\" " * 100_000, "<" * 1_000_000])
+def test_html_takes_time_in_proportion(page):
+    """Quadratic time would be minutes for a page of 1 MB."""
+    began = time.process_time()
+    html_text.render(page)
+    assert time.process_time() - began < 10
+
+
 def test_licences(spark):
     name = "MIT/full"
     text = license_scan.TEMPLATES[name]
