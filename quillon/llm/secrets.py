@@ -4,7 +4,8 @@ Each text is the first layer of a worklist. A layer is scanned for secrets and t
 escapes and character references as a whole, every run of base64 on its own, and compressed bytes wherever decoding
 yields them. Each new layer joins the worklist until no decoder finds anything new; a layer that was there before for the
 same span of the text is not entered again, so encodings that lead back to themselves end. Every layer knows which span of its parent each of its
-spans comes from, so a finding in any depth is told by its place in the text.
+spans comes from, so a finding in any depth is told by its place in the text. What decompresses to more than PIECE bytes
+is scanned as a stream of pieces that are cut at white space, or overlap where there is none.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-MAX_LAYER = 1 << 26  # decompressed bytes; a larger layer is itself a finding
+PIECE, OVERLAP = 1 << 24, 1 << 16  # decompressed bytes that are held at once; what two pieces have in common at a hard cut
 MASK = "[SECRET]"
 
 #: (rule, strings of which a lower-case text must hold one, pattern; its group 1, if any, is the value that is_secret sees)
@@ -36,13 +37,14 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("google_api_key", ("aiza",), re.compile(r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}")),
     ("payment_key", ("k_live_", "k_test_"), re.compile(r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[0-9A-Za-z]{16,}")),
     ("service_key", ("sk-",), re.compile(r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}")),
-    ("json_web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("private_key", ("private key",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----)?")),
-    ("url_password", ("://",), re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@")),
+    # the lookahead sees once whether a run is a token's head, so that not every "eyJ" of a long run tries
+    ("json_web_token", (".eyj",), re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})(?:[A-Za-z0-9_-]*?[_-])??eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")),
+    ("private_key", ("private key",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----)?")),
+    ("url_password", ("://",), re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s:/@]++:([^\s:/@]{3,}+)@")),
     (
         "assigned_secret",
         ("key", "secret", "token", "passw", "pwd"),
-        re.compile(r"""(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,3}(?:api_?-?key|access_?-?key|secret_?-?key|private_?-?key|secret|token|passwo?r?d|pwd)["']?\s{0,4}(?::=|=>|[:=])\s{0,4}("[^"\s]{8,256}"|'[^'\s]{8,256}'|[A-Za-z0-9+/_.~-]{12,256}={0,2})"""),
+        re.compile(r"""(?i)(?<![a-z0-9])(?:api_?-?key|access_?-?key|secret_?-?key|private_?-?key|secret|token|passwo?r?d|pwd)["']?\s*+(?::=|=>|[:=])\s*+("[^"\s]{8,}"|'[^'\s]{8,}'|[A-Za-z0-9+/_.~-]{12,}={0,2})"""),
     ),
 ]
 
@@ -129,51 +131,76 @@ def _runs(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), (*layer.path, name), layer, pieces or [(0, 0, len(layer.text), False)])
 
 
-def _inflate(data: bytes) -> tuple[str, bytes | None] | None:
-    """(method, bytes) of compressed data, all its members, bytes None if there are too many; None if data is not compressed."""
-    if data[:2] == b"\x1f\x8b":
-        return _members("gzip", lambda: zlib.decompressobj(31), data, b"\x1f\x8b")
-    if data[:3] == b"BZh":
-        return _members("bzip2", bz2.BZ2Decompressor, data, b"BZh")
-    if data[:6] == b"\xfd7zXZ\x00":
-        return _members("xz", lzma.LZMADecompressor, data, b"\xfd7zXZ\x00")
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        return _zstd(data)
-    if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
-        return _members("zlib", zlib.decompressobj, data, data[:1])
-    return None
-
-
-def _members(name: str, machine, data: bytes, magic: bytes) -> tuple[str, bytes | None] | None:
-    out: list[bytes] = []
-    size = 0
+def _method(data: bytes) -> str | None:
+    """How data seems to be compressed, by its first bytes."""
+    for magic, name in ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd")):
+        if data.startswith(magic):
+            return name
+    return "zlib" if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0 else None
+
+
+def _inflate(data: bytes) -> tuple[str, Iterator[bytes]] | None:
+    """(method, bytes in chunks) of compressed data, all its members; None if data is not compressed."""
+    match name := _method(data):
+        case "gzip":
+            chunks = _members(lambda: zlib.decompressobj(31), data, b"\x1f\x8b")
+        case "bzip2":
+            chunks = _members(bz2.BZ2Decompressor, data, b"BZh")
+        case "xz":
+            chunks = _members(lzma.LZMADecompressor, data, b"\xfd7zXZ\x00")
+        case "zlib":
+            chunks = _members(zlib.decompressobj, data, data[:1])
+        case "zstd":
+            chunks = _zstd(data)
+        case _:
+            return None
+    first = next(chunks, None)
+    return None if first is None else (name, chain([first], chunks))
+
+
+def _members(machine, data: bytes, magic: bytes) -> Iterator[bytes]:
+    """The members of data one after the other, then what follows them as it is; nothing if not even one can be read."""
+    some = False
     while data.startswith(magic):
+        m, rest = machine(), data
         try:
-            m = machine()
-            out.append(m.decompress(data, MAX_LAYER + 1 - size))
+            while not m.eof:
+                if chunk := m.decompress(rest, PIECE):
+                    yield chunk
+                elif not rest:
+                    return  # cut short
+                some = True
+                rest = getattr(m, "unconsumed_tail", b"")  # the others keep what they have not read
         except (zlib.error, OSError, EOFError, lzma.LZMAError):
             break
-        size += len(out[-1])
-        if size > MAX_LAYER:
-            return name, None
-        if not m.eof:
-            data = b""
-            break
         data = m.unused_data.lstrip(b"\0")
-    # what follows the last member is bytes as they are
-    return (name, b"".join([*out, data])) if out else None
+    if some and data:
+        yield data
 
 
-def _zstd(data: bytes) -> tuple[str, bytes | None] | None:
-    out, size = [], 0
+def _zstd(data: bytes) -> Iterator[bytes]:
     with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
         try:
-            while size <= MAX_LAYER and (part := reader.read(min(1 << 16, MAX_LAYER + 1 - size))):
-                out.append(part)
-                size += len(part)
+            while part := reader.read(1 << 16):
+                yield part
         except zstandard.ZstdError:
             pass
-    return ("zstd", b"".join(out) if size <= MAX_LAYER else None) if out else None
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """chunks as pieces of some PIECE bytes, cut after the last white space or NUL of their second half if there is any."""
+    held, size = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        while size > PIECE:
+            data = b"".join(held)
+            cut = max(data.rfind(x, PIECE // 2, PIECE) for x in (b" ", b"\n", b"\0")) + 1
+            yield data[: cut or PIECE]
+            held = [data[cut or PIECE - OVERLAP :]]
+            size = len(held[0])
+    if size:
+        yield b"".join(held)
 
 
 def _as_texts(data: bytes) -> Iterator[str]:
@@ -194,7 +221,7 @@ _BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})
 _LETTER = {"n": 10, "r": 13, "t": 9, "\\": 92}
 
 
-def _escaped(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+def _escaped(layer: Layer) -> Iterator[Layer]:
     """The layers of compressed bytes that URL, Unicode and \\x escapes or character references hold."""
     for m in _ESCAPED.finditer(layer.text):
         name = "url" if "%" in m[0][:6] else "unicode"
@@ -212,17 +239,25 @@ def _escaped(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]
         yield from _opened(layer, name, data, m.start(), m.end(), False)
 
 
-def _opened(layer: Layer, name: str, data: bytes | None, start: int, end: int, plain: bool = True) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
+def _opened(layer: Layer, name: str, data: bytes, start: int, end: int, plain: bool = True) -> Iterator[Layer]:
     """The layers of a run's bytes, inflated as often as they are compressed; unless plain, only if they are."""
-    path, met = (*layer.path, name), set()
-    while data and data not in met and (found := _inflate(data)):
-        met.add(data)
-        path, data = (*path, found[0]), found[1]
-    if data is None:
-        yield start, end, path
-    elif data and (plain or met):
-        for text in _as_texts(data):
-            yield Layer(text, path, layer, [(0, start, end, False)])
+
+    def opened(data: bytes, path: tuple[str, ...], met: tuple[bytes, ...]) -> Iterator[Layer]:
+        found = _inflate(data) if data not in met else None
+        if found:
+            path, met = (*path, found[0]), (*met, data)
+            first = next(found[1])
+            if _method(first):  # compressed again, and held whole in that form
+                yield from opened(first + b"".join(found[1]), path, met)
+                return
+            pieces = _pieces(chain([first], found[1]))
+        else:
+            pieces = iter([data] if data and (plain or met) else [])
+        for piece in pieces:
+            for text in _as_texts(piece):
+                yield Layer(text, path, layer, [(0, start, end, False)])
+
+    yield from opened(data, (*layer.path, name), ())
 
 
 def _decoded(run: str) -> bytes:
@@ -267,8 +302,8 @@ def _parts(run: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
-    """The layers that the base64 runs of layer hold; of one too large its span and path."""
+def _base64(layer: Layer) -> Iterator[Layer]:
+    """The layers that the base64 runs of layer hold."""
     for m in _BASE64.finditer(layer.text):
         run = m[0].partition("%")[0].rstrip("=")
         places = [(0, len(run))]
@@ -278,44 +313,58 @@ def _base64(layer: Layer) -> Iterator[Layer | tuple[int, int, tuple[str, ...]]]:
             yield from _opened(layer, "base64", _decoded(run[first:last]), m.start() + first, m.end() if last == len(run) else m.start() + last)
 
 
+def _children(layer: Layer) -> Iterator[Layer]:
+    """What the decoders make of a layer."""
+    text = layer.text
+    if "%" in text and (new := _runs(layer, "url", _URL, _url)):
+        yield new
+    if ("\\" in text or "&#" in text) and (new := _runs(layer, "unicode", _UNICODE, _unicode)):
+        yield new
+    yield from _base64(layer)
+    if any(x in text for x in ("%", "\\", "&#")):
+        yield from _escaped(layer)
+
+
 def scan(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """(rule, start, end, depth, path, hash of the secret) of each secret, sorted by place; path names the decoders."""
-    found: dict[tuple[str, int, int, str], tuple[int, str]] = {}
-    spans: dict[tuple[str, str], set[tuple[int, int]]] = {}
-    work, seen = deque([Layer(text)]), {(text, 0, len(text))}
-
-    def note(rule: str, layer: Layer, start: int, end: int, path: tuple[str, ...], secret: str) -> None:
-        digest = hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
-        first, last = layer.origin(start, end)
-        # a run that is decoded from its parts and as a whole gives a secret by the closer span
-        if not any(first <= a and b <= last and (a, b) != (first, last) for a, b in spans.get((rule, digest), ())):
-            spans.setdefault((rule, digest), set()).add((first, last))
-            found.setdefault((rule, first, last, digest), (len(path), ">".join(path)))
+    found: dict[tuple[str, str], dict[tuple[int, int], tuple[int, str]]] = {}
+    met: dict[tuple[bytes, int, int], int] = {}  # the least depth of each layer by its content and span
+
+    def new(layers: Iterator[Layer]) -> Iterator[Layer]:
+        for x in layers:
+            key = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *x.origin(0, len(x.text)))
+            if len(x.path) < met.get(key, len(x.path) + 1):
+                met[key] = len(x.path)
+                yield x
 
+    work = [new(iter([Layer(text)]))]  # a layer's children are made one by one, so that a stream of pieces isn't held
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         lower = layer.text.lower()
         for rule, anchors, pattern in RULES:
             if any(a in lower for a in anchors):
                 for m in pattern.finditer(layer.text):
                     if is_secret(rule, m[1] if m.re.groups else m[0]):
-                        note(rule, layer, m.start(), m.end(), layer.path, m[0])
-        new: list[Layer | None] = []
-        if "%" in layer.text:
-            new.append(_runs(layer, "url", _URL, _url))
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append(_runs(layer, "unicode", _UNICODE, _unicode))
-        escaped = _escaped(layer) if any(x in layer.text for x in ("%", "\\", "&#")) else ()
-        for child in (*_base64(layer), *escaped):
-            if isinstance(child, Layer):
-                new.append(child)
-            else:
-                note("oversize_layer", layer, child[0], child[1], child[2], layer.text[child[0] : child[1]])
-        for child in new:
-            if child is not None and (key := (child.text, *child.origin(0, len(child.text)))) not in seen:
-                seen.add(key)
-                work.append(child)
-    return sorted((rule, start, end, *rest, digest) for (rule, start, end, digest), rest in found.items())
+                        digest = hashlib.sha256(m[0].encode("utf-8", "surrogatepass")).hexdigest()[:16]
+                        spans, at = found.setdefault((rule, digest), {}), layer.origin(m.start(), m.end())
+                        spans[at] = min(spans.get(at, (1 << 30, "")), (len(layer.path), ">".join(layer.path)))
+        work.append(new(_children(layer)))
+    # a run that is decoded from its parts and as a whole gives a secret by the closest spans
+    return sorted((rule, *at, *how, digest) for (rule, digest), spans in found.items() for at, how in closest(spans).items())
+
+
+def closest(spans: dict[tuple[int, int], tuple[int, str]]) -> dict[tuple[int, int], tuple[int, str]]:
+    """spans without those that hold another."""
+    out: dict[tuple[int, int], tuple[int, str]] = {}
+    least = None  # the least end of those that begin later
+    for start, end in sorted(spans, key=lambda x: (-x[0], x[1])):
+        if least is None or end < least:
+            out[start, end] = spans[start, end]
+            least = end
+    return out
 
 
 def redact(text: str) -> str:
@@ -339,9 +388,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     start and end are the characters of the text that hold the secret, encoded or not; depth is the number of decoders
     and path names them from the outside, so "" is plain text. secret_hash is the head of the SHA-256 of the match: the
-    result itself holds no secret. A secret is told once for a rule and span, from the outermost layer. A compressed layer of more
-    than 64 MB is told as oversize_layer. Null and empty texts have no findings; repeated rows have their findings
-    again. Other columns are not read, and an empty table gives an empty result.
+    result itself holds no secret. A secret is told once for a rule and span, from the outermost layer. Texts and layers of
+    any length are scanned whole. Null and empty texts have no findings; repeated rows have their findings again. Other
+    columns are not read, and an empty table gives an empty result.
     """
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
@@ -366,7 +415,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with the secrets of every text replaced, and length_col, if there is such a column, set to the new length.
 
-    All rows and columns stay; a null text stays null with its length as it was, and a text without secrets is as it was.
+    All rows and columns stay; a null text stays null with its length as it was, and an empty one or one without secrets
+    is as it was. Repeated rows are treated alike; an empty table gives an empty one.
     """
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None

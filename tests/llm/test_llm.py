@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import io
+import itertools
 import lzma
 import tarfile
 import time
@@ -314,6 +315,81 @@ def test_secrets_compressed_in_escapes(press, escape):
     assert secrets.redact(f"before {run} after") in (f"before {secrets.MASK} after", f"before {run} after".replace(KEY, secrets.MASK))
 
 
+ENCODERS = {
+    "url": (lambda t: "".join(f"%{b:02X}" for b in t.encode()), lambda t: bytes.fromhex(t.replace("%", "")).decode()),
+    "unicode": (lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(chr(int(x, 16)) for x in t.split("\\u")[1:])),
+    "entity": (lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: "".join(chr(int(x)) for x in t.replace("&#", "").split(";")[:-1])),
+    "base64": (lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64decode(t).decode()),
+    "gzip": (lambda t: base64.b64encode(gzip.compress(t.encode())).decode(), lambda t: gzip.decompress(base64.b64decode(t)).decode()),
+    "zlib": (lambda t: base64.urlsafe_b64encode(zlib.compress(t.encode())).decode(), lambda t: zlib.decompress(base64.urlsafe_b64decode(t)).decode()),
+}
+
+
+def _nestings(run, depth):
+    """Brute force: every text that depth decoders or fewer, in any order, make of run."""
+    yield run
+    for _, decode in ENCODERS.values() if depth else ():
+        try:
+            yield from _nestings(decode(run), depth - 1)
+        except Exception:  # noqa: BLE001, S110
+            pass
+
+
+def test_secrets_in_all_nestings():
+    """Every nesting of the encoders to depth 3, twice in one text: both are told, and nothing that decodes to the key stays."""
+    for depth in (1, 2, 3):
+        for names in itertools.product(ENCODERS, repeat=depth):
+            run = f"the key is {KEY} and no other"
+            for name in names:
+                run = ENCODERS[name][0](run)
+            assert any(KEY in x for x in _nestings(run, depth))
+            text = f"first {run} then {run} end"
+            found = [f for f in secrets.scan(text) if f[0] == "aws_access_key"]
+            assert len(found) >= 2 and {f[1] < len(text) // 2 for f in found} == {True, False}, names
+            left = secrets.redact(text).split()
+            assert left[0] == "first" and left[-1] == "end" and not any(KEY in x for part in left for x in _nestings(part, depth)), names
+
+
+@pytest.mark.parametrize("value", ["a1" * 200, "a1" * 5000])
+def test_secrets_of_any_length(value):
+    assert secrets.redact(f"token={value} end") == f"{secrets.MASK} end"
+    assert secrets.redact(f'secret: "{value}!" end') == f"{secrets.MASK} end"
+    assert secrets.redact(f"see https://{value}:{value}@host/x") == f"see https{secrets.MASK}host/x"
+    assert secrets.redact(f"{'long_' * 2000}api_key   \t  =   {value} end").endswith(f"{secrets.MASK} end")
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{value}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.redact(f"a {pem} b") == f"a {secrets.MASK} b"
+
+
+def test_secrets_in_streams(monkeypatch):
+    """What decompresses to more than a piece is scanned piece by piece, wherever the key stands."""
+    monkeypatch.setattr(secrets, "PIECE", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    for press in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for fill in ("words of no interest ", "x" * 21):
+            for at in (0, 4080, 4096, 9000, 40_000):
+                data = (fill * 2500)[:at] + (" " if fill[0] == "w" else "=") + KEY + "=" + (fill * 2500)[:3000]
+                for body in (press(data.encode()), press(press(data.encode()))):
+                    text = f"a {base64.b64encode(body).decode()} b"
+                    assert "aws_access_key" in {f[0] for f in secrets.scan(text)}, (press, fill, at)
+                    assert secrets.redact(text) == f"a {secrets.MASK} b"
+
+
+def test_secret_rules_take_time_in_proportion():
+    assert [f[:3] for f in secrets.scan("x eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSM-eKKF2QT4 y")] == [("json_web_token", 2, 55)]
+    for text in ("eyJ-" * 50_000, "eyJ-" * 50_000 + ".eyJ", "-----BEGIN PRIVATE KEY-----\n" * 20_000, "a_" * 200_000, "key" + " " * 300_000, "x://" * 100_000, "http://" + "a" * 300_000, "token=" * 80_000, "a+" * 200_000 + "://"):
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 8, text[:30]
+
+
+def test_closest_spans():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        spans = {(int(a), int(a + n)): (1, "") for a, n in zip(rng.integers(0, 20, 12), rng.integers(1, 9, 12))}
+        want = {x for x in spans if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in spans)}
+        assert set(secrets.closest(spans)) == want
+
+
 def test_lines(spark):
     rows = [(i, f"own {i}\n shared line \nend", "en", f"s{i}") for i in range(9)] + [(9, "shared line", "en", None), (10, None, "en", "s1")]
     found = {r["doc_id"]: r for r in line_dedup.drop_widespread_lines(docs(spark, rows)).collect()}
