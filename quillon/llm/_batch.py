@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,37 +71,38 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: The largest filter: 32 MB, however many keys there are.
+#: The largest filter: 2^22 words of 64 bits, however many keys there are.
 MOST_BITS = 28
 
 
-def key_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A filter that has the bit of every key (a 64-bit hash) set: 16 to 32 bits a key, 2^28 bits at most.
+class KeyFilter:
+    """Which keys (64-bit hashes) may be in a table, without a shuffle: 16 to 32 bits a key, 2^28 bits at most.
 
-    Beyond 16 million keys it passes more and more of the others; what it passes must be joined with the keys in any
-    case, so that costs shuffle and loses nothing.
+    The bits are a table of words that is broadcast to the scan, 4 million rows at most. Beyond 16 million keys it passes
+    more and more of the others; what it passes must be joined with the keys in any case, so that costs shuffle and loses
+    nothing.
     """
-    bits = min(MOST_BITS, max(10, (32 * keys.count()).bit_length() - 1))
-    place = F.shiftrightunsigned(key, 64 - bits)
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2^22 rows at most
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return out.view(np.uint64)
-
-
-def may_hold(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
-    """A predicate on a key column: whether the filter may have it. Only the key goes to Python, not the row."""
-    held = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        words = held.value
-        shift = np.uint64(64 - (len(words) * 64).bit_length() + 1)
-        place = keys.to_numpy().view(np.uint64) >> shift
-        return pd.Series((words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return test
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.bits = min(MOST_BITS, max(10, (32 * keys.count()).bit_length() - 1))
+        place = self._place(F.col(key))
+        words = keys.select(F.shiftright(place, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("_bits"))
+        self.words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+
+    def _place(self, key: Column) -> Column:
+        return F.shiftrightunsigned(key, 64 - self.bits)
+
+    def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """(rows whose key may be in the table, rows whose key surely isn't)."""
+        word, bits = fresh(df, "_word"), fresh(df, "_bits")
+        place = self._place(df[key])
+        found = df.join(F.broadcast(self.words.toDF(word, bits)), F.shiftright(place, 6) == F.col(word), "left")
+        hit = F.coalesce(F.call_function("shiftright", F.col(bits), place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+        return tuple(found.where(x).drop(word, bits) for x in (hit, ~hit))
+
+    def passing(self, df: DataFrame, key: str) -> DataFrame:
+        """The rows whose key may be in the table."""
+        return self.split(df, key)[0]
 
 
 def utf8(column: pa.Array, lower: bool = False) -> pa.Array:

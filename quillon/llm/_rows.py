@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batch import fresh, key_filter, may_hold
+from quillon.llm._batch import KeyFilter, fresh
 
 
 def text_keys(text: Column) -> tuple[Column, Column]:
@@ -28,9 +28,7 @@ def without(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame, rep
     a, b, c = (fresh(docs, f"_quillon_{x}") for x in ("a", "b", "c"))
     k1, k2 = text_keys(docs[text_col])
     keys = dropped.select("k1") if repeated is None else dropped.select("k1").unionByName(repeated.select("k1"))
-    maybe = may_hold(docs.sparkSession, key_filter(keys, "k1"))
-    marked = docs.withColumns({a: k1, b: k2})
-    stays, left = marked.where(~maybe(F.col(a))), marked.where(maybe(F.col(a)))
+    left, stays = KeyFilter(keys, "k1").split(docs.withColumns({a: k1, b: k2}), a)
     named = lambda t: t.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("id").alias(c))
 
     def on(x: DataFrame, t: DataFrame) -> Column:

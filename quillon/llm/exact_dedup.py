@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._batch import drop_written, key_filter, may_hold, written
+from quillon.llm._batch import KeyFilter, drop_written, written
 from quillon.llm._rows import keyed, without
 
 CAPACITY = 32 << 20
 KEY_BITS = 64
 _STEP = 8
-_HELD = 64 << 20
+_HELD = 16 << 20
 
 
 def directory(sizes: Callable[[int, list[int]], dict[int, tuple[int, int]]], capacity: int, bits: int = KEY_BITS) -> tuple[int, list[tuple[int, int, int]]]:
@@ -81,7 +81,7 @@ def owners(buckets: list[tuple[int, int, int]], share: int) -> list[int]:
 def _entries(docs: DataFrame) -> DataFrame:
     """(k1, k2, text, id, n) of docs' texts: in a task each text once, with its least id (nulls last) and its rows.
 
-    A task holds some 64 MB of texts and then begins anew, so a text may come several times from one task as well.
+    A task holds some 16 MB of texts and then begins anew, so a text may come several times from one task as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +154,7 @@ def _index(docs: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int]:
     """(entries, directory (bucket, prefix, depth, bytes, owner), owners): written tables of the texts whose key comes twice."""
     spark = docs.sparkSession
     twice = written(docs.groupBy("k1").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("k1"))
-    maybe = may_hold(spark, key_filter(twice, "k1"))
-    some = docs.where(maybe(F.col("k1")))
+    some = KeyFilter(twice, "k1").passing(docs, "k1")
     entries = written(_entries(some.join(twice, "k1", "left_semi")))
     sized = entries.select("k1", F.octet_length("text").alias("bytes"))
 
@@ -205,8 +204,7 @@ def _goes(docs: DataFrame, capacity: int) -> DataFrame:
     entries, table, tasks = _index(docs, capacity)
     owned = entries.withColumn("owner", _owner_of(table)(F.col("k1"))).repartitionById(tasks, "owner")
     chains = written(_chains(owned.sortWithinPartitions("k1", "k2")))
-    maybe = may_hold(docs.sparkSession, key_filter(chains, "k1"))
-    rows = docs.where(maybe(F.col("k1")))
+    rows = KeyFilter(chains, "k1").passing(docs, "k1")
     # texts move only where two different ones have one key of 128 bits
     apart = chains.where("text IS NOT NULL")
     found = rows.select("id", "k1", "k2").join(chains.where("text IS NULL").drop("text"), ["k1", "k2"])

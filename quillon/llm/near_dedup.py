@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm._batch import drop_written, key_filter, may_hold, mix, slices, utf8, windows, word_hashes, written
+from quillon.llm._batch import KeyFilter, drop_written, mix, slices, utf8, windows, word_hashes, written
 from quillon.llm._rows import keyed, without
 from quillon.llm.components import components
 
@@ -106,8 +106,8 @@ class _Search:
         pairs = self.keep(pairs.join(self.tested, ["a", "b"], "left_anti"))
         self.tested = self.tested.unionByName(pairs)
         # sketches of no pair stay where they are
-        asked = may_hold(self.spark, key_filter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
-        sets = self.nodes.where(asked(F.col("node"))).select("node", "n", "least")
+        asked = KeyFilter(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node")
+        sets = asked.passing(self.nodes, "node").select("node", "n", "least")
         both = pairs.join(sets.toDF("a", "na", "x"), "a").join(sets.toDF("b", "nb", "y"), "b")
         # sets whose sizes are too far apart can't be that similar, whatever they share
         both = both.where(F.least("na", "nb") >= self.threshold * F.greatest("na", "nb"))
@@ -117,8 +117,8 @@ class _Search:
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         keys = written(ends.join(self.nodes.select("node", "k1", "k2"), "node"))
         # texts of no likely pair stay where they are
-        maybe = may_hold(self.spark, key_filter(keys, "k1"))
-        texts = self.docs.select("k1", "k2", "text").where(maybe(F.col("k1"))).join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        maybe = KeyFilter(keys, "k1").passing(self.docs.select("k1", "k2", "text"), "k1")
+        texts = maybe.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
         whole = written(_whole_sets(texts, self.shingle))
         sets = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
