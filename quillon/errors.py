@@ -21,6 +21,11 @@ class CollectionExists(QuillonError):
     pass
 
 
+class ConcurrentChange(QuillonError):
+    def __init__(self, path: str):
+        super().__init__(f"another writer has changed {path}, or left its lock there")
+
+
 class InvalidQuery(QuillonError):
     pass
 

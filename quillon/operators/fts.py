@@ -1,8 +1,9 @@
-"""Full-text search: an inverted index as tables, BM25, terms, phrases, edit distance and a small query language.
+"""Full-text search: an inverted index as tables, BM25, terms, phrases, edit distance and a query language.
 
-The index is postings (field, term, id, tf, positions) and lengths (field, id, length); statistics of the corpus come
-from lengths. A search reads the postings of its terms only (the filter on term reaches the scan where the index is a
-table), so what it shuffles is the postings of these terms, not the corpus. Scores are
+The index is postings (bucket, field, term, id, tf, length, positions), lengths (field, id, length), terms (bucket, field,
+term, df) and stats (field, n, tokens). It is built once, in one pass over the texts, and written in folders by bucket,
+which is a hash of the term, and sorted by term: a search reads the folders of its terms and in them the row groups of
+these terms, so what it shuffles is the postings of the query, not the corpus. Scores are
 ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)), summed over terms
 and fields; they are rounded before ranking and ties go to the lower id. Lengths are exact.
 """
@@ -10,29 +11,86 @@ and fields; they are rounded before ranking and ties go to the lower id. Lengths
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillon.config import TextConfig
 from quillon.errors import InvalidQuery
 from quillon.functions.text import stem, stems, tokens
 
-PLACES = 6
+PLACES, BUCKETS = 6, 64
+_WORDS = 1 << 21
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def bucket_of(term: str) -> int:
+    """As _bucket(), for one term on the driver."""
+    return _signed(xxhash.xxh64_intdigest(term.encode(), 42)) % BUCKETS
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, term, id, tf, length, positions) of (field, id, words): each batch in one sort of its words' numbers."""
+    for batch in batches:
+        lists = batch.column("words")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        a = 0
+        while a < len(lists):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _WORDS, side="right")) - 1)
+            size = np.diff(offsets[a : b + 1])
+            coded = lists.values.slice(offsets[a], offsets[b] - offsets[a]).dictionary_encode()
+            code = coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(b - a), size)
+            key = row * max(1, len(coded.dictionary)) + code
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(first, len(key))
+            at = row[order[first]]
+            positions = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order]
+            part = batch.slice(a, b - a)
+            columns = [part.column("field").take(pa.array(at)), coded.dictionary.take(pa.array(code[order[first]])), part.column("id").take(pa.array(at)), pa.array(np.diff(ends)), pa.array(size[at]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["field", "term", "id", "tf", "length", "positions"])
+            a = b
 
 
 @dataclass
 class TextIndex:
-    """config tells how texts were analysed; queries are analysed alike."""
+    """config tells how texts were analysed; queries are analysed alike. stored is (id, ...), the fields that hits show."""
 
     postings: DataFrame
     lengths: DataFrame
     config: TextConfig
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
+    stored: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.terms is None:
+            self.terms = self.postings.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+        if self.totals is None:
+            self.totals = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
 
     @staticmethod
-    def build(docs: DataFrame, fields: dict[str, str] | None = None, id_col: str = "id", config: TextConfig = TextConfig()) -> "TextIndex":
-        """fields names the column of each field: strings, or arrays of strings whose values are indexed one after another."""
+    def build(docs: DataFrame, fields: dict[str, str] | None = None, id_col: str = "id", config: TextConfig = TextConfig(), stored: list[str] | None = None) -> "TextIndex":
+        """fields names the column of each field: strings, or arrays of strings whose values are indexed one after another.
+
+        Null texts are not indexed. stored are columns that with_fields() gives back.
+        """
         fields = fields or {f: f for f in config.fields if f in docs.columns}
         if not fields:
             raise InvalidQuery("no field to index")
@@ -42,27 +100,35 @@ class TextIndex:
             words = F.flatten(F.transform(column, lambda t: tokens(t, config.max_token_bytes))) if array else tokens(column, config.max_token_bytes)
             if config.stemming:
                 words = stems(words, config.stemming)
-            parts.append(docs.select(F.col(id_col).alias("id"), F.lit(field).alias("field"), words.alias("words")))
+            parts.append(docs.select(F.lit(field).alias("field"), F.col(id_col).alias("id"), words.alias("words")))
         analysed = parts[0]
         for p in parts[1:]:
             analysed = analysed.unionByName(p)
         analysed = analysed.where("words IS NOT NULL")
         lengths = analysed.select("field", "id", F.size("words").cast("long").alias("length"))
-        # repeated words of a document meet within its row, so postings need no shuffle
-        counted = analysed.select("field", "id", "words", F.explode(F.array_distinct("words")).alias("term"))
-        positions = F.filter(F.transform("words", lambda w, i: F.when(w == F.col("term"), i)), lambda i: i.isNotNull())
-        postings = counted.select("field", "term", "id", positions.alias("positions")).withColumn("tf", F.size("positions").cast("long"))
-        return TextIndex(postings.select("field", "term", "id", "tf", "positions"), lengths, config)
+        schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), docs.select(F.col(id_col).alias("id")).schema["id"], T.StructField("tf", T.LongType()), T.StructField("length", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        postings = analysed.mapInArrow(_counted, schema)
+        kept = docs.select(F.col(id_col).alias("id"), *stored) if stored else None
+        return TextIndex(postings.select(_bucket(F.col("term")).alias("bucket"), "*"), lengths, config, stored=kept)
 
     def write(self, path: str) -> "TextIndex":
-        """The index as tables: postings are sorted by term, so that a search reads few row groups."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "field", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """The index as tables. The postings move once, by bucket and id, so that a frequent term is not one task's."""
+        spark = self.postings.sparkSession
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spread = self.postings.withColumn("_part", F.pmod(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // BUCKETS)))), F.lit(parts)).cast("int"))
+        spread.repartitionById(parts, "_part").sortWithinPartitions("bucket", "term", "field", "id").drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return TextIndex.read(self.postings.sparkSession, path, self.config)
+        held = spark.read.parquet(f"{path}/postings")
+        held.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        TextIndex(held, spark.read.parquet(f"{path}/lengths"), self.config).totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        if self.stored is not None:
+            self.stored.write.mode("overwrite").parquet(f"{path}/stored")
+        return TextIndex.read(spark, path, self.config, self.stored is not None)
 
     @staticmethod
-    def read(spark: SparkSession, path: str, config: TextConfig = TextConfig()) -> "TextIndex":
-        return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), config)
+    def read(spark: SparkSession, path: str, config: TextConfig = TextConfig(), stored: bool = False) -> "TextIndex":
+        at = lambda name: spark.read.parquet(f"{path}/{name}")
+        return TextIndex(at("postings"), at("lengths"), config, at("terms"), at("totals"), at("stored") if stored else None)
 
     def analyse(self, text: str) -> list[str]:
         words = [t for t in re.findall(r"[^\W_]+", text.lower()) if len(t.encode()) < self.config.max_token_bytes]
@@ -71,28 +137,47 @@ class TextIndex:
     def delete(self, ids: DataFrame) -> "TextIndex":
         """The index without the documents of ids (id)."""
         gone = ids.select("id").distinct()
-        return TextIndex(self.postings.join(gone, "id", "left_anti"), self.lengths.join(gone, "id", "left_anti"), self.config)
+        left = lambda df: None if df is None else df.join(gone, "id", "left_anti")
+        return TextIndex(left(self.postings), left(self.lengths), self.config, stored=left(self.stored))
 
     def add(self, other: "TextIndex") -> "TextIndex":
-        return TextIndex(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), self.config)
+        stored = self.stored.unionByName(other.stored) if self.stored is not None and other.stored is not None else self.stored or other.stored
+        return TextIndex(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), self.config, stored=stored)
+
+    def num_docs(self) -> int:
+        return self.lengths.select("id").distinct().count()
 
     def stats(self) -> DataFrame:
         """(field, n_docs, n_tokens, mean_length)."""
-        return self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("n_tokens"), F.round(F.avg("length"), PLACES).alias("mean_length"))
+        return self.totals.select("field", F.col("n").alias("n_docs"), F.col("tokens").alias("n_tokens"), F.round(F.col("tokens") / F.col("n"), PLACES).alias("mean_length"))
 
-    def _fields(self, fields: list[str] | None) -> F.Column:
-        return F.col("field").isin(fields) if fields else F.lit(True)
+    def with_fields(self, found: DataFrame) -> DataFrame:
+        """found (id, ...) with the stored fields of its documents."""
+        if self.stored is None:
+            raise InvalidQuery("the index has no stored fields")
+        return found.join(self.stored, "id", "left")
 
-    def scored(self, terms: list[str], fields: list[str] | None = None) -> DataFrame:
-        """(term, field, id, score) for the postings of analysed terms."""
-        found = self.postings.where(F.col("term").isin(sorted(set(terms))) & self._fields(fields)).select("field", "term", "id", "tf")
-        df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term of the query and field
-        corpus = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # a row a field
+    # scores
+
+    def _of(self, table: DataFrame, terms: list[str], fields: list[str] | None) -> DataFrame:
+        """The rows of table that are of terms, read from their folders and row groups only."""
+        terms = sorted(set(terms))
+        here = F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms)
+        return table.where(here & F.col("field").isin(fields) if fields else here)
+
+    def _weighted(self, found: DataFrame, terms: DataFrame, *more: str) -> DataFrame:
+        """(more..., term, field, id, score) of postings, terms being the (few) rows of the terms table that they have."""
         k1, b = F.lit(float(self.config.k1)), F.lit(float(self.config.b))
-        both = found.join(self.lengths, ["field", "id"]).join(F.broadcast(df), ["field", "term"]).join(F.broadcast(corpus), "field")
+        totals = self.totals.select("field", "n", (F.col("tokens") / F.col("n")).alias("mean"))  # a row a field
+        both = found.join(terms.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(totals), "field")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        return both.select("term", "field", "id", (idf * weight).alias("score"))
+        return both.select(*more, "term", "field", "id", (idf * weight).alias("score"))
+
+    def scored(self, terms: list[str], fields: list[str] | None = None) -> DataFrame:
+        """(term, field, id, score) for the postings of analysed terms."""
+        found = self._of(self.postings, terms, fields).select("field", "term", "id", "tf", "length")
+        return self._weighted(found, F.broadcast(self._of(self.terms, terms, fields)))  # a row for each term of the query and field
 
     @staticmethod
     def top(scored: DataFrame, k: int | None, min_score: float | None = None) -> DataFrame:
@@ -108,26 +193,41 @@ class TextIndex:
         """(id, score) of the k best documents with any of the query's words; a blank query finds none."""
         return self.top(self.scored(self.analyse(query), fields), k, min_score)
 
+    def search_many(self, queries: DataFrame, k: int = 10, fields: list[str] | None = None) -> DataFrame:
+        """(query_id, id, score, rank): search() for a table of queries (query_id, query) in one plan.
+
+        The queries' distinct words meet their postings in a join on bucket and term, which prunes the folders at run time
+        where the queries are few; every task ranks its part before the k best of a query meet.
+        """
+        words = tokens("query", self.config.max_token_bytes)
+        asked = queries.select("query_id", F.explode(F.array_distinct(stems(words, self.config.stemming) if self.config.stemming else words)).alias("term"))
+        asked = asked.distinct().withColumn("bucket", _bucket(F.col("term")))
+        wanted = lambda table: table.where(F.col("field").isin(fields)) if fields else table
+        found = wanted(self.postings).select("bucket", "field", "term", "id", "tf", "length").join(asked, ["bucket", "term"])
+        terms = wanted(self.terms).join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+        parts = F.array_sort(F.collect_list("score"))
+        total = self._weighted(found, terms, "query_id").groupBy("query_id", "id").agg(F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), PLACES).alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     def term(self, field: str, term: str, k: int = 10) -> DataFrame:
         """(id, score) of the documents with one word in one field."""
-        if not self.lengths.where(F.col("field") == field).head(1):
+        if not self.totals.where(F.col("field") == field).head(1):
             raise InvalidQuery(f"unknown field: {field}")
         return self.top(self.scored(self.analyse(term), [field]), k)
 
     def phrase_matches(self, phrase: str, field: str = "text") -> DataFrame:
-        """(id, n): how often the words of phrase stand in sequence."""
+        """(id, length, n): how often the words of phrase stand in sequence, in documents of that length."""
         words = self.analyse(phrase)
-        if not words:
-            return self.postings.select("id", F.lit(0).cast("long").alias("n")).limit(0)
-        found = self.postings.where((F.col("field") == field) & F.col("term").isin(sorted(set(words))))
+        found = self._of(self.postings, words or [""], [field])
         # a document's postings of these words meet in one row; an offset's positions are shifted to the phrase's beginning
-        by_term = found.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-        starts = None
+        by_term = found.groupBy("id").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+        starts = F.array().cast("array<int>")
         for i, w in enumerate(words):
             shift = F.lit(i)
             here = F.transform(F.col("at")[w], lambda p: p - shift)  # evaluated at once, so shift is this word's
-            starts = here if starts is None else F.array_intersect(starts, here)
-        return by_term.select("id", F.size(starts).cast("long").alias("n")).where("n > 0")
+            starts = F.array_intersect(starts, here) if i else here
+        return by_term.select("id", "length", F.size(starts).cast("long").alias("n")).where("n > 0")
 
     def phrase(self, phrase: str, k: int = 10, field: str = "text") -> DataFrame:
         """(id, score) of the documents that have phrase, scored by BM25 with the phrase's frequency as tf and the sum of its
@@ -136,99 +236,187 @@ class TextIndex:
 
     def _phrase_scores(self, phrase: str, field: str) -> DataFrame:
         words = self.analyse(phrase)
-        df = self.postings.where((F.col("field") == field) & F.col("term").isin(sorted(set(words)))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        corpus = self.lengths.where(F.col("field") == field).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+        df = self._of(self.terms, words or [""], [field]).select("term", "df")
+        corpus = self.totals.where(F.col("field") == field).select("n", (F.col("tokens") / F.col("n")).alias("mean"))
         times = {w: words.count(w) for w in set(words)}
         repeat = F.element_at(F.create_map(*[F.lit(x) for p in sorted(times.items()) for x in p]), F.col("term")) if times else F.lit(0)
         each = (F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * repeat).alias("idf")
         ordered = F.array_sort(F.collect_list("idf"))
-        idf = df.crossJoin(F.broadcast(corpus)).select(each, "n", "mean").groupBy("n", "mean").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x).alias("idf"))
+        idf = df.crossJoin(F.broadcast(corpus)).select(each, "n", "mean").groupBy("n", "mean").agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x).alias("idf"))  # one row
         k1, b = F.lit(float(self.config.k1)), F.lit(float(self.config.b))
-        both = self.phrase_matches(phrase, field).withColumnRenamed("n", "tf").join(self.lengths.where(F.col("field") == field), "id").crossJoin(F.broadcast(idf))
+        both = self.phrase_matches(phrase, field).withColumnRenamed("n", "tf").crossJoin(F.broadcast(idf))
         weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        return both.select(F.lit(f'"{phrase}"').alias("term"), "field", "id", (F.col("idf") * weight).alias("score"))
+        return both.select(F.lit(f'"{phrase}"').alias("term"), F.lit(field).alias("field"), "id", (F.col("idf") * weight).alias("score"))
+
+    def _some(self, which: Callable[[DataFrame], DataFrame], fields: list[str] | None) -> DataFrame:
+        """scored() for the terms that which takes from the terms table: joined, not collected."""
+        terms = which(self.terms.where(F.col("field").isin(fields)) if fields else self.terms)
+        found = self.postings.join(terms.select("bucket", "field", "term"), ["bucket", "field", "term"], "left_semi")
+        return self._weighted(found.select("field", "term", "id", "tf", "length"), terms)
 
     def fuzzy_terms(self, word: str, most: int = 1, field: str | None = None) -> DataFrame:
         """(term, edits): the terms of the index within that many edits."""
-        terms = self.postings.where(F.col("field") == field) if field else self.postings
+        terms = self.terms.where(F.col("field") == field) if field else self.terms
         near = terms.select("term").distinct().withColumn("edits", F.levenshtein("term", F.lit(word), most))
         return near.where("edits >= 0")
 
     def fuzzy(self, query: str, k: int = 10, most: int = 1, fields: list[str] | None = None) -> DataFrame:
-        """(id, score): search() for all terms within most edits of the query's words. Terms are joined, not collected."""
-        near = None
-        for w in self.analyse(query):
-            part = self.fuzzy_terms(w, most).select("term")
-            near = part if near is None else near.unionByName(part)
-        if near is None:
-            return self.top(self.scored([]), k)
-        index = TextIndex(self.postings.join(near.distinct(), "term", "left_semi"), self.lengths, self.config)
-        return self.top(index._all_scored(fields), k)
-
-    def _all_scored(self, fields: list[str] | None) -> DataFrame:
-        found = self.postings.where(self._fields(fields)).select("field", "term", "id", "tf")
-        df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        corpus = self.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-        k1, b = F.lit(float(self.config.k1)), F.lit(float(self.config.b))
-        both = found.join(self.lengths, ["field", "id"]).join(df, ["field", "term"]).join(F.broadcast(corpus), "field")
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        return both.select("term", "field", "id", (idf * weight).alias("score"))
+        """(id, score): search() for all terms within most edits of the query's words."""
+        words = self.analyse(query)
+        near = F.lit(False)
+        for w in words:
+            near = near | (F.levenshtein("term", F.lit(w), most) >= 0)
+        return self.top(self._some(lambda t: t.where(near), fields), k)
+
+    # the query language
 
-    def boolean(self, query: str, k: int = 10, fields: list[str] | None = None) -> DataFrame:
-        """(id, score) for a query of words, "phrases", field:word, +must, -must not, AND, OR and NOT.
+    def boolean(self, query: str, k: int | None = 10, fields: list[str] | None = None) -> DataFrame:
+        """(id, score) of a query in the language that parse() reads.
 
-        Documents must match every required clause and no forbidden one, and a clause at least; the score is the sum over
-        the clauses that match. AND requires both sides; OR is the default.
+        Documents must match every required clause of a group and no forbidden one, and a clause at least; the score is
+        the sum over the clauses that match, times their boosts. A group of forbidden clauses alone matches nothing.
         """
-        clauses = parse(query)
-        if not any(c.mode != "-" for c in clauses):
-            return self.top(self.scored([]), k)
-        parts = []
-        for i, c in enumerate(clauses):
-            if c.phrase:
-                found = self._phrase_scores(c.text, c.field or "text")
-            else:
-                found = self.scored(self.analyse(c.text), [c.field] if c.field else fields)
-            parts.append(found.select("id", "score", F.lit(i).alias("clause")))
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
+        node = parse(query)
+        found = self._evaluate(node, fields)
+        return self.top(found if found is not None else self.scored([""]).select("id", "score"), k)
+
+    def _evaluate(self, node: "Node", fields: list[str] | None) -> DataFrame | None:
+        """(id, score), not yet summed by id for a leaf; None if nothing can match."""
+        own = [node.field] if node.field else fields
+        if node.kind == "group":
+            return self._group(node, own)
+        if node.kind == "phrase":
+            found = None
+            for field in own or self._field_names():
+                part = self._phrase_scores(node.text, field)
+                found = part if found is None else found.unionByName(part)
+        elif node.kind == "all":
+            found = self.lengths.select("id").distinct().withColumn("score", F.lit(1.0))
+        elif node.kind == "prefix":
+            prefix = F.lit(node.text.lower())
+            found = self._some(lambda t: t.where(F.col("term").startswith(prefix)), own)
+        elif node.kind == "range":
+            low, high, open_low, open_high = node.bounds
+            inside = F.lit(True)
+            if low != "*":
+                inside = inside & ((F.col("term") > low.lower()) if open_low else (F.col("term") >= low.lower()))
+            if high != "*":
+                inside = inside & ((F.col("term") < high.lower()) if open_high else (F.col("term") <= high.lower()))
+            found = self._some(lambda t: t.where(inside), own).select("id").distinct().withColumn("score", F.lit(1.0))
+        else:
+            words = self.analyse(node.text)
+            if not words:
+                return None
+            found = self.scored(words, own)
+        return found.select("id", (F.col("score") * node.boost).alias("score"))
+
+    def _field_names(self) -> list[str]:
+        return sorted(r["field"] for r in self.totals.select("field").collect())
+
+    def _group(self, node: "Node", fields: list[str] | None) -> DataFrame | None:
+        both = None
+        for i, clause in enumerate(node.clauses):
+            found = self._evaluate(clause, fields)
+            if found is None:
+                if clause.mode == "+":
+                    return None
+                continue
+            part = found.withColumn("clause", F.lit(i))
+            both = part if both is None else both.unionByName(part)
+        if both is None or not any(c.mode != "-" for c in node.clauses):
+            return None
         matched = both.groupBy("id").agg(F.collect_set("clause").alias("clauses"), F.collect_list(F.struct("clause", "score")).alias("s"))
-        forbidden = [i for i, c in enumerate(clauses) if c.mode == "-"]
-        for i, c in enumerate(clauses):
+        for i, c in enumerate(node.clauses):
             has = F.array_contains("clauses", i)
-            if c.mode != "":
+            if c.mode:
                 matched = matched.where(has if c.mode == "+" else ~has)
+        forbidden = [i for i, c in enumerate(node.clauses) if c.mode == "-"]
         scores = matched.select("id", F.explode("s").alias("s")).where(~F.col("s.clause").isin(forbidden) if forbidden else F.lit(True))
-        return self.top(scores.select("id", F.col("s.score").alias("score")), k)
+        return scores.select("id", (F.col("s.score") * node.boost).alias("score"))
 
 
-@dataclass(frozen=True)
-class Clause:
-    text: str
-    mode: str = ""
+@dataclass
+class Node:
+    """kind is word, phrase, prefix, range, all or group; mode is + for required, - for forbidden within the group."""
+
+    kind: str
+    text: str = ""
+    clauses: tuple["Node", ...] = ()
     field: str | None = None
-    phrase: bool = False
-
-
-_CLAUSE = re.compile(r'([+-])?(?:(\w+):)?(?:"([^"]*)"|(\S+))')
-
-
-def parse(query: str) -> list[Clause]:
-    """The clauses of a query; mode is + for required, - for forbidden."""
-    out: list[Clause] = []
-    joined = False  # by AND to what came before
-    negated = False
-    for sign, field, quoted, word in _CLAUSE.findall(query):
-        if word in ("AND", "OR", "NOT") and not sign and not field:
-            if word == "AND" and out:
-                joined = True
-                if not out[-1].mode:
-                    out[-1] = Clause(out[-1].text, "+", out[-1].field, out[-1].phrase)
-            negated = negated or word == "NOT"
-            continue
-        mode = "-" if negated or sign == "-" else "+" if joined or sign == "+" else ""
-        out.append(Clause(quoted or word, mode, field or None, bool(quoted)))
-        joined = negated = False
-    return out
+    mode: str = ""
+    boost: float = 1.0
+    bounds: tuple[str, str, bool, bool] | None = None
+
+
+_LEXEME = re.compile(r'\s+|(?P<sign>[+-])(?=\S)|(?P<open>\()|(?P<close>\))|(?P<field>\w+):(?=\S)|"(?P<quoted>[^"]*)"|(?P<low>[\[{])\s*(?P<from>\S+)\s+TO\s+(?P<to>[^\s\]}]+)\s*(?P<high>[\]}])|\^(?P<boost>\d+(?:\.\d+)?)|(?P<word>[^\s()"^]+)|.')
+
+
+def parse(query: str) -> Node:
+    """The tree of a query of words, "phrases", prefix*, [low TO high] and {low TO high} ranges of words, *, field:x, x^2,
+    +must, -must not, parentheses, and AND, OR, NOT. AND binds closer than OR, and makes its sides required where the group
+    has no OR; side by side is either. Any text is a query: a
+    parenthesis too many is left out, one too few is added at the end.
+    """
+    lexemes = [m for m in _LEXEME.finditer(query) if m.lastgroup]
+    at = 0
+
+    def group(depth: int) -> Node:
+        nonlocal at
+        alternatives: list[list[Node]] = [[]]  # the clauses between ORs and side by side; AND makes a list of several
+        mode, field, joined, negated, either = "", None, False, False, False
+        while at < len(lexemes):
+            m = lexemes[at]
+            at += 1
+            kind = m.lastgroup
+            if kind == "close":
+                if depth:
+                    break
+                continue
+            if kind == "sign":
+                mode = m["sign"]
+                continue
+            if kind == "field":
+                field = m["field"]
+                continue
+            if kind == "boost":
+                if alternatives[-1]:
+                    alternatives[-1][-1].boost = float(m["boost"])
+                continue
+            if kind == "word" and m["word"] in ("AND", "OR", "NOT") and not mode and not field:
+                joined = joined or m["word"] == "AND" and bool(alternatives[-1])
+                negated, either = negated or m["word"] == "NOT", either or m["word"] == "OR"
+                continue
+            if kind == "open":
+                node = group(depth + 1)
+            elif kind == "quoted":
+                node = Node("phrase", m["quoted"])
+            elif kind == "high":
+                node = Node("range", bounds=(m["from"], m["to"], m["low"] == "{", m["high"] == "}"))
+            elif m["word"] == "*":
+                node = Node("all")
+            elif m["word"].endswith("*"):
+                node = Node("prefix", m["word"][:-1])
+            else:
+                node = Node("word", m["word"])
+            node.field = field or node.field
+            node.mode = "-" if negated or mode == "-" else mode
+            if joined:
+                alternatives[-1].append(node)
+            else:
+                alternatives.append([node])
+            mode, field, joined, negated = "", None, False, False
+        clauses: list[Node] = []
+        alternatives = [a for a in alternatives if a]
+        for several in alternatives:
+            if len(several) == 1:
+                clauses.append(several[0])
+                continue
+            for x in several:
+                x.mode = x.mode or "+"
+            if len(alternatives) == 1 or not either:
+                clauses += several
+            else:
+                clauses.append(Node("group", clauses=tuple(several)))
+        return Node("group", clauses=tuple(clauses))
+
+    return group(0)

@@ -10,7 +10,8 @@ from quillon.functions.text import char_chunks, stems, tokens, word_chunks
 from quillon.operators import hybrid, knn
 from quillon.operators.embed import embed, embed_query
 from quillon.operators.fts import TextIndex
-from quillon.plans.common import CORPUS, QUERY, SQL_QUERY, TEXT, bm25, corpus, l2, query, r6, table, text_corpus, total
+from quillon.plans.common import CORPUS, QUERY, SQL_QUERY, TEXT, bm25, corpus, l2, query, r6, table, text_corpus, total, workspace
+from quillon.sources.storage import Storage
 
 PLAIN = TextConfig(stemming=None)
 WORDS = "the water nicht pour model"
@@ -20,8 +21,22 @@ K, CANDIDATES = 10, 100
 ASCII_TERM = r"regexp_replace(term, '[^\x00-\x7F]', '#', 'g')"
 
 
+_served: dict[tuple[str, str], str] = {}
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a new index of all documents."""
+    path = workspace(spark)
+    TextIndex.build(text_corpus(spark, sf_dir), {"text": "text", "title": "title"}, config=PLAIN, stored=["title"]).write(path)
+    return path
+
+
 def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.build(text_corpus(spark, sf_dir), {"text": "text", "title": "title"}, config=PLAIN)
+    """The index of these documents that the application has built, as a server would hold it: built for the first query."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _served or not Storage(spark).exists(_served[key]):
+        _served[key] = build_index(spark, sf_dir)
+    return TextIndex.read(spark, _served[key], PLAIN, stored=True)
 
 
 def _top(source: str, k: int = K) -> str:
@@ -41,7 +56,7 @@ def text_stem(spark, sf_dir):
 
 @query(f"WITH {TEXT} SELECT field, term, id, tf, list_transform(positions, lambda p: p::INTEGER) AS positions FROM postings")
 def fts_postings(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.select("field", "term", "id", "tf", "positions")
 
 
 @query(f"WITH {TEXT} SELECT field, count(*) AS n_docs, sum(length)::BIGINT AS n_tokens, {r6('avg(length)')} AS mean_length FROM lengths GROUP BY field")
@@ -61,6 +76,35 @@ def bm25_topk(spark, sf_dir):
     return _index(spark, sf_dir).search(WORDS, K, ["text"])
 
 
+@query(
+    f"""WITH {TEXT}, asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) < 40)) AS term FROM benchmark WHERE text IS NOT NULL),
+{bm25('s', "p.field = 'text' AND p.term IN (SELECT term FROM asked)")},
+t2 AS (SELECT query_id, id, {r6('list_sum(list_sort(list(score)))')} AS score FROM asked JOIN s USING (term) GROUP BY query_id, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM t2) SELECT * FROM r WHERE rank <= {K}"""
+)
+def bm25_batch(spark, sf_dir):
+    """Every benchmark passage as a query."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _index(spark, sf_dir).search_many(asked, K, ["text"])
+
+
+@query(
+    f"""WITH {TEXT}, {bm25('s', "p.field = 'text' AND (term IN ('water', 'model') OR starts_with(term, 'riv') OR (term >= 'mil' AND term < 'mill'))")},
+w AS (SELECT id, term, CASE WHEN term = 'model' THEN score * 2 WHEN term >= 'mil' AND term < 'mill' THEN 1 ELSE score END AS score FROM s),
+ok AS (SELECT id FROM w GROUP BY id HAVING count(*) FILTER (starts_with(term, 'riv')) > 0 AND count(*) FILTER (term IN ('water', 'model')) > 0 AND count(*) FILTER (term >= 'mil' AND term < 'mill') = 0),
+s2 AS (SELECT w.id, w.term, w.score FROM w JOIN ok USING (id)) {_top('s2', 50)}"""
+)
+def fts_query_language(spark, sf_dir):
+    """Groups, boosts, prefixes and ranges."""
+    return _index(spark, sf_dir).boolean("text:(water model^2) AND text:riv* AND NOT text:[mil TO mill}", 50)
+
+
+@query(f"WITH {TEXT}, {bm25('s', SQL_WORDS + ' AND p.field = ' + repr('text'))}, x AS ({_top('s')}) SELECT x.*, title FROM x JOIN t USING (id)")
+def fts_stored_fields(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    return index.with_fields(index.search(WORDS, K, ["text"]))
+
+
 _FIELDS = "(term IN ('the', 'web', 'en'))"
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from quillon.errors import ConcurrentChange
+
 
 class Storage:
     def __init__(self, spark: SparkSession):
-        self._jvm = spark.sparkContext._jvm
+        self._spark, self._jvm = spark, spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -28,18 +31,59 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Whole or not at all: to another name first, which is then renamed."""
-        p, fs = self._at(path)
-        other = self._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    def _written(self, path: str, text: str):
+        """text as a new file beside path."""
+        other, fs = self._at(f"{path}.{uuid.uuid4().hex}.new")
         stream = fs.create(other, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(other, p)
+        return other
+
+    def _context(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(path)[0].toUri(), self._conf)
+
+    def _rename(self, other, path: str, overwrite: bool) -> None:
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self._spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if overwrite else kind.NONE
+        self._context(path).rename(other, self._at(path)[0], options)
+
+    def write(self, path: str, text: str) -> None:
+        """Whole or not at all: to another name first, which is then renamed over the old file in one step."""
+        self._rename(self._written(path, text), path, True)
+
+    def create(self, path: str, text: str) -> bool:
+        """write(), unless there is such a file already; whether it was made."""
+        if self.exists(path):
+            return False
+        other = self._written(path, text)
+        try:
+            self._rename(other, path, False)
+        except Py4JJavaError:
+            self._at(path)[1].delete(other, False)
+            if self.exists(path):
+                return False
+            raise
+        return True
+
+    def replace(self, path: str, old: str, new: str) -> None:
+        """write(), if the file still holds old; ConcurrentChange if another writer came first.
+
+        A file that only one writer can make, path.lock, keeps others out between the look and the rename.
+        """
+        lock, fs = self._at(f"{path}.lock")
+        try:
+            fs.create(lock, False).close()
+        except Py4JJavaError as e:
+            raise ConcurrentChange(path) from e
+        try:
+            if self.read(path) != old:
+                raise ConcurrentChange(path)
+            self.write(path, new)
+        finally:
+            fs.delete(lock, False)
 
     def folders(self, path: str) -> list[str]:
         p, fs = self._at(path)

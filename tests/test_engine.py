@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.config import CollectionConfig, HnswConfig, HybridConfig, KMeansConfig, PqConfig, TextConfig
-from quillon.errors import CollectionExists, CollectionNotFound, DimensionMismatch, InsufficientSamples, InvalidConfig
+from quillon.errors import CollectionExists, CollectionNotFound, ConcurrentChange, DimensionMismatch, InsufficientSamples, InvalidConfig
 from quillon.functions import vectors as V
 from quillon.functions.text import char_chunks, porter, word_chunks
 from quillon.operators import hybrid, kmeans, knn, pq
@@ -11,6 +11,7 @@ from quillon.operators.fts import TextIndex, parse
 from quillon.operators.hnsw import Graph
 from quillon.sources.collection import Catalog
 from quillon.sources.files import random_vectors, read_npy
+from quillon.sources.text_store import TextStore
 from quillon.streaming.ingest import ingest, read_points
 
 
@@ -126,7 +127,61 @@ def test_text_search(spark, tmp_path):
     assert set(ids(index.boolean('learning -"machine learning"'))) == {"vec_1", "vec_3"}
     gone = spark.createDataFrame([("vec_0",)], "id string")
     assert set(ids(index.delete(gone).search("machine"))) == {"vec_2", "vec_3"}
-    assert [c.mode for c in parse("a AND b NOT c +d")] == ["+", "+", "-", "+"]
+    assert set(ids(index.boolean("(deep OR old) AND learning"))) == {"vec_1"}
+    assert set(ids(index.boolean("(machine AND learning) OR deep"))) == {"vec_0", "vec_1", "vec_3"}
+    assert set(ids(index.boolean("netw*"))) == {"vec_1"} and set(ids(index.boolean("text:{machin TO one]"))) == {"vec_1", "vec_2"}
+    assert len(ids(index.boolean("*"))) == 5 and ids(index.boolean("-machine")) == [] and ids(index.boolean("((")) == []
+    assert ids(index.boolean("learning machine^0"))[:1] == ids(index.boolean("learning"))[:1]
+    many = index.search_many(spark.createDataFrame([(1, "machines"), (2, "  "), (3, "deep old")], "query_id long, query string"), 2)
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in many.collect())[-2:] == [(3, "vec_1", 1), (3, "vec_2", 2)]
+
+
+def test_query_parser():
+    assert [c.mode for c in parse("a AND b NOT c +d").clauses] == ["+", "+", "-", "+"]
+    both = parse("a AND b OR c").clauses
+    assert [c.kind for c in both] == ["group", "word"] and [c.mode for c in both[0].clauses] == ["+", "+"]
+    n = parse('title:(x "y z"^2.5) [a TO *} w* *)')
+    assert [c.kind for c in n.clauses] == ["group", "range", "prefix", "all"] and n.clauses[0].field == "title"
+    assert n.clauses[0].clauses[1].boost == 2.5 and n.clauses[1].bounds == ("a", "*", False, True)
+
+
+def test_postings_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "é"], int(rng.integers(0, 30))))) for i in range(50)]
+    index = TextIndex.build(spark.createDataFrame([*rows, (99, None)], "id long, text string"), {"text": "text"}, config=TextConfig(stemming=None))
+    want = sorted((t, i, len(w), [p for p, x in enumerate(w) if x == t]) for i, text in rows for w in [text.split()] for t in set(w))
+    assert sorted((r["term"], r["id"], r["length"], r["positions"]) for r in index.postings.collect()) == want
+
+
+def test_text_store(spark, tmp_path):
+    """Additions show after a commit, also to who opens the folder anew; deletions hit what was added before them."""
+    at = str(tmp_path / "store")
+    store = TextStore.create(spark, at, {"text": "text"}, TextConfig(stemming=None), stored=["text"])
+    with pytest.raises(CollectionExists):
+        TextStore.create(spark, at, {"text": "text"})
+    docs = lambda *rows: spark.createDataFrame(rows, "id string, text string")
+    ids = lambda s: sorted(r["id"] for r in s.index().search("river").collect())
+    assert ids(store) == [] and store.num_docs() == 0
+    store.add(docs(("a", "the river"), ("b", "the mill")))
+    assert ids(store) == []
+    store.commit()
+    assert ids(store) == ids(TextStore(spark, at)) == ["a"]
+    store.add(docs(("c", "another river")))
+    store.rollback()
+    store.delete(docs(("a", ""), ("x", "")))
+    store.add(docs(("a", "river again"), ("d", "no")))
+    other = TextStore(spark, at)
+    store.commit()
+    other.add(docs(("e", "river")))
+    with pytest.raises(ConcurrentChange):
+        other.commit()
+    assert ids(store) == ["a"] and store.num_docs() == 3
+    before = sorted(map(tuple, store.index().search("river the").collect()))
+    store.optimize()
+    again = TextStore(spark, at)
+    assert len(again.meta["segments"]) == 1 and sorted(map(tuple, again.index().search("river the").collect())) == before
+    index = again.index()
+    assert [r["text"] for r in index.with_fields(index.search("river")).collect()] == ["river again"]
 
 
 def test_fusion(spark):
