@@ -3,14 +3,14 @@
 Texts are split into pieces, and the pieces that a worker has not met yet are encoded together: bucketed by length, each
 bucket is a padded matrix of token ids with a row for each piece. In every round each row merges its leftmost pair of
 least rank; ranks come from a hash table of pairs held in two numpy arrays; the row then closes up, and rows without a
-pair to merge leave the matrix. Pieces beyond the widest bucket, such as a long run of one letter, are merged in the
-same order with a heap, since a round for each merge would cost the square of their length.
+pair to merge leave the matrix. Pieces beyond the widest bucket are first divided between bytes that no token has side by
+side, as nothing merges across them; a part that is still longer, such as a run of one letter, is a matrix of one row,
+where a round takes at once all merges that would come one after the other with the same rank.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +81,11 @@ class Bpe:
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
-        self.pairs = pairs
+        self.beside = np.zeros((256, 256), bool)  # bytes that a token has side by side
+        inner = np.ones(len(self.token_bytes), bool)
+        inner[self.token_begin[:-1][np.diff(self.token_begin) > 0]] = False
+        at = np.flatnonzero(inner)
+        self.beside[self.token_bytes[at - 1], self.token_bytes[at]] = True
         self.table = PairTable(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.cached = cached
         self._forget()
@@ -122,49 +126,77 @@ class Bpe:
             ranks[before, best[before] - 1] = self.table.find(m[before, best[before] - 1], rank[before])
             left[live] -= 1
 
-    def _long(self, piece: bytes) -> list[int]:
-        """The same merges in the same order, with a heap of (rank, place) and links to the neighbours."""
-        ids = [int(self.of_byte[b]) for b in piece]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        rank = [self.pairs.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
-        heap = [(r, i) for i, r in enumerate(rank) if r >= 0]
-        heapq.heapify(heap)
-
-        def renew(i: int) -> None:
-            j = after[i]
-            rank[i] = self.pairs.get(ids[i] << 32 | ids[j], -1) if j < len(ids) else -1
-            if rank[i] >= 0:
-                heapq.heappush(heap, (rank[i], i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
+    def _row(self, piece: bytes) -> np.ndarray:
+        """The ids of one long row. A round merges the leftmost pairs of least rank up to the first that makes a pair of a
+        still lower rank, which would be next."""
+        ids = self.of_byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.table.find(ids[:-1], ids[1:])
+        while len(ranks) and (rank := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == rank)
+            begins = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]  # of pairs that overlap, every second
+            same = np.full(len(at), rank, np.int32)
+            left = np.where(at > 0, ids[at - 1], -1)
+            left[1:] = np.where(np.diff(at) == 2, rank, left[1:])
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            lower = (self.table.find(left, same) < rank) | (self.table.find(same, right) < rank)
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            ids[at] = rank
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks = ids[keep], ranks[keep[1:]]
+            now = at - np.arange(len(at))  # where the merged ones are after the row has closed up
+            for place in (now[now < len(ranks)], now[now > 0] - 1):
+                ranks[place] = self.table.find(ids[place], ids[place + 1])
+        return ids
+
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """piece divided between bytes that no token has side by side."""
+        data = np.frombuffer(piece, np.uint8)
+        cut = [0, *(np.flatnonzero(~self.beside[data[:-1], data[1:]]) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _encoded(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of rows of bytes, in order."""
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        bucket = np.searchsorted(WIDTHS, size)
+        n = np.zeros(len(raw), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # rows, their ids
+        for k in np.unique(bucket):
+            of = np.flatnonzero(bucket == k)
+            if k == len(WIDTHS):
+                for i in of:
+                    ids = self._row(raw[i])
+                    n[i] = len(ids)
+                    found.append((of[of == i], ids))
                 continue
-            j = after[i]
-            ids[i], after[i], rank[j], ids[j] = r, after[j], -1, -1
-            if after[i] < len(ids):
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        return [i for i in ids if i >= 0]
+            for some in np.array_split(of, -(-len(of) * WIDTHS[k] // (1 << 20)) or 1):
+                m, n[some] = self._matrix([raw[i] for i in some], WIDTHS[k])
+                found.append((some, m[m >= 0]))
+        out = np.zeros(int(n.sum()), np.int32)
+        begin = np.cumsum(n) - n
+        for rows, ids in found:
+            many = n[rows]
+            out[np.repeat(begin[rows] - (np.cumsum(many) - many), many) + np.arange(len(ids))] = ids
+        return out, n
 
     def _add(self, pieces: list[str]) -> None:
         """Encodes pieces and adds them to the known ones."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        bucket = np.searchsorted(WIDTHS, size)
-        for k in range(len(WIDTHS) + 1):
-            of = np.flatnonzero(bucket == k)
-            if k < len(WIDTHS):
-                for some in np.array_split(of, -(-len(of) * WIDTHS[k] // (1 << 20)) or 1):
-                    if len(some):
-                        m, n = self._matrix([raw[i] for i in some], WIDTHS[k])
-                        self._keep([pieces[i] for i in some], m[m >= 0], n)
-            else:
-                for i in of:
-                    ids = self._long(raw[i])
-                    self._keep([pieces[i]], np.array(ids, np.int32), np.array([len(ids)]))
+        if max(map(len, raw)) <= WIDTHS[-1]:
+            return self._keep(pieces, *self._encoded(raw))
+        parts = [self._parts(r) if len(r) > WIDTHS[-1] else [r] for r in raw]
+        number: dict[bytes, int] = {}
+        for of in parts:
+            for x in of:
+                number.setdefault(x, len(number))
+        ids, n = self._encoded(list(number))
+        begin = np.cumsum(n) - n
+        row = np.fromiter((number[x] for of in parts for x in of), np.int64)
+        many = n[row]
+        whole = ids[np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        self._keep(pieces, whole, np.add.reduceat(many, np.cumsum([0, *map(len, parts)])[:-1]))
 
     def _keep(self, pieces: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -221,7 +253,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     round_trip tells whether decoding the tokens gives the text's bytes again. An empty text has no tokens; a null text
     has nulls in all but doc_id. Special tokens in a text are ordinary text. Rows are independent, so repeated rows give
-    equal rows; other columns are not read. path must exist on every executor.
+    equal rows; other columns are not read. Very long texts and words are encoded whole; an empty table gives an empty
+    result. path must exist on every executor.
     """
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 

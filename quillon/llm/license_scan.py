@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm._batch import slices, utf8, windows, word_hashes
+from quillon.llm._batch import KeyFilter, slices, utf8, windows, word_hashes, written
 from quillon.llm._rows import keyed
 from quillon.llm.license_texts import TEMPLATES
 
@@ -123,21 +123,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drift apart (less for a shorter template), and holds if twice the words in common with the template, in order, by the words of both is at least
     similarity. Of licences that overlap the most similar stays, ties by more words, then by name. Words are runs of
     letters and digits in lower case, counted from 0. Null and empty texts have no findings; repeated rows have theirs
-    again. Templates shorter than k words find nothing. Other columns are not read, and an empty table gives an empty
-    result.
+    again. Templates shorter than k words find nothing. Very long texts are scanned whole. Other columns are not read, and
+    an empty table gives an empty result.
     """
     source = keyed(docs, id_col, text_col)
-    spans = candidates(source, templates, k, drift, votes)
+    spans = written(candidates(source, templates, k, drift, votes))
     known = {name: words_of(text) for name, text in templates.items()}
-    all_grams = np.unique(np.concatenate([grams(w, k) for w in known.values()] or [np.zeros(0, np.int64)]))
-
-    def with_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = []
-            for first, offsets, data in slices(utf8(batch.column("text"), lower=True)):
-                h, rows, _ = windows(*word_hashes(offsets, data), len(offsets) - 1, k, pad=False)
-                some.append(first + np.unique(rows[np.isin(h.view(np.int64), all_grams)]))
-            yield batch.take(pa.array(np.concatenate(some) if some else np.zeros(0, np.int64)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +141,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "license", "first_word", "end_word", "votes", "similarity"])
 
-    # texts without any hit stay where they are: only those with one move to meet their spans
-    texts = source.mapInArrow(with_hits, source.schema)
+    # texts without a span stay where they are: only those with one move to meet it
+    texts = KeyFilter(spans, "k1").passing(source, "k1")
     on = [texts.k1 == spans.k1, texts.k2 == spans.k2, texts.id.eqNullSafe(spans.id)]
     both = texts.join(spans, on).select(texts.id.alias("id"), "text", "spans")
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("votes", T.LongType()), T.StructField("similarity", T.DoubleType())])

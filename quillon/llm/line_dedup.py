@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._batch import written
+from quillon.llm._batch import KeyFilter, written
 from quillon.llm._rows import text_keys
 
 MIN_SITES, LG_K = 8, 8
@@ -33,7 +33,7 @@ def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
     spread = written(spread.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - error)))
     near = spread.where(F.col("sites") <= min_sites * (1 + error)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = KeyFilter(near, "line").passing(lines, "line").join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where(F.col("sites") > min_sites * (1 + error)).select("line").unionByName(exact.select("line"))
 
 
@@ -42,16 +42,20 @@ def drop_widespread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Lines are what line feeds separate, compared without blanks at their ends; blank lines stay and don't count. n_lines
     counts lines before the removal. A null site has no part in the counts, but its documents are cleaned like others; a
-    null text stays null with 0 lines; an empty one stays empty. Repeated rows are cleaned alike and add no site. Other
-    columns are not read, and an empty table gives an empty result.
+    null text stays null with 0 lines; an empty one stays empty. Repeated rows are cleaned alike and add no site. Very
+    long texts are cleaned whole. Other columns are not read, and an empty table gives an empty result.
     """
     k1, k2 = text_keys(docs[text_col])
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[site_col].cast("string").alias("site"), k1.alias("k1"), k2.alias("k2"))
     wide = written(widespread_lines(source, min_sites, lg_k))
-    gone = _lines(source, "k1", "k2").join(wide, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    held = KeyFilter(wide, "line").passing(_lines(source, "k1", "k2"), "line").join(wide, "line", "left_semi")
+    gone = written(held.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")))
     lines = F.split("text", "\n", -1)
     full = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
-    cleaned = source.join(gone, ["k1", "k2"], "left").withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("gone", _key(x)) | (F.btrim(x, F.lit(" \t\r")) == ""))))
+    # texts that lose no line stay where they are
+    some, whole = KeyFilter(gone, "k1").split(source, "k1")
+    both = some.join(gone, ["k1", "k2"], "left").unionByName(whole.withColumn("gone", F.lit(None).cast("array<long>")))
+    cleaned = both.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("gone", _key(x)) | (F.btrim(x, F.lit(" \t\r")) == ""))))
     return cleaned.select(
         "doc_id",
         F.coalesce(F.array_join("kept", "\n"), "text").alias("text"),
