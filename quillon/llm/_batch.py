@@ -35,6 +35,15 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, and Arrow batches of 4 MB at most from now on, where the session leaves that at its default of 64: a task holds a
+    batch in the JVM, on the way and in Python, and a slice of work is smaller in any case."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) == "67108864b":
+        conf.set(key, "4m")
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._batch import KeyFilter, fresh
+from quillon.llm._batch import KeyFilter, fresh, small_batches
 
 
 def text_keys(text: Column) -> tuple[Column, Column]:
@@ -16,7 +16,7 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(id, text, more..., k1, k2): the named columns alone, so no other column can clash."""
     k1, k2 = text_keys(docs[text_col])
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(c) for c in more], k1.alias("k1"), k2.alias("k2"))
+    return small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(c) for c in more], k1.alias("k1"), k2.alias("k2"))
 
 
 def without(docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quillon.llm._batch import mix
+from quillon.llm._batch import mix, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     equal rows; other columns are not read. Very long texts and words are encoded whole; an empty table gives an empty
     result. path must exist on every executor.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    source = small_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)

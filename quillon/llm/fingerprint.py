@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quillon.llm._batch import utf8
+from quillon.llm._batch import small_batches
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1130773907, 1582439221)
@@ -141,7 +141,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append((prefix.n, prefix.fingerprint, *(prefix.longest_repeat() if repeats else ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (zip(*found) if found else [[]] * len(columns)))], names=["doc_id", *columns])
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    source = small_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return source.mapInArrow(run, T.StructType([source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in columns)]))
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillon.llm._batch import small_batches
+
 MAX_DEPTH = 512  # as in browsers: deeper elements become siblings, and nothing is lost
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -442,7 +444,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     A null page gives a null text and null n_chars, an empty one and one without visible text an empty text. Any text is
     a page, however broken or long; elements deeper than 512 become siblings. An empty table gives an empty result. Rows are independent, so repeated rows give equal rows; other columns are not read.
     """
-    source = pages.select(pages[id_col].alias("page_id"), pages[html_col].alias("html"))
+    source = small_batches(pages).select(pages[id_col].alias("page_id"), pages[html_col].alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm._batch import fresh, mix
+from quillon.llm._batch import fresh, mix, small_batches
 
 BITS, ORDERS = 14, 3
 FEATURES = 1 << BITS
@@ -172,7 +172,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_
     That sample is the only bound: document frequencies are of all documents. Labels with fewer than two documents with
     letters are no class. Null labels and null texts are not used for fitting. None if no class is left.
     """
-    source = docs.select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
+    source = small_batches(docs).select(docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
     df, total = _document_frequency(source.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
     labelled = source.where("label IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64(F.lit(seed), "text"))

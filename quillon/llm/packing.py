@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm._batch import drop_written, slices, utf8, written
+from quillon.llm._batch import drop_written, slices, small_batches, utf8, written
 from quillon.llm._rows import text_keys
 
 WINDOW, SENTENCE_PENALTY, WORD_PENALTY, BLOCK_WORDS = 1024, 32, 256, 1 << 19
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     table gives no windows.
     """
     k1, k2 = text_keys(docs[text_col])
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), k1.alias("k1"), k2.alias("k2"))
+    source = small_batches(docs).select(docs[id_col].alias("id"), docs[text_col].alias("text"), k1.alias("k1"), k2.alias("k2"))
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     ranges = _ranges(source, block_words, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = spark.sparkContext.broadcast([start for _, start in ranges])

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quillon.llm._batch import small_batches
+
 PIECE, OVERLAP = 1 << 24, 1 << 16  # decompressed bytes that are held at once; what two pieces have in common at a hard cut
 MASK = "[SECRET]"
 
@@ -392,7 +394,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     any length are scanned whole. Null and empty texts have no findings; repeated rows have their findings again. Other
     columns are not read, and an empty table gives an empty result.
     """
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    source = small_batches(docs).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,7 +434,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
                 columns[length] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, old, new)], columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,22 @@ import gzip
 import io
 import itertools
 import lzma
+import math
 import tarfile
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import bpe, exact_dedup, fingerprint, html_text, language_id, license_scan, line_dedup, near_dedup, packing, secrets
+from quillon.llm import bpe, components, exact_dedup, fingerprint, html_text, language_id, license_scan, line_dedup, near_dedup, packing, secrets
 from quillon.llm.catalogue import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, id string, node string, owner string"
@@ -69,9 +73,50 @@ def test_a_row_for_every_row(name, odd):
     assert OPERATORS[name](odd).count() == odd.count()
 
 
-@pytest.mark.parametrize("name", ["packing", "secrets", "license", "language_keep"])
-def test_odd_rows_run(name, odd):
-    OPERATORS[name](odd).collect()
+def test_odd_rows(odd):
+    """Nulls, empty and blank texts, a very long one and repeated rows have the results that the docstrings tell."""
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    lengths = {(r["doc_id"], r["n_units"]) for r in fingerprint.fingerprints(odd).collect()}
+    assert lengths == {(i, None if t is None else len(t)) for i, t in texts}
+    language = language_id.identify(odd, per_class=5).collect()
+    assert all((r["language"] is None) == (r["confidence"] is None) for r in language)
+    assert sum(r["language"] is None for r in language) == sum(not (t or "").strip() for _, t in texts)
+    kept = language_id.keep_identified(odd, least=0.0, per_class=5)
+    assert kept.columns == odd.columns and kept.count() == sum(bool((t or "").strip()) for _, t in texts)
+    encoded = {(r["doc_id"], r["n_bytes"], r["n_tokens"] is None, r["tokens"] is None) for r in bpe.encode(odd).collect()}
+    assert encoded == {(i, None if t is None else len(t.encode()), t is None, t is None) for i, t in texts}
+    assert secrets.secret_scan(odd).count() == 0 and license_scan.license_scan(odd).count() == 0
+    assert sorted(map(str, secrets.redact_secrets(odd).collect())) == sorted(map(str, odd.collect()))
+    assert {r["n_removed"] for r in line_dedup.drop_widespread_lines(odd, min_sites=2).collect()} == {0}  # a null site is none
+    lines = line_dedup.drop_widespread_lines(odd, min_sites=1).collect()
+    assert {r["doc_id"]: r["text"] for r in lines} == {i: t if t is None or not t.strip() else "" for i, t in texts} | {8: "  \n\t "}
+    assert sum(r["n_removed"] for r in lines) == 6
+
+
+def test_no_labels_no_model(spark, odd):
+    """A table whose labels are all null has no classifier: nothing is identified, so nothing is kept."""
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["language"] for r in language_id.identify(bare).collect()} == {None}
+    assert language_id.keep_identified(bare).count() == 0
+
+
+CLASHES = ["language", "confidence", "block", "range", "weight", "site", "line", "gone", "kept", "spans", "votes", "tokens", "_word", "_bits", "m", "n", "node", "root", "entries", "_quillon_a"]
+
+
+@pytest.mark.parametrize("name", ["near_drop", "exact_drop", "language_keep", "redact"])
+def test_clashing_names(name, odd):
+    """Filters give back every column, whatever its name."""
+    wide = odd.select("*", *(F.lit(c).alias(c) for c in CLASHES if c not in odd.columns))
+    out = OPERATORS[name](wide)
+    assert out.columns == wide.columns and out.count() == OPERATORS[name](odd).count()
+    assert out.select(*CLASHES).distinct().count() <= 1
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("near_drop", "exact_drop", "language_keep", "redact")])
+def test_clashing_names_are_not_read(name, odd):
+    wide = odd.select("doc_id", "text", "lang", "source", *(F.lit(1).alias(c) for c in CLASHES))
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(OPERATORS[name](wide)) == order(OPERATORS[name](odd))
 
 
 def test_near_groups(odd):
@@ -149,6 +194,35 @@ def test_near_against_all_pairs(spark):
     assert len(found & want) >= 0.9 * len(want) and not found - want
 
 
+def test_near_short_texts_are_all_found(spark):
+    """Sets that their sketch holds whole lose no pair."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{i}" for i in rng.choice(400, int(rng.integers(3, 34)), replace=False)]
+        texts += [base, base[: max(1, len(base) - int(rng.integers(0, 9)))]]
+    sets = [{tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = {(i, r) for i, r in enumerate(root) if r != i}
+    found = {tuple(r) for r in near_dedup.near_duplicates(docs(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert found == want
+
+
+def test_components_on_the_cluster(spark):
+    """Star rounds and the union-find give the same roots, with loops, repeats and nulls among the edges."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 300, 260), rng.integers(0, 300, 260))] + [(5, 5), (7, 8), (7, 8), (None, 3)] + [(i, i + 1) for i in range(1000, 1040)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    near = {tuple(r) for r in components.components(table).collect()}
+    assert near == {tuple(r) for r in components.components(table, driver_edges=1).collect()} and (1040, 1000) in near
+    assert components.components(table.limit(0)).count() == 0
+
+
 def test_near_copies_between_a_half_and_more(spark):
     """The similarity asked for is 0.5 whatever the module says: copies with a passage added, 0.5 to 0.6 alike, and others below."""
     rows, want = [], set()
@@ -174,8 +248,13 @@ def test_fingerprint_spans():
             while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
                 n += 1
             assert p.extension(a, b) == n
-    starts = p.word_starts().tolist()
-    assert p.longest_repeat()[0] == max(p.extension(a, b) for a in starts for b in starts if a < b)
+    rng = np.random.default_rng(1)
+    for text in [text, *(" ".join(rng.choice(["a", "b", "ab"], int(rng.integers(2, 30)))) for _ in range(100))]:
+        p = fingerprint.Prefix(text)
+        starts = p.word_starts().tolist()
+        spans = [(p.extension(a, b), -b, -a) for a in starts for b in starts if a < b]
+        length, b, a = max(spans)  # the longest; of these the least second place, then the least first
+        assert p.longest_repeat() == ((length, -a, -b) if length else (0, 0, 0)), text
     assert fingerprint.Prefix("").longest_repeat() == (0, 0, 0)
 
 
@@ -188,6 +267,81 @@ def test_language_held_out(spark):
     assert (model.weights == 0).mean() > 0.3
 
 
+def _scalar_features(text):
+    """Counts of hashed n-grams of 1 to 3 characters, one at a time."""
+    mask = (1 << 64) - 1
+    letter = lambda c: (97 <= c <= 122 or c >= 170) and not 0x2000 <= c <= 0x2BFF and c not in (0xD7, 0xF7, 171, 187, 191)
+    units = [ord(c) for c in text.replace("\0", " ").lower()]
+    kept = [u if letter(u) else 32 for i, u in enumerate(units) if letter(u) or (i and letter(units[i - 1]))] + [32]
+    out = {}
+    for k in (1, 2, 3):
+        for i in range(len(kept) - k + 1):
+            gram = kept[i : i + k]
+            if all(u == 32 for u in gram):
+                continue
+            h = k
+            for u in gram:
+                h = (h * 0x100000001B3 + u) & mask
+            x = h
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> shift)) * by & mask
+            f = (x ^ (x >> 31)) >> (64 - language_id.BITS)
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_language_features_and_frequencies(spark):
+    texts = ["Der Hund, die Katze!", "a", "", "  12 ab--cd ", "Ça va? Où?", "日本 語", "x" * 50, "İi"]
+    found = {}
+    for first, row, feature, count in language_id._counts(pa.array(texts)):
+        for r, f, c in zip(row.tolist(), feature.tolist(), count.tolist()):
+            found.setdefault(first + r, {})[f] = c
+    want = {i: x for i, t in enumerate(texts) if (x := _scalar_features(t))}
+    assert found == want
+    df, n = language_id._document_frequency(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"))
+    assert n == len(want) and {int(f): int(df[f]) for f in np.flatnonzero(df)} == dict(Counter(f for x in want.values() for f in x))
+    idf = np.linspace(1, 3, language_id.FEATURES)
+    for x in want.values():
+        f, c = np.array(list(x)), np.array(list(x.values()))
+        raw = [(1 + math.log(n)) * idf[i] for i, n in x.items()]
+        size = math.sqrt(sum(v * v for v in raw))
+        assert np.allclose(language_id._tfidf(np.zeros(len(f), int), f, c, 1, idf), [v / size for v in raw])
+
+
+def test_ftrl_and_temperature_against_scalars():
+    rng = np.random.default_rng(12)
+    ftrl = language_id.Ftrl(6, 3, alpha=0.7, beta=0.5, l1=0.05, l2=0.1)
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(i, c):
+        l1, l2 = (0.05, 0.1) if i < 6 else (0, 0)  # the bias is not penalised
+        return 0.0 if abs(z[i][c]) <= l1 else -(z[i][c] - math.copysign(l1, z[i][c])) / ((0.5 + math.sqrt(n[i][c])) / 0.7 + l2)
+
+    for _ in range(25):
+        x = np.concatenate([rng.random((4, 6)) * (rng.random((4, 6)) < 0.5), np.ones((4, 1))], 1)
+        y = rng.integers(0, 3, 4)
+        ftrl.step(x, y)
+        w = [[weight(i, c) for c in range(3)] for i in range(7)]
+        g = [[0.0] * 3 for _ in range(7)]
+        for row, label in zip(x, y):
+            e = [math.exp(sum(row[i] * w[i][c] for i in range(7))) for c in range(3)]
+            for c in range(3):
+                for i in range(7):
+                    g[i][c] += (e[c] / sum(e) - (c == label)) * row[i] / 4
+        for i in range(7):
+            for c in range(3):
+                sigma = (math.sqrt(n[i][c] + g[i][c] ** 2) - math.sqrt(n[i][c])) / 0.7
+                z[i][c] += g[i][c] - sigma * w[i][c]
+                n[i][c] += g[i][c] ** 2
+    assert np.allclose(ftrl.weights(), [[weight(i, c) for c in range(3)] for i in range(7)])
+    logits, y = rng.normal(size=(200, 3)) * 4, rng.integers(0, 3, 200)
+    y[:120] = logits[:120].argmax(1)
+    loss = lambda t: -sum(math.log(math.exp(r[k] / t) / sum(math.exp(v / t) for v in r)) for r, k in zip(logits, y))
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 400))
+    best = min(grid, key=loss)
+    assert abs(math.log(language_id.fit_temperature(logits, y) / best)) < 0.02
+
+
 def test_bpe_round_trip_and_reference(spark, odd):
     import tiktoken
 
@@ -196,6 +350,13 @@ def test_bpe_round_trip_and_reference(spark, odd):
     for text in ["", "a", "hello  world\n\n", "naïve Straße 日本語 🙂", "a" * 1000, "<|endoftext|>", LONG[:5000]]:
         assert ours.encode(text) == other.encode_ordinary(text)
         assert ours.decode(ours.encode(text)) == text
+    rng = np.random.default_rng(7)
+    for _ in range(60):  # pieces beyond the widest bucket, of parts that make pairs of lower rank as they merge
+        text = "".join(rng.choice(["th", "e", "in", "ing", "er", "an", "s", "aa", "qX", "é"], int(rng.integers(150, 900))))
+        assert ours.encode(text) == other.encode_ordinary(text)
+        assert ours._row(text.encode()).tolist() == other.encode_ordinary(text)
+    for text in ("ab" * 40_000, "-" * 5000 + "=" * 999, base64.b64encode(rng.bytes(30_000)).decode()):
+        assert ours.encode(text) == other.encode_ordinary(text)
     encoded = bpe.encode(odd)
     assert encoded.where("NOT round_trip").count() == 0
     texts = {r["text"] for r in bpe.decode(encoded).collect()}
@@ -477,6 +638,36 @@ def test_licences(spark):
     assert one["similarity"] == 1 and one["first_word"] == n and one["end_word"] == n + len(license_scan.words_of(text))
 
 
+def test_licences_against_all_alignments(spark):
+    """Brute force: the similarity of every window of every text with every template by the longest common subsequence."""
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(60)]
+    templates = {f"T{i}": " ".join(rng.choice(vocabulary, n)) for i, n in enumerate((6, 9, 14))}
+    rows, want = [], {}
+    for i in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(0, 15))))
+        if i % 3:
+            t = templates[f"T{i % 4 % 3}"].split()
+            if i % 2:
+                t[int(rng.integers(len(t)))] = "other"
+            words += [*t, *rng.choice(vocabulary, int(rng.integers(0, 10)))]
+        rows.append((i, " ".join(words), "en", "s"))
+        for name, text in templates.items():
+            t, best = text.split(), 0.0
+            for a in range(len(words)):
+                row = [0] * (len(t) + 1)  # lengths of the common subsequences of the window so far
+                for b in range(a, min(len(words), a + 2 * len(t))):
+                    last = row
+                    row = [0]
+                    for j in range(len(t)):
+                        row.append(last[j] + 1 if words[b] == t[j] else max(last[j + 1], row[j]))
+                    best = max(best, 2 * row[-1] / (len(t) + b + 1 - a))
+            if best >= 0.8:
+                want[i, name] = round(best, 6)
+    found = {(r["doc_id"], r["license"]): r["similarity"] for r in license_scan.license_scan(docs(spark, rows), templates=templates).collect()}
+    assert len(want) > 20 and found == want
+
+
 def test_licences_in_a_row(spark):
     short = {n: t for n, t in license_scan.TEMPLATES.items() if 3 <= len(license_scan.words_of(t)) <= 9}
     assert short
@@ -494,6 +685,19 @@ def test_query_matches_sql(name, matches_sql):
     matches_sql(QUERIES[name], ORACLES[name])
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    """Every stage takes what the one before it kept, be it nothing, with columns of any name and rows that repeat."""
+    for table in (none, odd.limit(0).unionByName(odd)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.written(stage(spark, kept, ""))
+            assert kept.columns == table.columns, name
+        windows = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+        texts = [(r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in kept.collect()]
+        assert rebuilt(windows) == sorted(texts) and all(t.strip() for *_, t in texts)
+    assert len(texts) >= 2 and len({t for *_, t in texts}) == len(texts)
+
+
 def test_pipeline_stages(spark):
     at = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{at}/documents.parquet")
