@@ -58,7 +58,6 @@ class PqConfig:
     max_iterations: int = 25
     tolerance: float = 0.001
     seed: int = 42
-    max_samples: int = 10_000
     opq_iterations: int = 10
     residual: bool = True
     refine_candidates: int = 100
@@ -71,12 +70,15 @@ class PqConfig:
 
 @dataclass(frozen=True)
 class HnswConfig:
+    """A cluster below min_cluster_size has no graph, one above max_graph_size several, each of a part of it."""
+
     m: int = 16
     ef_construction: int = 200
     ef_search: int = 50
     seed: int = 42
     heuristic: bool = True
     min_cluster_size: int = 32
+    max_graph_size: int = 100_000
 
     def __post_init__(self) -> None:
         _check(self.m > 0, "m must be positive")

@@ -23,7 +23,7 @@ class CollectionExists(QuillonError):
 
 class ConcurrentChange(QuillonError):
     def __init__(self, path: str):
-        super().__init__(f"another writer has changed {path}, or left its lock there")
+        super().__init__(f"another writer has changed {path}")
 
 
 class InvalidQuery(QuillonError):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import EmbedConfig
 from quillon.errors import InvalidConfig
+from quillon.functions.stemmers import STEMMERS, english
 
 TOKEN = r"([\p{L}\p{N}]+)"
 
@@ -18,103 +19,9 @@ def tokens(text: Column | str, max_bytes: int = 40) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), lambda t: F.octet_length(t) < max_bytes)
 
 
-_VOWELS = "aeiou"
-
-
-def _consonant(w: str, i: int) -> bool:
-    if w[i] in _VOWELS:
-        return False
-    return w[i] != "y" or i == 0 or not _consonant(w, i - 1)
-
-
-def _measure(w: str) -> int:
-    kinds = "".join("c" if _consonant(w, i) else "v" for i in range(len(w)))
-    return sum(a == "v" and b == "c" for a, b in zip(kinds, kinds[1:]))
-
-
-def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
-
-
-def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    return len(w) > 2 and _consonant(w, len(w) - 3) and not _consonant(w, len(w) - 2) and _consonant(w, len(w) - 1) and w[-1] not in "wxy"
-
-
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
-
-
-def porter(word: str) -> str:
-    """The English stem of a lower-case word by Porter's published algorithm (1980)."""
-    if len(word) <= 2 or not word.isascii() or not word.isalpha():
-        return word
-    w = word
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _has_vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif _double(w) and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, new in sorted(table, key=lambda x: -len(x[0])):
-            if w.endswith(end):
-                if _measure(w[: -len(end)]) > 0:
-                    w = w[: -len(end)] + new
-                break
-    for end in sorted([*_STEP4, "ion"], key=lambda x: -len(x)):
-        if w.endswith(end):
-            stem = w[: -len(end)]
-            if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _cvc(w[:-1])):
-            w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-#: Endings of nouns, adjectives and verbs that light stemmers of these languages take off, longest first.
-_ENDINGS = {
-    "german": ("ungen", "heiten", "keiten", "isch", "lich", "ern", "ung", "est", "em", "en", "er", "es", "e", "s", "n"),
-    "french": ("issements", "issement", "atrices", "ations", "atrice", "ateurs", "ation", "ement", "euses", "ments", "ences", "ives", "euse", "ment", "ence", "aux", "ive", "ent", "ées", "ée", "és", "er", "es", "é", "e", "s"),
-    "spanish": ("amientos", "imientos", "amiento", "imiento", "aciones", "mente", "ación", "idades", "idad", "ando", "iendo", "ados", "idos", "adas", "idas", "ado", "ido", "ada", "ida", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"),
-    "italian": ("amenti", "imenti", "amento", "imento", "azioni", "azione", "mente", "ando", "endo", "ati", "ato", "ata", "ate", "are", "ere", "ire", "i", "e", "a", "o"),
-    "portuguese": ("amentos", "imentos", "amento", "imento", "ações", "mente", "ação", "idades", "idade", "ando", "endo", "ados", "idos", "ado", "ido", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"),
-    "russian": ("иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "ия", "ий", "ый", "ой", "ая", "яя", "ое", "ее", "ые", "ие", "ов", "ев", "ам", "ям", "ах", "ях", "ть", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь"),
-}
-
-
 def stem(word: str, language: str = "english") -> str:
     """The stem of a lower-case word; an unknown language is stemmed as English."""
-    endings = _ENDINGS.get(language)
-    if endings is None:
-        return porter(word)
-    for end in endings:
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
+    return STEMMERS.get(language, english)(word)
 
 
 def stems(words: Column | str, language: str = "english") -> Column:

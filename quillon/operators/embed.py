@@ -1,6 +1,7 @@
 """Embedding of texts through a registry of models; without a network, the one built in hashes words.
 
-A model is a function from a list of texts to a matrix of floats. It is loaded once a worker.
+A model is a function from a list of texts to a matrix of floats. It is loaded once a worker. Files, chunks and documents
+are embedded as tables, go into a collection as one insert, and are searched by a query's text.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import EmbedConfig
-from quillon.errors import InvalidConfig
+from quillon.errors import DimensionMismatch, InvalidConfig
 from quillon.functions.text import word_chunks
+from quillon.sources.collection import Collection
+from quillon.sources.files import read_texts
 
 Model = Callable[[list[str]], np.ndarray]
 
@@ -41,6 +44,10 @@ def hashing_model(dimension: int) -> Model:
 MODELS: dict[str, Callable[[int], Model]] = {"hashing": hashing_model}
 
 
+#: Kinds of models that register() can bring, with the size of their vectors; the last two are remote and need a key.
+KINDS: dict[str, tuple[int, bool]] = {"jina": (512, False), "minilm": (384, False), "bge": (384, False), "clip": (512, False), "openai": (1536, True), "cohere": (1024, True)}
+
+
 def register(name: str, load: Callable[[int], Model]) -> None:
     """Makes a model available by name; load(dimension) runs in the workers."""
     MODELS[name] = load
@@ -78,6 +85,66 @@ def embed_chunked(docs: DataFrame, text: str = "text", config: EmbedConfig = Emb
     return chunks.withColumn("vector", embed("chunk", config))
 
 
+def embed_files(spark: SparkSession, path: str, extensions: list[str] | None = None, recursive: bool = False, config: EmbedConfig = EmbedConfig()) -> DataFrame:
+    """(path, chunk_index, chunk, vector) of a file, or of the files of a folder, with certain extensions if given.
+
+    Files that can't be read are left out, and blank ones have no chunks.
+    """
+    return embed_chunked(read_texts(spark, path, extensions, recursive), "text", config)
+
+
+def embed_and_insert(docs: DataFrame, collection: Collection, id_col: str = "id", text_col: str = "text", payload_col: str | None = None, config: EmbedConfig = EmbedConfig()) -> DataFrame:
+    """Embeds documents and inserts them; (embedded, inserted, dimension), a row.
+
+    payload_col is JSON text, or any other column, which becomes JSON. Documents with a null text are not embedded. A model
+    whose vectors have another size than the collection's is an error, and then nothing is inserted.
+    """
+    if config.dimension != collection.config.dimension:
+        raise DimensionMismatch(collection.config.dimension, config.dimension)
+    payload = F.lit(None).cast("string")
+    if payload_col:
+        payload = F.col(payload_col) if docs.schema[payload_col].dataType.typeName() == "string" else F.to_json(F.struct(payload_col))
+    before = collection.count()
+    collection.insert(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), embed(text_col, config).alias("vector"), payload.alias("payload")))
+    n = collection.count() - before
+    return docs.sparkSession.createDataFrame([(n, n, config.dimension)], "embedded long, inserted long, dimension int")
+
+
+def semantic_search(collection: Collection, text: str, k: int = 10, nprobe: int = 4, include_payload: bool = False, config: EmbedConfig = EmbedConfig()) -> DataFrame:
+    """(id, distance[, payload]) of the documents nearest to a query's text."""
+    return collection.search(embed_query(text, config), k, nprobe, include_payload)
+
+
+class Embedder:
+    """The embedder that an application has configured; none until configure()."""
+
+    def __init__(self) -> None:
+        self.config: EmbedConfig | None = None
+
+    def configure(self, config: EmbedConfig) -> None:
+        if config.model not in MODELS:
+            raise InvalidConfig(f"unknown model: {config.model}")
+        self.config = config
+
+    def _ready(self) -> EmbedConfig:
+        if self.config is None:
+            raise InvalidConfig("no embedder is configured")
+        return self.config
+
+    def info(self, spark: SparkSession) -> DataFrame:
+        """(model, dimension, loaded, remote) of the registered models and known kinds; loaded is the configured one."""
+        rows = [(name, self.config.dimension if self.config and self.config.model == name else None, bool(self.config and self.config.model == name), False) for name in MODELS if name not in KINDS]
+        rows += [(name, n, bool(self.config and self.config.model == name), remote) for name, (n, remote) in KINDS.items()]
+        return spark.createDataFrame(sorted(rows), "model string, dimension int, loaded boolean, remote boolean")
+
+    def embed(self, text: Column | str) -> Column:
+        return embed(text, self._ready())
+
+    def embed_texts(self, texts: list[str]) -> list[list[float]]:
+        """The vectors of a few texts, on the driver."""
+        return [embed_query(t, self._ready()) for t in texts]
+
+
 def embed_query(text: str, config: EmbedConfig = EmbedConfig()) -> list[float]:
     v = MODELS[config.model](config.dimension)([text])[0]
     size = float(np.sqrt(v @ v))

@@ -1,16 +1,16 @@
 """Navigable small-world graphs, one for each cluster: built and searched inside the task that holds the cluster.
 
 A graph is sequential to build, so the unit of parallel work is the cluster; a cluster below min_cluster_size has no
-graph and is searched by brute force. A built index is a table (cluster_id, ids, vectors, graph), a row for each cluster,
-and a search of many queries joins its probes to these rows.
+graph and is searched by brute force. A built index is a table (cluster_id, part, ids, vectors, graph), a row for each
+graph, of plain arrays; a search of many queries sends the queries to these rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import pickle
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,9 @@ from pyspark.sql.window import Window
 
 from quillon.config import HnswConfig
 from quillon.functions.vectors import Metric
-from quillon.operators.knn import PLACES, batch_search, distances, local_top, matrix, ranked
+from quillon.operators import kmeans
+from quillon.operators.knn import PLACES, QUERY_BYTES, Best, _asked, _chunks, distances, id_array, matrix, ranked
+from quillon.operators.knn import probed as near_clusters
 
 
 class Graph:
@@ -127,90 +129,123 @@ class Graph:
     def edges(self) -> list[tuple[int, int, int]]:
         return [(layer, a, b) for layer, links in enumerate(self.layers) for a, to in links.items() for b in to]
 
-    def to_bytes(self) -> bytes:
-        return pickle.dumps((self.layers, self.entry), protocol=5)
-
-    def restored(self, data: bytes) -> "Graph":
-        """A graph built by this engine, with this one's vectors."""
-        self.layers, self.entry = pickle.loads(data)
+    def to_row(self) -> dict:
+        """entry and layers as plain arrays: nodes, where each one's links begin, links."""
+        layers = []
+        for links in self.layers:
+            nodes = sorted(links)
+            layers.append({"nodes": nodes, "offsets": [0, *accumulate(len(links[n]) for n in nodes)], "links": [x for n in nodes for x in links[n]]})
+        return {"entry": self.entry, "layers": layers}
+
+    def restored(self, row: dict) -> "Graph":
+        """A graph from to_row(), with this one's vectors."""
+        self.entry = row["entry"]
+        self.layers = [{n: x["links"][x["offsets"][i] : x["offsets"][i + 1]] for i, n in enumerate(x["nodes"])} for x in row["layers"]]
         return self
 
 
-def build(clustered: DataFrame, metric: str | Metric = "l2", config: HnswConfig = HnswConfig()) -> DataFrame:
-    """(cluster_id, ids, vectors, graph) of (id, cluster_id, vector); graph is null for a small cluster."""
+_INTS = T.ArrayType(T.IntegerType())
+GRAPH = T.StructType([T.StructField("entry", T.IntegerType()), T.StructField("layers", T.ArrayType(T.StructType([T.StructField(x, _INTS) for x in ("nodes", "offsets", "links")])))])
+_ARROW_INTS = pa.list_(pa.int32())
+_ARROW_GRAPH = pa.struct([("entry", pa.int32()), ("layers", pa.list_(pa.struct([(x, _ARROW_INTS) for x in ("nodes", "offsets", "links")])))])
+
+
+def build(clustered: DataFrame, metric: str | Metric = "l2", config: HnswConfig = HnswConfig(), keep_vectors: bool = True) -> DataFrame:
+    """(cluster_id, part, ids, vectors, graph) of (id, cluster_id, vector); graph is null for a small cluster.
+
+    A cluster of more than max_graph_size vectors has several parts of about equal size, by hash of the id, so that no task
+    builds more than one such graph at a time. Without keep_vectors, vectors is null and search_external() brings them.
+    """
     metric = Metric.parse(metric)
     id_type = clustered.schema["id"].dataType
+    source = clustered.where("vector IS NOT NULL").select("id", "cluster_id", "vector")
+    sizes = kmeans.cluster_sizes(source).withColumn("parts", F.ceil(F.col("n") / config.max_graph_size).cast("int")).select("cluster_id", "parts")
+    parted = source.join(F.broadcast(sizes), "cluster_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")  # a row a cluster
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("id")
         v = matrix(table.column("vector"))
-        graph = Graph.build(v, metric, config).to_bytes() if len(v) >= config.min_cluster_size else None
+        graph = Graph.build(v, metric, config).to_row() if len(v) >= config.min_cluster_size else None
         lists = lambda values, begin: pa.ListArray.from_arrays(pa.array(begin, pa.int32()), values)
         ids = table.column("id").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        return pa.table({"cluster_id": table.column("cluster_id").slice(0, 1), "ids": lists(ids, [0, len(v)]), "vectors": pa.array([v.ravel().tolist()], pa.list_(pa.float64())), "graph": pa.array([graph], pa.binary())})
+        vectors = pa.array([v.ravel()] if keep_vectors else [None], pa.list_(pa.float64()))
+        return pa.table({"cluster_id": table.column("cluster_id").slice(0, 1), "part": table.column("part").slice(0, 1), "ids": lists(ids, [0, len(v)]), "vectors": vectors, "graph": pa.array([graph], _ARROW_GRAPH)})
 
-    schema = T.StructType([clustered.schema["cluster_id"], T.StructField("ids", T.ArrayType(id_type)), T.StructField("vectors", T.ArrayType(T.DoubleType())), T.StructField("graph", T.BinaryType())])
-    return clustered.where("vector IS NOT NULL").select("id", "cluster_id", "vector").groupBy("cluster_id").applyInArrow(run, schema)
+    schema = T.StructType([clustered.schema["cluster_id"], T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("vectors", T.ArrayType(T.DoubleType())), T.StructField("graph", GRAPH)])
+    return parted.groupBy("cluster_id", "part").applyInArrow(run, schema)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", config: HnswConfig = HnswConfig(), probes: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, distance, rank): every query (query_id, vector) in every cluster, or in those that probes
-    (query_id, cluster_id) names."""
+def search(index: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", config: HnswConfig = HnswConfig(), probed: DataFrame | None = None, ef: int | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): every query (query_id, vector) in every cluster, or in those that probed
+    (query_id, vector, probes) names.
+
+    The queries go to the graphs in chunks of a checked size; the index stays where it is.
+    """
     metric = Metric.parse(metric)
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    if probes is None:
-        pairs = index.select("cluster_id").distinct().crossJoin(q)
-    else:
-        pairs = probes.select("query_id", "cluster_id").join(q, "query_id")
-    grouped = pairs.groupBy("cluster_id").agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
-    both = index.join(grouped, "cluster_id").select("ids", "vectors", "graph", "asked")
     id_type = index.schema["ids"].dataType.elementType
     schema = T.StructType([queries.schema["query_id"], T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
+    source = probed if probed is not None else queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    found = None
+    for chunk in _chunks(source, QUERY_BYTES):
+        held = index.sparkSession.sparkContext.broadcast(_asked(chunk))
+        part = index.select("cluster_id", "ids", "vectors", "graph").mapInArrow(_walk(held, k, metric, config, ef), schema)
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k)
+
 
+def _walk(held, k: int, metric: Metric, config: HnswConfig, ef: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        every = np.arange(len(asked.queries))
         for batch in batches:
-            for ids, vectors, graph, asked in zip(*(c.to_pylist() for c in batch.columns)):
-                v = np.array(vectors).reshape(len(ids), -1)
-                names = np.array(ids)
-                g = Graph(v, metric, config).restored(graph) if graph is not None else None
-                out: list[tuple] = []
-                for x in asked:
-                    query = np.array(x["vector"])
-                    at = np.array(g.search(query, k), np.int64) if g else np.arange(len(ids))
-                    d = distances(query[None, :], v[at], metric)
-                    top = local_top(d, names[at], k)[0]
-                    out += [(x["query_id"], ids[at[i]], float(np.round(d[0, i], PLACES)) + 0.0) for i in top]
-                columns = list(zip(*out)) if out else [[], [], []]
-                yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in zip(("query_id", "id", "distance"), columns)}) if out else pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]))
-
-    return ranked(both.mapInArrow(run, schema), k)
+            kind = batch.schema.field("ids").type.value_type
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in ("cluster_id", "ids", "vectors", "graph")}
+                some = every if asked.by_cluster is None else asked.by_cluster.get(row["cluster_id"].as_py(), (every[:0],))[0]
+                if not len(some) or not row["vectors"].is_valid:
+                    continue
+                names = id_array(row["ids"].values)
+                v = row["vectors"].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                g = Graph(v, metric, config).restored(row["graph"].as_py()) if row["graph"].is_valid else None
+                best = Best(len(asked.queries), k)
+                for x in some:
+                    at = np.array(g.search(asked.queries[x], k, ef), np.int64) if g else np.arange(len(names))
+                    best.add(np.array([x]), distances(asked.queries[x : x + 1], v[at], metric), names[at])
+                slot, d, ids = best.rows()
+                yield pa.RecordBatch.from_arrays([asked.query_ids.take(pa.array(slot)), pa.array(ids, kind), pa.array(d)], names=["query_id", "id", "distance"])
+
+    return run
+
+
+def search_external(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", config: HnswConfig = HnswConfig(), probed: DataFrame | None = None, ef: int | None = None) -> DataFrame:
+    """search() in an index that holds no vectors: they come from vectors (id, vector), in the order of the index's ids."""
+    places = index.select("cluster_id", "part", F.posexplode("ids").alias("at", "id"))
+    joined = places.join(vectors.select("id", F.col("vector").cast("array<double>").alias("v")), "id")
+    held = joined.groupBy("cluster_id", "part").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("vectors"))
+    whole = index.drop("vectors").join(held, ["cluster_id", "part"]).select("cluster_id", "part", "ids", "vectors", "graph")
+    return search(whole, queries, k, metric, config, probed, ef)
 
 
 def ivf_search(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str | Metric = "l2", config: HnswConfig = HnswConfig()) -> DataFrame:
     """search() in the nprobe nearest clusters of each query; centroids is (cluster_id, centroid)."""
-    near = batch_search(centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector")), queries, nprobe, metric)
-    return search(index, queries, k, metric, config, near.select("query_id", F.col("id").alias("cluster_id")))
+    return search(index, queries, k, metric, config, near_clusters(queries, centroids, nprobe, metric))
 
 
 def edges(index: DataFrame) -> DataFrame:
-    """(cluster_id, layer, src, dst) of a built index; src and dst are ids."""
-    id_type = index.schema["ids"].dataType.elementType
-    schema = T.StructType([index.schema["cluster_id"], T.StructField("layer", T.IntegerType()), T.StructField("src", id_type), T.StructField("dst", id_type)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (ids, graph) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("graph").to_pylist())):
-                if graph is None:
-                    continue
-                layers, _ = pickle.loads(graph)
-                rows = [(layer, ids[a], ids[b]) for layer, links in enumerate(layers) for a, to in links.items() for b in to]
-                if rows:
-                    layer, src, dst = zip(*rows)
-                    kind = batch.schema.field("ids").type.value_type
-                    yield pa.RecordBatch.from_arrays([batch.column("cluster_id").take(pa.array([i] * len(rows))), pa.array(layer, pa.int32()), pa.array(src, kind), pa.array(dst, kind)], names=["cluster_id", "layer", "src", "dst"])
-
-    return index.select("cluster_id", "ids", "graph").mapInArrow(run, schema)
+    """(cluster_id, part, layer, src, dst) of a built index; src and dst are ids."""
+    layers = index.where("graph IS NOT NULL").select("cluster_id", "part", "ids", F.posexplode("graph.layers").alias("layer", "x"))
+    nodes = layers.select("cluster_id", "part", "layer", "ids", "x", F.posexplode("x.nodes").alias("i", "node"))
+    begin, end = F.col("x.offsets")[F.col("i")], F.col("x.offsets")[F.col("i") + 1]
+    links = nodes.where(end > begin).select("cluster_id", "part", "layer", "ids", F.col("ids")[F.col("node")].alias("src"), F.explode(F.slice("x.links", begin + 1, end - begin)).alias("to"))
+    return links.select("cluster_id", "part", "layer", "src", F.col("ids")[F.col("to")].alias("dst"))
+
+
+def stats(index: DataFrame) -> DataFrame:
+    """(layer, nodes, edges, mean_degree) of the graphs of a built index, links counted from either end."""
+    e = edges(index)
+    both = e.select("cluster_id", "part", "layer", "src", "dst").union(e.select("cluster_id", "part", "layer", "dst", "src")).distinct()
+    return degree_stats(both)
 
 
 def degree_stats(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from quillon.config import KMeansConfig
 from quillon.functions.vectors import centroids, l2_squared
 from quillon.operators.knn import PLACES, matrix
 
-#: Vectors that the initial centroids are drawn from.
+#: Vectors that the initial centroids are drawn from, or four times as many as there are clusters.
 INIT_SAMPLE = 20_000
 _BLOCK = 1 << 14
 
@@ -111,44 +111,63 @@ def lloyd_round(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np
     return out, n
 
 
+def initial(vectors: DataFrame, k: int, seed: int) -> tuple[np.ndarray, bool]:
+    """(rows of vectors (vector), whether these are all): those of least hash, so they are the same in every run."""
+    most = max(INIT_SAMPLE, 4 * k)
+    some = vectors.orderBy(F.xxhash64(F.lit(seed), "vector")).limit(most + 1).toArrow()
+    return matrix(some.column("vector"))[:most], some.num_rows <= most
+
+
+def settled(old: np.ndarray, new: np.ndarray, tolerance: float) -> bool:
+    """No centroid has moved by more than tolerance of the root of their mean squared norm."""
+    moved = ((new - old) ** 2).sum(-1).max(initial=0)
+    return moved <= tolerance**2 * max(1e-12, float((new * new).sum(-1).mean()) if new.size else 0)
+
+
 def fit(vectors: DataFrame, config: KMeansConfig = KMeansConfig(), init: np.ndarray | None = None) -> np.ndarray:
-    """Centroids after Lloyd rounds over all vectors; the initial ones are drawn from a sample of INIT_SAMPLE if not given.
+    """Centroids after Lloyd rounds over all vectors; the initial ones are drawn by squared distance if not given.
 
-    Rounds end when no centroid moves by more than tolerance of the mean squared norm, or after max_iterations. Fewer
-    vectors than clusters give as many clusters as vectors; no vectors give none.
+    Rounds end when no centroid moves by more than tolerance, or after max_iterations. They are the same computation
+    wherever they run: in place, where the vectors are no more than the initial centroids are drawn from, or else as a
+    pass over the table each. Fewer vectors than clusters give as many clusters as vectors; no vectors give none.
     """
     source = vectors.where("vector IS NOT NULL").select("vector")
     if init is None:
-        n = source.count()
-        if not n:
+        sample, whole = initial(source, config.num_clusters, config.seed)
+        if not len(sample):
             return np.zeros((0, 0))
-        some = source.orderBy(F.xxhash64(F.lit(config.seed), "vector")).limit(INIT_SAMPLE).toArrow()
-        sample = matrix(some.column("vector"))
-        if n <= INIT_SAMPLE:  # the sample is all there is
-            return fit_local(sample, config.num_clusters, config.max_iterations, config.seed)
-        init = plus_plus(sample, min(config.num_clusters, len(sample)), config.seed)
+        if whole:
+            return fit_local(sample, config.num_clusters, config.max_iterations, config.seed, tolerance=config.tolerance)
+        init = plus_plus(sample, config.num_clusters, config.seed)
     centers = np.array(init, np.float64)
     for _ in range(config.max_iterations):
-        new, _ = lloyd_round(source, centers)
-        moved = ((new - centers) ** 2).sum(1).max(initial=0)
-        centers = new
-        if moved <= config.tolerance**2 * max(1e-12, float((centers * centers).sum(1).mean())):
+        old = centers
+        centers, _ = lloyd_round(source, old)
+        if settled(old, centers, config.tolerance):
             break
     return centers
 
 
-def fit_local(sample: np.ndarray, k: int, iterations: int, seed: int, init: np.ndarray | None = None) -> np.ndarray:
+def fit_local(sample: np.ndarray, k: int, iterations: int, seed: int, init: np.ndarray | None = None, tolerance: float = KMeansConfig.tolerance) -> np.ndarray:
     """The same rounds over a matrix that one task holds."""
     k = min(k, len(sample))
     centers = plus_plus(sample, k, seed) if init is None else np.array(init, np.float64)
-    before = None
     for _ in range(iterations):
         cluster, _ = nearest(sample, centers)
-        if before is not None and (cluster == before).all():
-            break
-        before = cluster
         n = np.bincount(cluster, minlength=k)
         total = np.zeros_like(centers)
         np.add.at(total, cluster, sample)
-        centers = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
+        old, centers = centers, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
+        if settled(old, centers, tolerance):
+            break
     return centers
+
+
+def cluster_sizes(assigned: DataFrame) -> DataFrame:
+    """(cluster_id, n) of assigned (cluster_id, ...)."""
+    return assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def size_stats(assigned: DataFrame) -> DataFrame:
+    """(clusters, least, most, mean) of the sizes of the clusters that have members."""
+    return cluster_sizes(assigned).agg(F.count(F.lit(1)).alias("clusters"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), PLACES).alias("mean"))

@@ -6,7 +6,8 @@ are tables (id, vector, ...); batches of queries are tables (query_id, vector).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def merge(parts: list[DataFrame], k: int, id_col: str = "id") -> DataFrame:
 def ranked(found: DataFrame, k: int, by: str = "query_id", id_col: str = "id") -> DataFrame:
     """found with rank (from 1) within each query, cut to k."""
     w = Window.partitionBy(by).orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.drop("turn").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -77,15 +78,54 @@ def distances(queries: np.ndarray, vectors: np.ndarray, metric: Metric) -> np.nd
 
 def local_top(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """For each row of d the places of the k least by (rounded distance, id)."""
-    n = d.shape[1]
-    if n > 4 * k:
-        bound = np.partition(d, k - 1, axis=1)[:, k - 1]
-        some = np.unique(np.nonzero(d <= bound[:, None] + 2 * 10.0**-PLACES)[1])
-        if len(some) < n:
-            return some[local_top(d[:, some], ids[some], k)] if len(some) > 4 * k or len(some) >= k else some
-    r = np.round(d, PLACES)
     order = np.argsort(ids, kind="stable")
-    return order[np.argsort(r[:, order], axis=1, kind="stable")[:, :k]]
+    return order[np.argsort(np.round(d, PLACES)[:, order], axis=1, kind="stable")[:, :k]]
+
+
+class Best:
+    """The k least (rounded distance, id) of each of many slots, over blocks of distances as they come."""
+
+    def __init__(self, slots: int, k: int):
+        self.slots, self.k = slots, k
+        self.bound = np.full(slots, np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, slots: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+        """d has a row for each of slots and a column for each of ids; infinite distances count for nothing."""
+        d = np.round(d, PLACES)
+        bound = self.bound[slots]
+        if d.shape[1] > self.k > 0:
+            bound = np.minimum(bound, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero((d <= bound[:, None]) & (d < np.inf))
+        if len(row):
+            self.parts.append((slots[row], d[row, column], ids[column]))
+            self.held += len(row)
+            if self.held > 4 * self.slots * self.k + (1 << 18):
+                self._close()
+
+    def _close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot, d, ids = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        rank = ids if ids.dtype.kind in "iuf" else np.unique(ids.astype(str), return_inverse=True)[1]
+        order = np.lexsort((rank, d, slot))
+        slot, d, ids = slot[order], d[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(slot)))
+        place = np.arange(len(slot)) - np.repeat(first, size)
+        kept = place < self.k
+        last = place == self.k - 1
+        self.bound[slot[last]] = d[last]
+        self.parts, self.held = [(slot[kept], d[kept], ids[kept])], int(kept.sum())
+        return self.parts[0]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, distance, id), slots in order, nearest first."""
+        slot, d, ids = self._close()
+        return slot, d + 0.0, ids
+
+
+def id_array(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=object)
 
 
 def _chunks(queries: DataFrame, limit: int) -> list[DataFrame]:
@@ -96,36 +136,74 @@ def _chunks(queries: DataFrame, limit: int) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(part == i) for i in range(n)]
 
 
+@dataclass
+class Asked:
+    """A chunk of queries as every task gets it. A slot is what has a top-k of its own: a query, or a query's turn.
+
+    by_cluster has the queries and their slots that look at a cluster; it is None where all look at all vectors.
+    """
+
+    queries: np.ndarray
+    query_ids: pa.Array
+    turns: int = 1
+    by_cluster: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+
+
+def _asked(chunk: DataFrame, turns: Callable[[np.ndarray], np.ndarray] | None = None, n_turns: int = 1) -> Asked:
+    """A chunk (query_id, vector[, probes]) on the driver; turns gives the turn of each place among the probes."""
+    table = chunk.toArrow()
+    out = Asked(matrix(table.column("vector")), table.column("query_id").combine_chunks(), n_turns)
+    if "probes" in chunk.columns:
+        probes = matrix(table.column("probes")).astype(np.int64)
+        query = np.repeat(np.arange(len(probes)), probes.shape[1])
+        turn = np.tile(turns(np.arange(probes.shape[1])) if turns else np.zeros(probes.shape[1], np.int64), len(probes))
+        order = np.argsort(probes.ravel(), kind="stable")
+        clusters, first = np.unique(probes.ravel()[order], return_index=True)
+        parts = np.split(order, first[1:]) if len(order) else []
+        out.by_cluster = {int(c): (query[p], query[p] * n_turns + turn[p]) for c, p in zip(clusters, parts)}
+    return out
+
+
 def batch_search(corpus: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", exclude_self: bool = False, id_col: str = "id", vector: str = "vector", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest of every query, exactly.
 
     The queries go to the tasks in chunks of a checked size, the corpus stays where it is, every task keeps its own
     top-k by matrix products, and only those are shuffled. exclude_self leaves out the id that equals the query's.
     """
-    metric = Metric.parse(metric)
     source = corpus.where(F.col(vector).isNotNull()).select(corpus[id_col].alias("id"), corpus[vector].alias("vector"))
-    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
-    spark = corpus.sparkSession
-    out_schema = T.StructType([queries.schema["query_id"], T.StructField("id", source.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    parts = []
-    for chunk in _chunks(queries, query_bytes):
-        table = chunk.toArrow()
-        held = spark.sparkContext.broadcast((matrix(table.column("vector")), table.column("query_id").combine_chunks()))
-        parts.append(source.mapInArrow(_scan(held, k, metric, exclude_self), out_schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return ranked(found, k)
+    asked = [_asked(c) for c in _chunks(queries.where("vector IS NOT NULL").select("query_id", "vector"), query_bytes)]
+    return ranked(_scanned(source, asked, k, Metric.parse(metric), exclude_self, queries), k)
+
+
+def _scanned(source: DataFrame, asked: list[Asked], k: int, metric: Metric, exclude_self: bool, queries: DataFrame) -> DataFrame:
+    """(query_id, turn, id, distance): every task's top-k of each slot, of (id[, cluster_id], vector)."""
+    schema = T.StructType([queries.schema["query_id"], T.StructField("turn", T.IntegerType()), T.StructField("id", source.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    found = None
+    for chunk in asked:
+        part = source.mapInArrow(_scan(source.sparkSession.sparkContext.broadcast(chunk), k, metric, exclude_self), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _scan(held, k: int, metric: Metric, exclude_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, query_ids = held.value
+        asked: Asked = held.value
+        q = asked.queries
         if not len(q):
             return
-        own = np.asarray(query_ids.to_pylist(), dtype=object)
-        best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(len(q))]
-        kind = None
+        own = id_array(asked.query_ids)
+        best, kind = Best(len(q) * asked.turns, k), None
+
+        def look(query: np.ndarray, slot: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+            step = max(1, _BLOCK // len(vectors))
+            for a in range(0, len(query), step):
+                some = query[a : a + step]
+                d = distances(q[some], vectors, metric)
+                if exclude_self:
+                    d[own[some, None] == ids[None, :]] = np.inf
+                best.add(slot[a : a + step], d, ids)
+
+        every = np.arange(len(q))
         for batch in batches:
             kind = batch.schema.field("id").type
             vectors = matrix(batch.column("vector"))
@@ -133,31 +211,50 @@ def _scan(held, k: int, metric: Metric, exclude_self: bool):
                 continue
             if vectors.shape[1] != q.shape[1]:
                 raise DimensionMismatch(q.shape[1], vectors.shape[1])
-            ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
-            rank_ids = ids.astype(np.int64) if pa.types.is_integer(kind) else ids.astype(str)
-            step = max(1, _BLOCK // len(vectors))
-            for a in range(0, len(q), step):
-                d = distances(q[a : a + step], vectors, metric)
-                if exclude_self:
-                    d[own[a : a + step, None] == ids[None, :]] = np.inf
-                for i in range(len(d)):
-                    at = local_top(d[i : i + 1], rank_ids, k)[0]
-                    at = at[d[i, at] < np.inf]
-                    before, before_ids = best[a + i]
-                    values, names = np.concatenate([before, np.round(d[i, at], PLACES) + 0.0]), before_ids + ids[at].tolist()
-                    order = sorted(range(len(names)), key=lambda j: (values[j], names[j]))[:k]
-                    best[a + i] = values[order], [names[j] for j in order]
-        if kind is None:
-            return
-        many = [len(n) for _, n in best]
-        yield pa.RecordBatch.from_arrays(
-            [query_ids.take(pa.array(np.repeat(np.arange(len(q)), many))), pa.array([x for _, n in best for x in n], kind), pa.array(np.concatenate([v for v, _ in best]))],
-            names=["query_id", "id", "distance"],
-        )
+            ids = id_array(batch.column("id"))
+            if asked.by_cluster is None:
+                look(every, every, vectors, ids)
+                continue
+            cluster = batch.column("cluster_id").to_numpy(zero_copy_only=False)
+            order = np.argsort(cluster, kind="stable")
+            names, first = np.unique(cluster[order], return_index=True)
+            for name, at in zip(names, np.split(order, first[1:])):
+                if int(name) in asked.by_cluster:
+                    look(*asked.by_cluster[int(name)], vectors[at], ids[at])
+        if kind is not None:
+            slot, d, ids = best.rows()
+            yield pa.RecordBatch.from_arrays([asked.query_ids.take(pa.array(slot // asked.turns)), pa.array((slot % asked.turns).astype(np.int32)), pa.array(ids, kind), pa.array(d)], names=["query_id", "turn", "id", "distance"])
 
     return run
 
 
+def probed(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str | Metric = "l2") -> DataFrame:
+    """(query_id, vector, probes): the nprobe nearest clusters of each query, nearest first; more than there are is all.
+
+    centroids (cluster_id, centroid), a vector for each cluster, go to every task.
+    """
+    metric = Metric.parse(metric)
+    rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").collect()
+    held = queries.sparkSession.sparkContext.broadcast((np.array([r["cluster_id"] for r in rows], np.int64), np.array([r["centroid"] for r in rows], np.float64)))
+    source = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = T.StructType([*source.schema, T.StructField("probes", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centers = held.value
+        n = min(nprobe, len(names))
+        for batch in batches:
+            near = np.zeros((batch.num_rows, n), np.int64)
+            if batch.num_rows and n:
+                q = matrix(batch.column("vector"))
+                step = max(1, _BLOCK // len(centers))
+                for a in range(0, len(q), step):
+                    near[a : a + step] = names[local_top(distances(q[a : a + step], centers, metric), names, n)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(near.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.fieldNames())
+
+    return source.mapInArrow(run, schema)
+
+
 def nearest_clusters(centroids: DataFrame, query: list[float], nprobe: int, metric: str | Metric = "l2", by: list[str] | None = None) -> DataFrame:
     """The nprobe clusters whose centroids are nearest, of each group of by if given; nprobe beyond their number is all.
 
@@ -191,18 +288,28 @@ def ivf_search(clustered: DataFrame, centroids: DataFrame, query: list[float], k
     return search(clustered.where(where), query, k, metric, keep=keep)
 
 
-def batch_ivf_search(clustered: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str | Metric = "l2", exclude_self: bool = False) -> DataFrame:
+def batch_ivf_search(clustered: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str | Metric = "l2", exclude_self: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, distance, rank): every query against its own nprobe nearest clusters.
 
-    clustered is (id, cluster_id, vector), centroids (cluster_id, centroid). The probes meet the vectors in a join on
-    the cluster, which spreads by cluster and which adaptive execution splits where one is large.
+    clustered is (id, cluster_id, vector), centroids (cluster_id, centroid). As in batch_search() the queries, with their
+    probes, go to the vectors: a task takes each cluster of a batch at once, with the queries that probe it.
     """
-    probes = batch_search(centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector")), queries, nprobe, metric)
-    probed = probes.select("query_id", F.col("id").alias("cluster_id")).join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
-    pairs = probed.join(clustered.select("id", "cluster_id", "vector"), "cluster_id")
-    if exclude_self:
-        pairs = pairs.where("query_id != id")
-    return ranked(pairs.select("query_id", "id", F.round(distance("vector", "query", metric), PLACES).alias("distance")), k)
+    asked = [_asked(c) for c in _chunks(probed(queries, centroids, nprobe, metric), query_bytes)]
+    source = clustered.where("vector IS NOT NULL").select("id", "cluster_id", "vector")
+    return ranked(_scanned(source, asked, k, Metric.parse(metric), exclude_self, queries), k)
+
+
+def batch_by_turns(clustered: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, step: int, metric: str | Metric = "l2", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, turn, id, distance, rank): the k nearest of every query within each turn; turn t is the clusters that are
+    nearest to it from place t * step on, step of them."""
+    n = centroids.count()
+    turns = max(1, -(-n // step))
+    chunks = _chunks(probed(queries, centroids, n, metric), max(1, query_bytes // turns))
+    asked = [_asked(c, lambda place: place // step, turns) for c in chunks]
+    source = clustered.where("vector IS NOT NULL").select("id", "cluster_id", "vector")
+    found = _scanned(source, asked, k, Metric.parse(metric), False, queries)
+    w = Window.partitionBy("query_id", "turn").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def select_segments(router: DataFrame, query: list[float], top_m: int, metric: str | Metric = "l2") -> DataFrame:

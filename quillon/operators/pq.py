@@ -6,20 +6,26 @@ K <= 256 and two little-endian ones otherwise. The lowest code wins ties.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import json
+import threading
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.config import KMeansConfig, PqConfig
 from quillon.errors import InsufficientSamples, InvalidQuery
-from quillon.functions.vectors import Metric, l2_squared, subvector
+from quillon.functions.vectors import Metric, l2_squared
 from quillon.operators import kmeans
-from quillon.operators.knn import PLACES, distances, literal, local_top, matrix, ranked, rerank
+from quillon.operators.knn import _BLOCK, PLACES, Best, _chunks, distances, id_array, literal, matrix, ranked, rerank
+from quillon.sources.storage import Storage
+
+#: Tables of queries that are sent to every task at once.
+TABLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -55,36 +61,82 @@ class Codebook:
         rows = [(m, k, self.centers[m, k].tolist()) for m in range(self.subvectors) for k in range(self.codes)]
         return spark.createDataFrame(rows, "m int, k int, centroid array<double>")
 
-    def save(self, path: str) -> None:
-        np.save(path, self.centers)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As a table (m, k, centroid), on any store."""
+        self.to_dataframe(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(path: str) -> "Codebook":
-        return Codebook(np.load(path))
+    def load(spark: SparkSession, path: str) -> "Codebook":
+        rows = spark.read.parquet(path).orderBy("m", "k").collect()
+        m = rows[-1]["m"] + 1
+        return Codebook(np.array([r["centroid"] for r in rows]).reshape(m, len(rows) // m, -1))
 
 
-def train(vectors: DataFrame, config: PqConfig = PqConfig()) -> Codebook:
-    """A codebook from max_samples vectors, the subvectors in parallel, one group each.
+def _summed(source: DataFrame, held: np.ndarray | tuple, size: int, kernel: Callable) -> np.ndarray:
+    """The sum over all batches of kernel(held, vectors), arrays of size numbers, added up in every task before they move."""
+    value = source.sparkSession.sparkContext.broadcast(held)
 
-    The sample is those of least hash, so it is the same in every run.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += kernel(value.value, matrix(batch.column(0)))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "x"])
+
+    found = source.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # size rows at most
+    out = np.zeros(size)
+    out[found.column("at").to_numpy()] = found.column("x").to_numpy()
+    return out
+
+
+def _totals(centers: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The members' sum of each centroid of each subspace, then their numbers."""
+    m, k, size = centers.shape
+    parts = vectors.reshape(len(vectors), m, size)
+    total, n = np.zeros((m, k, size)), np.zeros((m, k))
+    for i in range(m):
+        cluster, _ = kmeans.nearest(parts[:, i], centers[i])
+        np.add.at(total[i], cluster, parts[:, i])
+        n[i] = np.bincount(cluster, minlength=k)
+    return np.concatenate([total.ravel(), n.ravel()])
+
+
+def _rounds(source: DataFrame, sample: np.ndarray, whole: bool, centers: np.ndarray, iterations: int, tolerance: float, rotation: np.ndarray | None = None) -> np.ndarray:
+    """centers after Lloyd rounds in all subspaces at once, over sample if that is whole and else over the table."""
+    kernel = _totals if rotation is None else lambda c, v: _totals(c, v @ rotation.T)
+    for _ in range(iterations):
+        sums = kernel(centers, sample) if whole else _summed(source, centers, centers.size + centers.shape[0] * centers.shape[1], kernel)
+        total, n = sums[: centers.size].reshape(centers.shape), sums[centers.size :].reshape(centers.shape[:2])
+        old, centers = centers, np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], centers)
+        if all(kmeans.settled(a, b, tolerance) for a, b in zip(old, centers)):
+            break
+    return centers
+
+
+def _begin(vectors: DataFrame, config: PqConfig) -> tuple[DataFrame, np.ndarray, bool, np.ndarray]:
+    """(source, sample, whether that is all, initial centroids (M, K, D/M))."""
     source = vectors.where("vector IS NOT NULL").select("vector")
-    first = source.head(1)
-    config.validate(len(first[0][0]) if first else config.subvectors)
-    sample = source.orderBy(F.xxhash64(F.lit(config.seed), "vector")).limit(config.max_samples)
-    n = sample.count()
-    if n < config.centroids:
-        raise InsufficientSamples(config.centroids, n)
-    size = len(first[0][0]) // config.subvectors
-    parts = sample.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(config.subvectors - 1)), lambda m: F.struct(m.alias("m"), subvector("vector", m, size).alias("vector")))).alias("x")).select("x.*")
+    sample, whole = kmeans.initial(source, config.centroids, config.seed)
+    config.validate(sample.shape[1] if len(sample) else config.subvectors)
+    if len(sample) < config.centroids:
+        raise InsufficientSamples(config.centroids, len(sample))
+    parts = sample.reshape(len(sample), config.subvectors, -1)
+    return source, sample, whole, np.stack([kmeans.plus_plus(parts[:, m], config.centroids, config.seed + m) for m in range(config.subvectors)])
 
-    def fit(table: pa.Table) -> pa.Table:
-        m = table.column("m")[0].as_py()
-        centers = kmeans.fit_local(matrix(table.column("vector")), config.centroids, config.max_iterations, config.seed + m)
-        return pa.table({"m": pa.array([m], pa.int32()), "centers": pa.array([centers.ravel().tolist()], pa.list_(pa.float64()))})
 
-    found = parts.groupBy("m").applyInArrow(fit, "m int, centers array<double>").orderBy("m").collect()  # the codebook
-    return Codebook(np.array([r["centers"] for r in found]).reshape(config.subvectors, config.centroids, size))
+def train(vectors: DataFrame, config: PqConfig = PqConfig(), init: np.ndarray | None = None) -> Codebook:
+    """A codebook of all vectors: Lloyd rounds in all subspaces at once, each a pass over the table.
+
+    Initial centroids are drawn by squared distance from some rows if not given. Fewer vectors than centroids are an
+    error.
+    """
+    if init is None:
+        source, sample, whole, init = _begin(vectors, config)
+    else:
+        source, sample, whole = vectors.where("vector IS NOT NULL").select("vector"), np.zeros((0, 0)), False
+        config.validate(init.shape[0] * init.shape[2])
+    return Codebook(_rounds(source, sample, whole, np.array(init, np.float64), config.max_iterations, config.tolerance))
 
 
 def _mapped(df: DataFrame, kernel, columns: list[T.StructField], held) -> DataFrame:
@@ -156,8 +208,9 @@ def table_distance(codes: Column | str, table: np.ndarray) -> Column:
 
 def search(encoded: DataFrame, codebook: Codebook, query: list[float], k: int) -> DataFrame:
     """(id, distance): the k nearest of (id, codes) by table; distances are squared L2 to the decoded vectors."""
-    d = F.round(table_distance("codes", codebook.table(np.asarray(query, np.float64))), PLACES)
-    return encoded.select("id", d.alias("distance")).orderBy("distance", "id").limit(k)
+    table = codebook.table(np.asarray(query, np.float64))
+    found = _looked_up(encoded.where("codes IS NOT NULL").select("id", "codes"), {None: table[None]}, k)
+    return found.select("id", "distance").orderBy("distance", "id").limit(k)
 
 
 def search_refined(encoded: DataFrame, vectors: DataFrame, codebook: Codebook, query: list[float], k: int, factor: int, metric: str | Metric = "l2") -> DataFrame:
@@ -165,37 +218,95 @@ def search_refined(encoded: DataFrame, vectors: DataFrame, codebook: Codebook, q
     return rerank(search(encoded, codebook, query, k * factor), vectors, query, k, metric)
 
 
-def batch_search(encoded: DataFrame, codebook: Codebook, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank) for (query_id, vector); the tables of the queries go to every task, 64 MB at once."""
-    spark = encoded.sparkSession
-    table = queries.where("vector IS NOT NULL").select("query_id", "vector").toArrow()
-    q, ids = matrix(table.column("vector")), table.column("query_id").combine_chunks()
-    step = max(1, (64 << 20) // (8 * codebook.subvectors * codebook.codes))
-    schema = T.StructType([queries.schema["query_id"], T.StructField("id", encoded.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    parts = []
-    for a in range(0, max(1, len(q)), step):
-        tables = np.stack([codebook.table(x) for x in q[a : a + step]]) if len(q) else np.zeros((0, codebook.subvectors, codebook.codes))
-        parts.append(encoded.where("codes IS NOT NULL").select("id", "codes").mapInArrow(_adc(spark.sparkContext.broadcast(tables), ids.slice(a, step), k), schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+def batch_search(encoded: DataFrame, codebook: Codebook, queries: DataFrame, k: int, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """(query_id, id, distance, rank) for (query_id, vector).
+
+    The queries' tables go to every task in chunks of a checked size; a task keeps k rows of each query over all its
+    codes, and only those are shuffled.
+    """
+    source = encoded.where("codes IS NOT NULL").select("id", "codes")
+    found = None
+    # as many bytes of queries as have so many bytes of tables
+    limit = max(1, table_bytes * codebook.dimension // (codebook.subvectors * codebook.codes))
+    for chunk in _chunks(queries.where("vector IS NOT NULL").select("query_id", "vector"), limit):
+        table = chunk.toArrow()
+        q, ids = matrix(table.column("vector")), table.column("query_id").combine_chunks()
+        tables = np.stack([codebook.table(x) for x in q]) if len(q) else np.zeros((0, codebook.subvectors, codebook.codes))
+        part = _looked_up(source, {None: tables}, k, ids, queries.schema["query_id"].dataType)
+        found = part if found is None else found.unionByName(part)
     return ranked(found, k)
 
 
-def _adc(held, query_ids: pa.Array, k: int):
+def _looked_up(source: DataFrame, tables: dict[int | None, np.ndarray], k: int, query_ids: pa.Array | None = None, kind: T.DataType = T.LongType()) -> DataFrame:
+    """(query_id, id, distance): every task's k nearest of each query. tables are (queries, M, K) by cluster, or one for all."""
+    n = next(iter(tables.values())).shape[0]
+    names = query_ids if query_ids is not None else pa.array(np.zeros(n, np.int64))
+    held = source.sparkSession.sparkContext.broadcast((tables, names))
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", source.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value
+        tables, names = held.value
+        best, kind, every = Best(len(names), k), None, np.arange(len(names))
         for batch in batches:
-            if not batch.num_rows:
+            kind = batch.schema.field("id").type
+            if not batch.num_rows or not len(names):
                 continue
-            codes = matrix(batch.column("codes")).astype(np.int64)
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for i, t in enumerate(tables):
-                d = t[np.arange(codes.shape[1])[None, :], codes].sum(1)
-                at = local_top(d[None, :], ids, k)[0]
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(np.full(len(at), i))), batch.column("id").take(pa.array(at)), pa.array(np.round(d[at], PLACES))], names=["query_id", "id", "distance"])
-
-    return run
+            codes, ids = matrix(batch.column("codes")).astype(np.int64), id_array(batch.column("id"))
+            if None in tables:
+                groups = [(None, np.arange(len(ids)))]
+            else:
+                cluster = batch.column("cluster_id").to_numpy()
+                groups = [(c, np.flatnonzero(cluster == c)) for c in tables]
+            for c, at in groups:
+                step = max(1, _BLOCK // max(1, len(at)))
+                for a in range(0, len(every) if len(at) else 0, step):
+                    t = tables[c][a : a + step]
+                    d = np.zeros((len(t), len(at)))
+                    for m in range(codes.shape[1]):
+                        d += t[:, m][:, codes[at, m]]
+                    best.add(every[a : a + step], d, ids[at])
+        if kind is not None:
+            slot, d, ids = best.rows()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(slot)), pa.array(ids, kind), pa.array(d)], names=["query_id", "id", "distance"])
+
+    return source.mapInArrow(run, schema)
+
+
+def encode_with_progress(vectors: DataFrame, codebook: Codebook, report: Callable[[int], None], every: float = 1.0) -> DataFrame:
+    """encode(), with an accumulator of the rows that tasks have encoded; report gets it about every so many seconds while an
+    action runs on the result within progress(). Tasks that are run again count again."""
+    spark = vectors.sparkSession
+    done = spark.sparkContext.accumulator(0)
+
+    def kernel(held: Codebook, batch: pa.RecordBatch) -> list[pa.Array]:
+        done.add(batch.num_rows)
+        return [_lists(held.encode(matrix(batch.column("vector"))) if batch.num_rows else np.zeros((0, held.subvectors), np.int64), pa.int32())]
+
+    out = _mapped(vectors.where("vector IS NOT NULL"), kernel, [T.StructField("codes", T.ArrayType(T.IntegerType()))], codebook)
+    out.progress = Progress(lambda: done.value, report, every)
+    return out
+
+
+class Progress:
+    """with df.progress: an action on df; report is called while it runs and once after it."""
+
+    def __init__(self, value: Callable[[], int], report: Callable[[int], None], every: float):
+        self.value, self.report, self.every = value, report, every
+
+    def __enter__(self) -> "Progress":
+        self.over = threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def _run(self) -> None:
+        while not self.over.wait(self.every):
+            self.report(self.value())
+
+    def __exit__(self, *_) -> None:
+        self.over.set()
+        self.thread.join()
+        self.report(self.value())
 
 
 @dataclass
@@ -228,15 +339,28 @@ class IvfPq:
         q = np.asarray(query, np.float64)
         d = np.round(distances(q[None, :], self.centers, self.metric)[0], PLACES)
         probes = np.lexsort((np.arange(len(d)), d))[:nprobe].tolist()
-        table = F.lit(None).cast("double")
-        for c in probes:  # a table of its own for each probed cluster
-            part = table_distance("codes", self.codebook.table(q - self.centers[c] if self.config.residual else q))
-            table = F.when(F.col("cluster_id") == c, part).otherwise(table)
+        # a table of its own for each probed cluster
+        tables = {int(c): self.codebook.table(q - self.centers[c] if self.config.residual else q)[None] for c in probes}
         exact = "vector" in self.codes.columns and self.config.refine_candidates > 0
         n = max(k, self.config.refine_candidates) if exact else k
-        near = self.codes.where(F.col("cluster_id").isin(probes)).select("id", F.round(table, PLACES).alias("distance")).orderBy("distance", "id").limit(n)
+        inside = self.codes.where(F.col("cluster_id").isin(probes)).select("id", "cluster_id", "codes")
+        near = _looked_up(inside, tables, n).select("id", "distance").orderBy("distance", "id").limit(n)
         return rerank(near, self.codes, query, k, self.metric) if exact else near
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The codes sorted by cluster, so that a search reads few row groups, beside centroids, codebook and settings."""
+        self.codes.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "id").write.mode("overwrite").parquet(f"{path}/codes")
+        self.codebook.save(spark, f"{path}/codebook")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "cluster_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        Storage(spark).write(f"{path}/config.json", json.dumps(asdict(self.config) | {"metric": self.metric.value}))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "IvfPq":
+        held = json.loads(Storage(spark).read(f"{path}/config.json"))
+        metric = Metric.parse(held.pop("metric"))
+        rows = spark.read.parquet(f"{path}/centroids").orderBy("cluster_id").collect()
+        return IvfPq(np.array([r["centroid"] for r in rows]), Codebook.load(spark, f"{path}/codebook"), spark.read.parquet(f"{path}/codes"), PqConfig(**held), metric)
+
     def stats(self) -> DataFrame:
         """(vectors, clusters, original_bytes, compressed_bytes, ratio)."""
         return pq_stats(self.codes, self.codebook.dimension, self.codebook.subvectors)
@@ -264,6 +388,15 @@ class Rotated:
     rotation: np.ndarray
     codebook: Codebook
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.codebook.save(spark, f"{path}/codebook")
+        spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(self.rotation)], "i int, row array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/rotation")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Rotated":
+        rows = spark.read.parquet(f"{path}/rotation").orderBy("i").collect()
+        return Rotated(np.array([r["row"] for r in rows]), Codebook.load(spark, f"{path}/codebook"))
+
     def rotate(self, vectors: DataFrame) -> DataFrame:
         return rotate(vectors, self.rotation)
 
@@ -291,24 +424,27 @@ def rotate(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
 
 
 def train_rotated(vectors: DataFrame, config: PqConfig = PqConfig()) -> Rotated:
-    """Alternates codebook and rotation (orthogonal Procrustes by singular values) on a sample; the best pair stays."""
-    source = vectors.where("vector IS NOT NULL").select("vector")
-    sample = matrix(source.orderBy(F.xxhash64(F.lit(config.seed), "vector")).limit(config.max_samples).toArrow().column("vector"))
-    if len(sample) < config.centroids:
-        raise InsufficientSamples(config.centroids, len(sample))
-    config.validate(sample.shape[1])
-    rotation, best, centers = np.eye(sample.shape[1]), None, None
-    size = sample.shape[1] // config.subvectors
-    for _ in range(max(1, config.opq_iterations)):
-        turned = sample @ rotation.T
-        parts = turned.reshape(len(sample), config.subvectors, size)
-        rounds = config.max_iterations if centers is None else 3
-        centers = np.stack([kmeans.fit_local(parts[:, m], config.centroids, rounds, config.seed + m, None if centers is None else centers[m]) for m in range(config.subvectors)])
-        book = Codebook(centers)
+    """Alternates codebook and rotation (orthogonal Procrustes by singular values) over all vectors; the best pair stays.
+
+    A rotation needs the sum of products of decoded and given vectors, a matrix as wide as a vector: one pass.
+    """
+    source, sample, whole, centers = _begin(vectors, config)
+    size = sample.shape[1]
+    rotation, best = np.eye(size), None
+
+    def products(held: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> np.ndarray:
+        rotation, centers = held
+        turned, book = v @ rotation.T, Codebook(centers)
         decoded = book.decode(book.encode(turned))
-        error = float(((turned - decoded) ** 2).sum(1).mean())
+        return np.concatenate([(decoded.T @ v).ravel(), [((turned - decoded) ** 2).sum(), len(v)]])
+
+    for i in range(max(1, config.opq_iterations)):
+        centers = _rounds(source, sample, whole, centers, 3 if i else config.max_iterations, config.tolerance, rotation)
+        held = rotation, centers
+        sums = products(held, sample) if whole else _summed(source, held, size * size + 2, products)
+        error = sums[-2] / sums[-1]
         if best is None or error < best[0]:
-            best = error, Rotated(rotation, book)
-        u, _, vt = np.linalg.svd(decoded.T @ sample)
+            best = error, Rotated(rotation, Codebook(centers))
+        u, _, vt = np.linalg.svd(sums[:-2].reshape(size, size))
         rotation = u @ vt
     return best[1]

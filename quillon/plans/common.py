@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.errors import InvalidConfig
 from quillon.functions.vectors import centroids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,8 +66,12 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """A new folder that all executors share: below spark.checkpoint.dir, or on a local master below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidConfig("spark.checkpoint.dir must name a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.config import EmbedConfig, HybridConfig, TextConfig
+from quillon.config import CollectionConfig, EmbedConfig, HybridConfig, TextConfig
 from quillon.functions.text import char_chunks, stems, tokens, word_chunks
+from quillon.functions.vectors import norm
 from quillon.operators import hybrid, knn
-from quillon.operators.embed import embed, embed_query
+from quillon.operators.embed import embed, embed_and_insert, embed_chunked
+from quillon.operators.embed import semantic_search as semantic
 from quillon.operators.fts import TextIndex
 from quillon.plans.common import CORPUS, QUERY, SQL_QUERY, TEXT, bm25, corpus, l2, query, r6, table, text_corpus, total, workspace
+from quillon.sources.collection import Catalog, Collection
 from quillon.sources.storage import Storage
 
 PLAIN = TextConfig(stemming=None)
@@ -250,6 +253,28 @@ def embed_documents(spark, sf_dir):
     return text_corpus(spark, sf_dir).select("id", embed("text", _EMBED).alias("vector"))
 
 
+def _embedded(spark: SparkSession, sf_dir: str) -> Collection:
+    """The documents in a collection, by embed_and_insert()."""
+    c = Catalog(spark, workspace(spark)).create(CollectionConfig("texts", _EMBED.dimension, staging_threshold=1 << 40))
+    embed_and_insert(text_corpus(spark, sf_dir), c, payload_col="title", config=_EMBED)
+    return c
+
+
+@query("SELECT count(text) AS embedded, count(text) AS inserted, 64::INTEGER AS dimension, count(text) AS stored FROM documents")
+def embed_insert(spark, sf_dir):
+    c = Catalog(spark, workspace(spark)).create(CollectionConfig("texts", _EMBED.dimension, staging_threshold=1 << 40))
+    told = embed_and_insert(text_corpus(spark, sf_dir), c, payload_col="title", config=_EMBED)
+    return told.crossJoin(c.all().agg(F.count(F.lit(1)).alias("stored")))  # one row each
+
+
 @query()
 def semantic_search(spark, sf_dir):
-    return knn.search(embed_documents(spark, sf_dir), embed_query("the water of the model", _EMBED), K, "cosine")
+    """A text in, documents out: embedded, inserted, searched."""
+    return semantic(_embedded(spark, sf_dir), "the water of the model", K, include_payload=True, config=_EMBED)
+
+
+@query(f"WITH {_CHUNKS} SELECT id, chunk_index::INTEGER AS chunk_index, array_to_string(w[chunk_index * 224 + 1 : chunk_index * 224 + 256], ' ') AS chunk, 64::INTEGER AS dimension, CASE WHEN len(w) > 0 THEN 1::DOUBLE END AS norm FROM s")
+def embed_chunks(spark, sf_dir):
+    """Chunks with their vectors, of unit length."""
+    chunks = embed_chunked(text_corpus(spark, sf_dir).select("id", "text"), config=_EMBED)
+    return chunks.select("id", "chunk_index", "chunk", F.size("vector").alias("dimension"), F.round(norm("vector"), 3).alias("norm"))

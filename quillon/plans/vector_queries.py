@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.config import CollectionConfig, HnswConfig, PqConfig
+from quillon.config import CollectionConfig, HnswConfig, KMeansConfig, PqConfig
 from quillon.functions import vectors as V
 from quillon.operators import evaluate, hnsw, kmeans, knn, pq
 from quillon.plans.common import CENTROIDS, CORPUS, PAIRS, QUERY, SQL_QUERY, clustered, corpus, cosine, dot, l2, label_centroids, means, norm, pairs, queries_of, query, r6, similarity, table, workspace
 from quillon.sources.collection import Catalog, Collection
+from quillon.sources.files import decode_vectors, encode_vectors
 from quillon.streaming import ingest
 
 K, NPROBE = 10, 3
@@ -271,10 +272,28 @@ def kmeans_members(spark, sf_dir):
     return kmeans.members(kmeans.assign(corpus(spark, sf_dir).select("id", "vector"), _centers(spark, sf_dir)))
 
 
-@query("SELECT count(*) AS clusters, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+@query(f"WITH {CENTROIDS}, {_assign_sql('cent')}, n AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id) SELECT count(*) AS clusters, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
 def cluster_size_stats(spark, sf_dir):
-    sizes = clustered(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("clusters"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"))
+    """The clusters of an inverted file that is built from the labels' centroids."""
+    return kmeans.size_stats(kmeans.assign(corpus(spark, sf_dir).select("id", "vector"), _centers(spark, sf_dir)))
+
+
+@query(f"WITH {_TWO} SELECT cluster_id, list_transform(centroid, lambda x: {r6('x')}) AS centroid FROM y")
+def kmeans_fit(spark, sf_dir):
+    """fit() from the labels' centroids, two rounds."""
+    centers = kmeans.fit(corpus(spark, sf_dir), KMeansConfig(num_clusters=10, max_iterations=2, tolerance=0.0), _centers(spark, sf_dir))
+    names = [r["cluster_id"] for r in label_centroids(spark, sf_dir).select("cluster_id").orderBy("cluster_id").collect()]
+    return spark.createDataFrame([(n, [round(float(x), 6) + 0.0 for x in c]) for n, c in zip(names, centers)], "cluster_id int, centroid array<double>")
+
+
+@query()
+def kmeans_fit_drawn(spark, sf_dir):
+    """fit() with drawn initial centroids: (clusters, cost), the mean squared distance to the own centroid."""
+    source = corpus(spark, sf_dir).select("id", "vector")
+    centers = kmeans.fit(source, KMeansConfig(num_clusters=16))
+    names = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
+    d = kmeans.assign(source, centers).join(F.broadcast(names), "cluster_id").select(V.l2_squared("vector", "centroid").alias("d"))
+    return d.agg(F.lit(len(centers)).alias("clusters"), F.round(F.avg("d"), 4).alias("cost"))
 
 
 # candidates: the nearest by the first half of the elements
@@ -401,9 +420,57 @@ def pq_batch(spark, sf_dir):
     return pq.batch_search(_encoded(spark, sf_dir), _codebook(spark, sf_dir), queries_of(corpus(spark, sf_dir)), K)
 
 
-@query("SELECT count(*) AS vectors, count(DISTINCT label) AS clusters, count(*) * 256 AS original_bytes, count(*) * 16 AS compressed_bytes, round(256 / 16::DOUBLE, 6) AS ratio FROM embeddings")
+_TRAINED = f"""{_BOOK},
+td AS (SELECT id, book.m, book.k, vector[m * {SUB} + 1 : m * {SUB} + {SUB}] AS part, {r6(l2(f'vector[m * {SUB} + 1 : m * {SUB} + {SUB}]', 'book.centroid'))} AS d FROM c, book),
+ta AS (SELECT id, m, arg_min(k, row(d, k)) AS k, any_value(part) AS part FROM td GROUP BY id, m),
+te AS (SELECT m, k, unnest(part) AS x, generate_subscripts(part, 1) AS pos FROM ta),
+tm AS (SELECT m, k, pos, avg(x) AS x FROM te GROUP BY m, k, pos),
+tk AS (SELECT m, k, list(x ORDER BY pos) AS centroid FROM tm GROUP BY m, k)
+SELECT m::INTEGER AS m, k::INTEGER AS k, list_transform(coalesce(tk.centroid, book.centroid), lambda x: {r6('x')}) AS centroid FROM book LEFT JOIN tk USING (m, k)"""
+
+
+@query(f"WITH {_TRAINED}")
+def pq_train(spark, sf_dir):
+    """train() over all vectors from the labels' centroids, one round."""
+    first = _codebook(spark, sf_dir)
+    book = pq.train(corpus(spark, sf_dir), PqConfig(subvectors=M, centroids=first.codes, max_iterations=1), first.centers)
+    return book.to_dataframe(spark).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+@query()
+def pq_train_drawn(spark, sf_dir):
+    """train() with drawn initial centroids: the reconstruction error of its codes."""
+    source = corpus(spark, sf_dir).select("id", "vector")
+    book = pq.train(source, PqConfig(subvectors=M, centroids=32, max_iterations=8))
+    return pq.reconstruction_error(pq.decode(pq.encode(source, book), book))
+
+
+@query(f"WITH {_CODES} SELECT id, list_reduce(list_transform(codes, lambda x: printf('%02X00', x)), lambda a, b: a || b) AS packed, codes FROM codes")
+def pq_compact_wide(spark, sf_dir):
+    """Two bytes a code, the low one first, as for more than 256 centroids."""
+    packed = _encoded(spark, sf_dir).select("id", pq.compact("codes", 1000).alias("b"))
+    return packed.select("id", F.hex("b").alias("packed"), pq.expand("b", 1000).alias("codes"))
+
+
+@query(f"WITH {CENTROIDS}, {_assign_sql('cent')} SELECT count(*) AS vectors, count(DISTINCT cluster_id) AS clusters, count(*) * 256 AS original_bytes, count(*) * 16 AS compressed_bytes, round(256 / 16::DOUBLE, 6) AS ratio FROM a")
 def pq_stats(spark, sf_dir):
-    return pq.pq_stats(clustered(spark, sf_dir), 64, M)
+    """Of an index that is built from the labels' centroids."""
+    return _ivf_pq(spark, sf_dir).stats()
+
+
+def _ivf_pq(spark: SparkSession, sf_dir: str) -> pq.IvfPq:
+    centers = _centers(spark, sf_dir)
+    book = pq.Codebook((centers / 10).reshape(len(centers), M, SUB).transpose(1, 0, 2).copy())
+    return pq.IvfPq.build(corpus(spark, sf_dir), config=PqConfig(centroids=len(centers)), centers=centers, codebook=book)
+
+
+@query()
+def ivf_pq_built(spark, sf_dir):
+    """An index that trains its centroids and its codebook: recall@10 with all clusters probed and exact re-ranking."""
+    c = corpus(spark, sf_dir)
+    index = pq.IvfPq.build(c, 10, PqConfig(subvectors=M, centroids=32, max_iterations=8))
+    truth = knn.search(c, QUERY, K).select(F.lit(0).alias("query_id"), "id")
+    return evaluate.recall_at_k(index.search(QUERY, K, 10).select(F.lit(0).alias("query_id"), "id"), truth, K)
 
 
 @query(
@@ -423,10 +490,7 @@ x AS (SELECT c.* FROM s JOIN c USING (id)) {_top_sql(l2('vector', SQL_QUERY), 'x
 )
 def ivf_pq_search(spark, sf_dir):
     """Residuals to the labels' centroids, coded by a codebook of these centroids at a tenth of their length."""
-    centers = _centers(spark, sf_dir)
-    book = pq.Codebook((centers / 10).reshape(len(centers), M, SUB).transpose(1, 0, 2).copy())
-    index = pq.IvfPq.build(corpus(spark, sf_dir), config=PqConfig(centroids=len(centers)), centers=centers, codebook=book)
-    return index.search(QUERY, K, NPROBE)
+    return _ivf_pq(spark, sf_dir).search(QUERY, K, NPROBE)
 
 
 _ROTATED = "[" + ", ".join(f"{'-' if i % 2 else ''}vector[{(i * 5 + 1) % 64 + 1}]" for i in range(64)) + "]"
@@ -529,3 +593,52 @@ def ivf_hnsw_recall(spark, sf_dir):
     index = hnsw.build(c, "l2", HnswConfig(ef_construction=100))
     truth = knn.batch_search(c, queries_of(c), K)
     return evaluate.recall_at_k(hnsw.ivf_search(index, label_centroids(spark, sf_dir), queries_of(c), K, 5), truth, K)
+
+
+def _hnsw_index(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
+    return hnsw.build(clustered(spark, sf_dir), "l2", HnswConfig(ef_construction=100, **config))
+
+
+@query()
+def hnsw_graph_stats(spark, sf_dir):
+    """The layers of built graphs, one for each label."""
+    return hnsw.stats(_hnsw_index(spark, sf_dir))
+
+
+@query(f"WITH {CORPUS}, {_BATCH.replace('WHERE q.id <> c.id', 'WHERE q.cluster_id = c.cluster_id')} SELECT query_id, id, distance, rank FROM r WHERE rank <= 1")
+def hnsw_external_self(spark, sf_dir):
+    """Graphs without vectors, of parts of at most 40: every vector finds itself in its own label's parts."""
+    c = clustered(spark, sf_dir)
+    index = hnsw.build(c, "l2", HnswConfig(ef_construction=100, max_graph_size=40), keep_vectors=False)
+    own = c.select(F.col("id").alias("query_id"), "vector", F.array(F.col("cluster_id").cast("long")).alias("probes"))
+    return hnsw.search_external(index, c, queries_of(c), 1, "l2", HnswConfig(ef_construction=100), own, ef=100)
+
+
+# rows by id and maintenance of a collection
+
+
+@query("SELECT vec_id::VARCHAR AS id, '{\"label\":' || label || '}' AS payload FROM embeddings WHERE vec_id IN (3, 4, 77)")
+def collection_get(spark, sf_dir):
+    """By id, from segments and staging."""
+    return _collection(spark, sf_dir, 4, staging_threshold=300).get(["3", "4", "77", "no such id"]).select("id", "payload")
+
+
+@query("SELECT 'new' AS segment_id, 1::INTEGER AS level, 7::BIGINT AS num_vectors, [1, 0]::DOUBLE[] AS segment_centroid UNION ALL SELECT 'kept', 0, 2, [0, 2]")
+def router_maintenance(spark, sf_dir):
+    """Entries put in, replaced and taken out."""
+    c = _collection(spark, sf_dir)
+    c.flush()
+    c.router_remove(c.router().first()["segment_id"])
+    c.router_upsert("gone", [1, 1], 5)
+    c.router_upsert("new", [5, 5], 6)
+    c.router_upsert("kept", [0, 2], 2)
+    c.router_upsert("new", [1, 0], 7, 1)
+    c.router_remove("gone")
+    return c.router().select("segment_id", "level", "num_vectors", "segment_centroid")
+
+
+@query("SELECT vec_id AS id, len(embedding) * 4 AS bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6) + 0.0::DOUBLE) AS vector FROM embeddings")
+def vector_bytes(spark, sf_dir):
+    """Vectors as bytes and back."""
+    coded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), encode_vectors("embedding").alias("b"))
+    return coded.select("id", F.octet_length("b").cast("long").alias("bytes"), F.transform(decode_vectors("b"), lambda x: F.round(x.cast("double"), 6)).alias("vector"))

@@ -1,10 +1,11 @@
 """Collections of vectors as Parquet tables: a staging table, immutable segments, and routing metadata.
 
-A collection is a folder with config.json, meta.json (its segments with level and size) and tables: staging/ holds what
-came in last, vectors/ one folder segment_id=... for each segment, sorted by cluster so that row groups are pruned, and
-centroids/ the clusters' centroids likewise. A flush turns staging to a segment of level 0; compaction merges segments
-of level 0 to one of level 1. meta.json is replaced last and names what belongs to the collection, so a job that dies
-half way leaves files that no reader looks at.
+A collection is a folder with config.json, meta/ (versions of the list of its segments with level and size) and tables:
+staging/ holds what came in last, vectors/ one folder segment_id=... for each segment, sorted by cluster so that row
+groups are pruned, and centroids/ the clusters' centroids likewise. A flush turns staging to a segment of level 0;
+compaction merges segments of level 0 to one of level 1. A new version of meta comes last and names what belongs to the
+collection, so a job that dies half way leaves files that no reader looks at; of two writers that began with one version
+one gets through, and the other takes an insert up again or raises ConcurrentChange.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import CollectionConfig, KMeansConfig
-from quillon.errors import CollectionExists, CollectionNotFound, DimensionMismatch
+from quillon.errors import CollectionExists, CollectionNotFound, ConcurrentChange, DimensionMismatch
 from quillon.functions.vectors import Metric, centroids, norm
 from quillon.operators import kmeans, knn
-from quillon.sources.storage import Storage
+from quillon.sources.storage import Storage, Versions
 
 SCHEMA = "id string, vector array<float>, payload string"
 CENTROIDS = "segment_id string, cluster_id int, centroid array<double>, n long"
@@ -31,14 +32,18 @@ class Collection:
         if not self.storage.exists(f"{self.path}/config.json"):
             raise CollectionNotFound(path)
         self.config = CollectionConfig.from_json(self.storage.read(f"{self.path}/config.json"))
+        self.versions = Versions(self.storage, f"{self.path}/meta")
 
     # metadata
 
     def _meta(self) -> dict:
-        return json.loads(self.storage.read(f"{self.path}/meta.json"))
+        """The last version, with its number under "version"."""
+        number, text = self.versions.read()
+        return json.loads(text) | {"version": number}
 
     def _save(self, meta: dict) -> None:
-        self.storage.write(f"{self.path}/meta.json", json.dumps(meta))
+        """meta as the version after the one that it was read from."""
+        self.versions.commit(meta["version"], json.dumps({k: v for k, v in meta.items() if k != "version"}))
 
     # tables
 
@@ -73,24 +78,42 @@ class Collection:
 
     # writing
 
-    def insert(self, points: DataFrame) -> None:
-        """Appends (id, vector[, payload]); all or nothing if a vector has a wrong size. Flushes a full staging table."""
+    def insert(self, points: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """Appends (id, vector[, payload]); all or nothing if a vector has a wrong size. Flushes a full staging table.
+
+        batch is (stream, number): a number that is not above the last one taken in from that stream is left out, as both
+        come into meta in one step. Whether points were taken in.
+        """
+        if batch and batch[1] <= self._meta().get("streams", {}).get(batch[0], -1):
+            return False
         if "payload" not in points.columns:
             points = points.withColumn("payload", F.lit(None).cast("string"))
         points = points.select(F.col("id").cast("string"), F.col("vector").cast("array<float>"), F.col("payload").cast("string"))
         part = uuid.uuid4().hex
-        points.write.parquet(f"{self.path}/staging/{part}")  # computed once; it belongs to the collection only when meta.json says so
+        points.write.parquet(f"{self.path}/staging/{part}")  # computed once; it belongs to the collection only when meta says so
         new = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/staging/{part}")
         bad = new.where("vector IS NULL OR size(vector) != " + str(self.config.dimension)).select(F.size("vector")).head(1)
         if bad:
             self.storage.delete(f"{self.path}/staging/{part}")
             raise DimensionMismatch(self.config.dimension, max(0, bad[0][0] or 0))
-        meta = self._meta()
-        meta["staging"].append(part)
-        meta["staged"] += new.count()
-        self._save(meta)
+        n = new.count()
+        while True:
+            meta = self._meta()
+            if batch and batch[1] <= meta.get("streams", {}).get(batch[0], -1):
+                self.storage.delete(f"{self.path}/staging/{part}")
+                return False
+            meta["staging"].append(part)
+            meta["staged"] += n
+            if batch:
+                meta["streams"] = meta.get("streams", {}) | {batch[0]: batch[1]}
+            try:
+                self._save(meta)
+                break
+            except ConcurrentChange:  # another writer's insert came between: ours goes after it
+                continue
         if meta["staged"] >= self.config.staging_threshold:
             self.flush()
+        return True
 
     def flush(self) -> str | None:
         """Staging as a segment of level 0, compacted if there are many; an empty staging table is left alone."""
@@ -154,6 +177,31 @@ class Collection:
                 self.storage.delete(f"{self.path}/vectors/segment_id={s}")
                 self.storage.delete(f"{self.path}/centroids/segment_id={s}")
 
+    # the router's entries
+
+    def router_upsert(self, segment_id: str, centroid: list[float], num_vectors: int, level: int = 0) -> None:
+        """Puts a segment's entry in the place of its old one, or adds it."""
+        meta = self._meta()
+        entry = {"segment_id": segment_id, "level": level, "num_vectors": int(num_vectors), "segment_centroid": [float(x) for x in centroid]}
+        kept = [entry if s["segment_id"] == segment_id else s for s in meta["segments"]]
+        self._save(meta | {"segments": kept if any(s is entry for s in kept) else [*kept, entry]})
+
+    def router_remove(self, segment_id: str) -> bool:
+        """Takes a segment out of all searches; its files stay. Whether there was one."""
+        meta = self._meta()
+        kept = [s for s in meta["segments"] if s["segment_id"] != segment_id]
+        if len(kept) == len(meta["segments"]):
+            return False
+        self._save(meta | {"segments": kept})
+        return True
+
+    def router_contains(self, segment_id: str) -> bool:
+        return any(s["segment_id"] == segment_id for s in self._meta()["segments"])
+
+    def router_get(self, segment_id: str) -> DataFrame:
+        """The row of router() of one segment, or none."""
+        return self.router().where(F.col("segment_id") == segment_id)
+
     def rebuild_router(self) -> None:
         """Recomputes every segment's centroids from its vectors."""
         meta = self._meta()
@@ -188,6 +236,11 @@ class Collection:
             parts.append(knn.ivf_search(self.vectors(names), self.centroids(names), query, k, nprobe, metric, ["segment_id"], keep))
         return knn.merge(parts, k)
 
+    def get(self, ids: list[str]) -> DataFrame:
+        """(id, vector, payload) of some ids; the filter reaches the scans of staging and segments."""
+        wanted = F.col("id").isin([str(i) for i in ids])
+        return self.staging().where(wanted).unionByName(self.vectors().where(wanted).select("id", "vector", "payload"))
+
     def search_exact(self, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
         """(query_id, id, distance, rank) for many queries (query_id, vector) over all vectors."""
         return knn.batch_search(self.all(), queries, k, self.config.metric, exclude_self)
@@ -203,7 +256,11 @@ class Catalog:
         path = f"{self.root}/{config.name}"
         if self.storage.exists(f"{path}/config.json"):
             raise CollectionExists(config.name)
-        self.storage.write(f"{path}/meta.json", json.dumps({"segments": [], "staging": [], "staged": 0}))
+        try:
+            Versions(self.storage, f"{path}/meta").commit(0, json.dumps({"segments": [], "staging": [], "staged": 0}))
+        except ConcurrentChange as e:
+            if self.storage.exists(f"{path}/config.json"):  # else one who died before it wrote the settings
+                raise CollectionExists(config.name) from e
         self.storage.write(f"{path}/config.json", config.to_json())
         return Collection(self.spark, path)
 

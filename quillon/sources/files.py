@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import InvalidQuery
@@ -30,6 +31,43 @@ def read_npy(spark: SparkSession, path: str, ids_path: str | None = None) -> Dat
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "vector": lists}))
 
 
+def read_hdf5(spark: SparkSession, path: str, dataset: str = "train", rows: int = 1 << 16) -> DataFrame:
+    """(id, vector) of a matrix in an HDF5 file, ids the row numbers; it needs h5py. It is read and sent in slices."""
+    try:
+        import h5py
+    except ImportError as e:
+        raise InvalidQuery("h5py is not installed") from e
+    parts = None
+    with h5py.File(path, "r") as f:
+        held = f[dataset]
+        for a in range(0, max(1, len(held)), rows):
+            part = np.ascontiguousarray(held[a : a + rows], np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * held.shape[1], pa.int32()), pa.array(part.ravel()))
+            df = spark.createDataFrame(pa.table({"id": pa.array([str(a + i) for i in range(len(part))], pa.string()), "vector": lists}))
+            parts = df if parts is None else parts.unionByName(df)
+    return parts
+
+
+def encode_vectors(vector: Column | str) -> Column:
+    """Vectors as bytes: 32-bit floats, low byte first, one after the other; a null vector gives null."""
+
+    @F.pandas_udf("binary")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(F.col(vector) if isinstance(vector, str) else vector)
+
+
+def decode_vectors(data: Column | str) -> Column:
+    """The vectors that encode_vectors() wrote; null and bytes that are no whole number of floats give null."""
+
+    @F.pandas_udf("array<float>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
+
+    return run(F.col(data) if isinstance(data, str) else data)
+
+
 def read_texts(spark: SparkSession, path: str, extensions: list[str] | None = None, recursive: bool = False) -> DataFrame:
     """(path, text): a row for each file of a folder (or for one file), of certain extensions if given.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -68,29 +69,48 @@ class Storage:
             raise
         return True
 
-    def replace(self, path: str, old: str, new: str) -> None:
-        """write(), if the file still holds old; ConcurrentChange if another writer came first.
-
-        A file that only one writer can make, path.lock, keeps others out between the look and the rename.
-        """
-        lock, fs = self._at(f"{path}.lock")
-        try:
-            fs.create(lock, False).close()
-        except Py4JJavaError as e:
-            raise ConcurrentChange(path) from e
-        try:
-            if self.read(path) != old:
-                raise ConcurrentChange(path)
-            self.write(path, new)
-        finally:
-            fs.delete(lock, False)
-
     def folders(self, path: str) -> list[str]:
         p, fs = self._at(path)
         if not fs.exists(p):
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
+    def files(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        if not fs.exists(p):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
+
     def delete(self, path: str) -> bool:
         p, fs = self._at(path)
         return fs.delete(p, True)
+
+
+class Versions:
+    """A text that is replaced as a whole: every version is a file of its own that only one writer can make.
+
+    The last one counts. A writer names the version that it has read; if another writer came first, the new file is there
+    already. Nothing is locked, so a writer that dies leaves nothing to clear away.
+    """
+
+    KEPT = 20
+
+    def __init__(self, storage: Storage, path: str):
+        self.storage, self.path = storage, path
+
+    def _all(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.storage.files(self.path) if re.fullmatch(r"\d+\.json", n))
+
+    def read(self) -> tuple[int, str] | None:
+        """(number, text) of the last version; None if there is none."""
+        found = self._all()
+        return (found[-1], self.storage.read(f"{self.path}/{found[-1]:012d}.json")) if found else None
+
+    def commit(self, after: int, text: str) -> int:
+        """Makes text the version after that number; ConcurrentChange if there is one."""
+        if not self.storage.create(f"{self.path}/{after + 1:012d}.json", text):
+            raise ConcurrentChange(self.path)
+        for old in self._all():
+            if old <= after + 1 - self.KEPT:
+                self.storage.delete(f"{self.path}/{old:012d}.json")
+        return after + 1

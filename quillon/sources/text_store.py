@@ -1,7 +1,7 @@
 """A text index in a folder: documents are added in segments, and a commit makes what was added and deleted visible.
 
-meta.json names the segments and the tables of deleted ids that belong to the index, each with the turn in which it came;
-it is replaced as a whole, so a job that dies half way leaves files that no reader looks at.
+The last version in meta/ names the segments and the tables of deleted ids that belong to the index, each with the turn
+in which it came. A version comes whole or not at all, so a job that dies half way leaves files that no reader looks at.
 """
 
 from __future__ import annotations
@@ -13,30 +13,34 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.config import TextConfig
-from quillon.errors import CollectionExists, CollectionNotFound
+from quillon.errors import CollectionExists, CollectionNotFound, ConcurrentChange
 from quillon.operators.fts import TextIndex
-from quillon.sources.storage import Storage
+from quillon.sources.storage import Storage, Versions
 
 
 class TextStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.storage = spark, path.rstrip("/"), Storage(spark)
-        if not self.storage.exists(f"{self.path}/meta.json"):
-            raise CollectionNotFound(path)
+        self.versions = Versions(self.storage, f"{self.path}/meta")
         self.reload()
 
     @staticmethod
     def create(spark: SparkSession, path: str, fields: dict[str, str], config: TextConfig = TextConfig(), stored: list[str] | None = None) -> "TextStore":
         storage, path = Storage(spark), path.rstrip("/")
         meta = {"fields": fields, "config": asdict(config), "stored": stored or [], "segments": [], "deleted": [], "turn": 0}
-        if not storage.create(f"{path}/meta.json", json.dumps(meta)):
-            raise CollectionExists(path)
+        try:
+            Versions(storage, f"{path}/meta").commit(0, json.dumps(meta))
+        except ConcurrentChange as e:
+            raise CollectionExists(path) from e
         return TextStore(spark, path)
 
     def reload(self) -> None:
         """Takes up what others have committed; own additions that are not committed are forgotten."""
-        self.meta = json.loads(self.storage.read(f"{self.path}/meta.json"))
-        self.seen = json.dumps(self.meta)
+        found = self.versions.read()
+        if found is None:
+            raise CollectionNotFound(self.path)
+        self.number, self.seen = found
+        self.meta = json.loads(self.seen)
         config = self.meta["config"]
         self.config = TextConfig(**(config | {"fields": tuple(config["fields"])}))
 
@@ -59,7 +63,7 @@ class TextStore:
     def commit(self) -> None:
         """Raises ConcurrentChange if another writer has committed since the last reload."""
         new = json.dumps(self.meta)
-        self.storage.replace(f"{self.path}/meta.json", self.seen, new)
+        self.number = self.versions.commit(self.number, new)
         self.seen = new
 
     def _segment(self, name: str, turn: int, deleted: list) -> TextIndex:

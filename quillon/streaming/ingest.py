@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.config import RefinementConfig
-from quillon.functions.vectors import Metric, distance
+from quillon.functions.vectors import Metric
 from quillon.operators import knn
 from quillon.sources.collection import Collection
 
@@ -20,15 +20,12 @@ BATCH_SCHEMA = "id string, vector array<float>, payload string"
 def ingest(points: DataFrame, collection: Collection, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Every micro-batch of a stream (id, vector[, payload]) is one insert; full staging tables are flushed on the way.
 
-    The batches that meta.json has taken in are known by number, so one that is run again after a failure is skipped.
+    A batch and its number come into the collection's metadata in one step, so one that is run again after a failure is
+    known and left out. The stream is named by its checkpoint.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
-        done = f"{collection.path}/stream.json"
-        last = int(collection.storage.read(done)) if collection.storage.exists(done) else -1
-        if number > last:
-            collection.insert(batch)
-            collection.storage.write(done, str(number))
+        collection.insert(batch, (checkpoint, number))
 
     writer = points.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -61,17 +58,10 @@ def progressive(clustered: DataFrame, centroids: DataFrame, query: list[float],
 def progressive_table(clustered: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2", step: int = 5) -> DataFrame:
     """(query_id, snapshot, id, distance, rank): the snapshots of progressive() for many queries in one plan.
 
-    Every vector gets the number of the step in which its cluster is searched; a snapshot ranks the steps up to its own.
+    Every task keeps the k best of each query and step; a snapshot ranks those of the steps up to its own.
     """
-    n = centroids.count()
-    near = knn.batch_search(centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vector")), queries, n, metric)
-    turn = near.select("query_id", F.col("id").alias("cluster_id"), F.floor((F.col("rank") - 1) / step).cast("int").alias("turn"))
-    pairs = turn.join(queries.select("query_id", F.col("vector").alias("query")), "query_id").join(clustered.select("id", "cluster_id", "vector"), "cluster_id")
-    scored = pairs.select("query_id", "turn", "id", F.round(distance("vector", "query", metric), knn.PLACES).alias("distance"))
-    # only the k best of a step can be in a later snapshot
-    w = knn.Window.partitionBy("query_id", "turn").orderBy("distance", "id")
-    best = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    steps = -(-n // step)
+    best = knn.batch_by_turns(clustered, centroids, queries, k, step, metric).drop("rank")  # only these can be in a later snapshot
+    steps = -(-centroids.count() // step)
     seen = best.withColumn("snapshot", F.explode(F.sequence(F.col("turn"), F.lit(max(0, steps - 1)))))
     w = knn.Window.partitionBy("query_id", "snapshot").orderBy("distance", "id")
     return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "snapshot", "id", "distance", "rank")
