@@ -103,6 +103,13 @@ def verify(words: np.ndarray, spans: list[dict], templates: dict[str, np.ndarray
             low, high = work.pop()
             n, first, last = aligned(words[low:high], template)
             like = 2 * n / (len(template) + last + 1 - first) if n else 0.0
+            while last + 1 - first > n > 1:  # a word at an end that stands apart from the rest is there by chance
+                ends = [(first + 1, last + 1), (first, last)]
+                shorter = [(a + low, *aligned(words[low + a : low + b], template)) for a, b in ends]
+                m, a, b = max(((2 * c / (len(template) + j + 1 - i), start + i - low, start + j - low, c) for start, c, i, j in shorter if c), default=(0.0, 0, 0, 0))[:3]
+                if m <= like:
+                    break
+                n, like, first, last = round(m * (len(template) + b + 1 - a) / 2), m, a, b
             if like >= similarity:
                 found.append((round(like, 6), n, s["license"], low + first, low + last + 1, s["votes"]))
                 tried.clear()

@@ -648,7 +648,7 @@ def test_licences_against_all_alignments(spark):
         words = list(rng.choice(vocabulary, int(rng.integers(0, 15))))
         if i % 3:
             t = templates[f"T{i % 4 % 3}"].split()
-            if i % 2:
+            if i % 2 and len(t) > 6:  # of the shortest, too few windows would be left to vote
                 t[int(rng.integers(len(t)))] = "other"
             words += [*t, *rng.choice(vocabulary, int(rng.integers(0, 10)))]
         rows.append((i, " ".join(words), "en", "s"))
