@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillon.config import KMeansConfig
 from quillon.functions.vectors import centroids, l2_squared
@@ -79,9 +80,11 @@ def update(assigned: DataFrame) -> DataFrame:
     return centroids(assigned, ["cluster_id"])
 
 
-def members(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, members, n): ids in order."""
-    return assigned.groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n"))
+def members(assigned: DataFrame, size: int = 100_000) -> DataFrame:
+    """(cluster_id, part, members, n): the ids of each cluster in order, size of them a row at most."""
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")) - 1
+    parted = assigned.select("cluster_id", "id").withColumn("part", F.floor(place / size).cast("int"))
+    return parted.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n"))
 
 
 def lloyd_round(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

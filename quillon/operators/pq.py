@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quillon.config import KMeansConfig, PqConfig
 from quillon.errors import InsufficientSamples, InvalidQuery
-from quillon.functions.vectors import Metric, l2_squared
+from quillon.functions.vectors import Metric, distance, l2_squared
 from quillon.operators import kmeans
 from quillon.operators.knn import _BLOCK, PLACES, Best, _chunks, distances, id_array, literal, matrix, ranked, rerank
 from quillon.sources.storage import Storage
@@ -237,6 +237,13 @@ def batch_search(encoded: DataFrame, codebook: Codebook, queries: DataFrame, k:
     return ranked(found, k)
 
 
+def batch_search_refined(encoded: DataFrame, vectors: DataFrame, codebook: Codebook, queries: DataFrame, k: int, factor: int, metric: str | Metric = "l2") -> DataFrame:
+    """(query_id, id, distance, rank): batch_search() for k * factor candidates of each query, those ranked exactly."""
+    near = batch_search(encoded, codebook, queries, k * factor).select("query_id", "id")
+    both = near.join(vectors.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
+    return ranked(both.select("query_id", "id", F.round(distance("vector", "query", metric), PLACES).alias("distance")), k)
+
+
 def _looked_up(source: DataFrame, tables: dict[int | None, np.ndarray], k: int, query_ids: pa.Array | None = None, kind: T.DataType = T.LongType()) -> DataFrame:
     """(query_id, id, distance): every task's k nearest of each query. tables are (queries, M, K) by cluster, or one for all."""
     n = next(iter(tables.values())).shape[0]

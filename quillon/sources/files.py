@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,24 @@ def read_npy(spark: SparkSession, path: str, ids_path: str | None = None) -> Dat
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string()), "vector": lists}))
 
 
+def read_npy_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vector) of the matrices in a folder of .npy files, each read by a task; ids are file name, # and row number."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                if rows.ndim != 2:
+                    raise InvalidQuery(f"{name} holds no matrix")
+                for a in range(0, len(rows), 10_000):
+                    some = np.ascontiguousarray(rows[a : a + 10_000], np.float32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * rows.shape[1], pa.int32()), pa.array(some.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{name.rpartition('/')[2]}#{a + i}" for i in range(len(some))], pa.string()), lists], names=["id", "vector"])
+
+    return files.mapInArrow(run, "id string, vector array<float>")
+
+
 def read_hdf5(spark: SparkSession, path: str, dataset: str = "train", rows: int = 1 << 16) -> DataFrame:
     """(id, vector) of a matrix in an HDF5 file, ids the row numbers; it needs h5py. It is read and sent in slices."""
     try:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.config import CollectionConfig, EmbedConfig, HnswConfig, HybridConfig, KMeansConfig, PqConfig, TextConfig
+from quillon.config import CollectionConfig, EmbedConfig, HnswConfig, HybridConfig, KMeansConfig, PqConfig, RefinementConfig, TextConfig
 from quillon.errors import CollectionExists, CollectionNotFound, ConcurrentChange, DimensionMismatch, InsufficientSamples, InvalidConfig, InvalidQuery
 from quillon.functions import vectors as V
 from quillon.functions.text import char_chunks, stem, stems, word_chunks
@@ -12,10 +12,10 @@ from quillon.operators.fts import TextIndex, parse
 from quillon.operators.hnsw import Graph
 from quillon.functions.vectors import Metric
 from quillon.sources.collection import Catalog, Collection
-from quillon.sources.files import decode_vectors, encode_vectors, random_vectors, read_hdf5, read_json_points, read_npy, write_csv
+from quillon.sources.files import decode_vectors, encode_vectors, random_vectors, read_hdf5, read_json_points, read_npy, read_npy_parts, write_csv
 from quillon.sources.text_store import TextStore
 from quillon.sources.warm import WarmCache
-from quillon.streaming.ingest import ingest, read_points
+from quillon.streaming.ingest import ingest, progressive, read_points, two_phase
 
 
 def one(spark, column, **values):
@@ -147,6 +147,32 @@ def test_graph_recall():
     assert other.layers == g.layers and other.entry == g.entry
 
 
+def test_heuristic_selection_against_brute_force():
+    """A neighbour is chosen if it is nearer to the node than to any chosen one; then the nearest others fill up."""
+    rng = np.random.default_rng(5)
+    g = Graph(rng.uniform(-1, 1, (40, 4)), Metric.L2, HnswConfig())
+    for node in range(40):
+        d = ((g.vectors - g.vectors[node]) ** 2).sum(1)
+        near = [(float(d[n]), int(n)) for n in np.argsort(d)[1:20]]
+        for m in (1, 4, 12):
+            chosen, left = [], []
+            for x, n in near:
+                if len(chosen) < m:
+                    good = all(((g.vectors[n] - g.vectors[c]) ** 2).sum() > x for c in chosen)
+                    (chosen if good else left).append(n)
+            assert g.select(near, m) == (chosen + left)[:m]
+
+
+def test_two_phase_gives_up_when_late(spark):
+    c = spark.createDataFrame([(i, i, [float(i)]) for i in range(12)], "id long, cluster_id int, vector array<double>")
+    cent = c.select("cluster_id", F.col("vector").alias("centroid"))
+    late = two_phase(c, cent, [0.0], 10, config=RefinementConfig(initial_nprobe=3, max_timeout_ms=-1))
+    assert [r["id"] for r in late.collect()] == [0, 1, 2]
+    on = two_phase(c, cent, [0.0], 10, config=RefinementConfig(initial_nprobe=3, max_timeout_ms=1 << 30))
+    assert [r["id"] for r in on.collect()] == list(range(10))
+    assert [(n, first, last) for n, first, last, _ in progressive(c, cent, [0.0], 2)] == [(5, True, False), (10, False, False), (12, False, True)]
+
+
 def test_best_against_brute_force():
     rng = np.random.default_rng(8)
     for k in (1, 3, 10):
@@ -350,5 +376,9 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "csv")).collect())) == [("1", "0.5"), ("2", None)]
     (tmp_path / "p.json").write_text('{"id": "x", "vector": [1, 2], "payload": {"a": 1}}\n{"id": "y", "vector": [3, 4]}\n')
     assert [(r["id"], r["vector"], r["payload"]) for r in read_json_points(spark, str(tmp_path / "p.json")).orderBy("id").collect()] == [("x", [1, 2], '{"a":1}'), ("y", [3, 4], None)]
+    (tmp_path / "parts").mkdir()
+    for i in range(2):
+        np.save(tmp_path / "parts" / f"p{i}.npy", np.full((2, 3), i, np.float64))
+    assert sorted((r["id"], r["vector"]) for r in read_npy_parts(spark, str(tmp_path / "parts")).collect()) == [(f"p{i}.npy#{j}", [i] * 3) for i in range(2) for j in range(2)]
     with pytest.raises(InvalidQuery):
         read_hdf5(spark, str(tmp_path / "no.hdf5"))

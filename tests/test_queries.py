@@ -8,6 +8,8 @@ def test_query_matches_sql(name, matches_sql):
     matches_sql(QUERIES[name], ORACLES[name])
 
 
-def test_graph_recall(spark):
-    row = QUERIES["ivf_hnsw_recall"](spark, "/root/testdata/sf0.001").first()
-    assert row["n_queries"] == 500 and row["recall"] > 0.6  # half of the clusters are probed
+@pytest.mark.parametrize("name", ["ivf_hnsw_recall", "hnsw_recall", "eval_recall_at_k", "pq_refined_recall"])
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall(spark, name, sf):
+    """Nine tenths of the true neighbours at least, by brute force over every vector."""
+    assert QUERIES[name](spark, f"/root/testdata/{sf}").first()["recall"] >= 0.9
