@@ -62,22 +62,44 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_made: list[str] = []  # the folders of written() that are not deleted yet
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+            name = path.rpartition("/")[2]
+            _made[:] = [x for x in _made if x.rpartition("/")[2] != name]
+
+
+def mark() -> int:
+    """Where written() is now, for drop_since()."""
+    return len(_made)
+
+
+def drop_since(place: int, kept: DataFrame) -> None:
+    """Deletes all that written() has made since mark() gave place, but for kept."""
+    name = {p.rpartition("/")[0].rpartition("/")[2] for p in kept.inputFiles()}
+    for path in _made[place:]:
+        if path.rpartition("/")[2] not in name:
+            _delete(kept.sparkSession, path)
+    _made[place:] = [x for x in _made[place:] if x.rpartition("/")[2] in name]
 
 
 #: The largest filter: 2^22 words of 64 bits, however many keys there are.
@@ -85,7 +107,7 @@ MOST_BITS = 28
 
 
 class KeyFilter:
-    """Which keys (64-bit hashes) may be in a table, without a shuffle: 16 to 32 bits a key, 2^28 bits at most.
+    """Which keys (longs) may be in a table, without a shuffle: 16 to 32 bits a key, 2^28 bits at most.
 
     The bits are a table of words that is broadcast to the scan, 4 million rows at most. Beyond 16 million keys it passes
     more and more of the others; what it passes must be joined with the keys in any case, so that costs shuffle and loses
@@ -99,7 +121,7 @@ class KeyFilter:
         self.words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
 
     def _place(self, key: Column) -> Column:
-        return F.shiftrightunsigned(key, 64 - self.bits)
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)
 
     def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """(rows whose key may be in the table, rows whose key surely isn't)."""

@@ -6,7 +6,9 @@ at least c of s values share one of the first s-c+1, so only those are listed an
 documents repeat stay out of the lists. The bottom-k of the union of two sketches estimates their Jaccard similarity
 and prunes; the exact Jaccard similarity of the whole sets decides. Within a list documents are first compared with one
 leader; pairs already in one component need no comparison, and every other pair of the list is then compared, so the
-groups are those of all pairs of the lists while a group of n copies costs about n comparisons.
+groups are those of all pairs of the lists while a group of n copies costs about n comparisons. Where lists stay long
+because their texts share a passage and no more, the lists of these texts are made anew from their whole sets, in which
+the passage's values are the last to be listed.
 """
 
 from __future__ import annotations
@@ -77,6 +79,16 @@ def _whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, whole array<long>")
 
 
+def _first(held: DataFrame, share: F.Column) -> DataFrame:
+    """(v, node) of the values (node, s, v, f) that a list is made of: held has those of each node's s values that other
+    nodes hold too, f nodes in all, and two nodes that count must have that share of the s values in common."""
+    need = F.ceil(share * F.col("s") - 1e-9)
+    by_node = Window.partitionBy("node")
+    # the values that no other node holds come first in the order, so q of them are left
+    first = held.withColumns({"r": F.row_number().over(by_node.orderBy("f", "v")), "q": F.count(F.lit(1)).over(by_node)})
+    return first.where((F.col("q") >= need) & (F.col("r") <= F.col("q") - need + 1)).select("v", "node")
+
+
 class _Search:
     """The candidate lists of the distinct sets, and the comparison of pairs of them."""
 
@@ -86,13 +98,12 @@ class _Search:
         self.held: list[DataFrame] = []
         self.nodes = self.keep(rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("node2", "k1", "k2", "n", "least")).alias("x")).select("node", "x.*"))
         held = self.nodes.select("node", F.size("least").alias("s"), F.explode("least").alias("v"))
-        held = held.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("f > 1")
+        # a third of all sketches may hold one value: it is counted before it moves, and its rows meet the count in a join
+        # that adaptive execution splits; most values are in one sketch only and go no further
+        counts = self.keep(held.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+        held = KeyFilter(counts, "v").passing(held, "v").join(counts, "v")
         # a set so small that every partner's sketch is its whole set needs no slack
-        need = F.ceil(F.when(F.col("s") <= sketch * threshold, threshold).otherwise(threshold - slack) * F.col("s") - 1e-9)
-        by_node = Window.partitionBy("node")
-        first = held.withColumns({"r": F.row_number().over(by_node.orderBy("f", "v")), "q": F.count(F.lit(1)).over(by_node)})
-        # the s - q values that no other sketch holds come first in the order
-        self.lists = self.keep(first.where((F.col("q") >= need) & (F.col("r") <= F.col("q") - need + 1)).select("v", "node"))
+        self.lists = self.keep(_first(held, F.when(F.col("s") <= sketch * threshold, threshold).otherwise(threshold - slack)))
         self.tested = self.edges = self.spark.createDataFrame([], "a long, b long")
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -115,32 +126,48 @@ class _Search:
         shared = F.size(F.array_intersect(F.array_intersect("u", "x"), "y"))
         likely = written(both.where(shared >= F.lit(self.threshold - self.slack) * F.size("u")).select("a", "b"))
         ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        keys = written(ends.join(self.nodes.select("node", "k1", "k2"), "node"))
-        # texts of no likely pair stay where they are
-        maybe = KeyFilter(keys, "k1").passing(self.docs.select("k1", "k2", "text"), "k1")
-        texts = maybe.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-        whole = written(_whole_sets(texts, self.shingle))
+        whole = self.texts(ends)
         sets = likely.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
         good = sets.withColumn("o", shared).where(F.col("o") >= self.threshold * (F.size("x") + F.size("y") - F.col("o"))).select("a", "b")
         good = self.keep(good)
         self.edges = self.edges.unionByName(good)
-        drop_written(likely, keys, whole)
+        drop_written(likely, whole)
         return good.count(), pairs.count()
 
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, whole): the whole sets of some nodes (node); texts of others stay where they are. A written table."""
+        keys = written(nodes.join(self.nodes.select("node", "k1", "k2"), "node"))
+        maybe = KeyFilter(keys, "k1").passing(self.docs.select("k1", "k2", "text"), "k1")
+        whole = written(_whole_sets(maybe.join(keys, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), self.shingle))
+        drop_written(keys)
+        return whole
+
+    def whole_lists(self, listed: DataFrame) -> DataFrame:
+        """(v, node) of the nodes in listed, by their whole sets: two sets that are alike enough share one of the values
+        that are listed of each, as all but threshold of a set's values are, those that fewest of these sets hold first."""
+        whole = self.texts(listed.select("node").distinct())
+        held = whole.select("node", F.size("whole").alias("s"), F.explode("whole").alias("v"))
+        counts = written(held.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+        held = KeyFilter(counts, "v").passing(held, "v").join(counts, "v")
+        lists = self.keep(_first(held, F.lit(self.threshold)))
+        drop_written(whole, counts)
+        return lists
+
     def roots(self) -> DataFrame:
         return self.keep(components(self.edges))
 
     def listed(self, roots: DataFrame) -> DataFrame:
         """(v, node, root) of the lists that hold more than one component."""
-        out = self.lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        w = Window.partitionBy("v")
-        return out.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo != hi").select("v", "node", "root")
+        out = self.lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+        several = out.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v")
+        return out.join(several, "v", "left_semi")
 
     def run(self) -> DataFrame:
         """(node, root) of the nodes that have a partner."""
         roots = self.spark.createDataFrame([], "node long, root long")
-        turn = found = tried = 0
+        turn = since = found = tried = 0
+        whole = False
         while True:
             listed = written(self.listed(roots))
             by = listed.groupBy("v", "root").count().groupBy("v").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
@@ -148,14 +175,19 @@ class _Search:
             if not left["p"]:
                 drop_written(listed)
                 return roots
-            if turn and (left["p"] <= 8 * left["n"] or found <= 0.05 * tried):
-                break
+            few = left["p"] <= 8 * left["n"]
+            if since and (few or found <= 0.05 * tried):
+                if few or whole:
+                    break
+                self.lists, whole, since = self.whole_lists(listed), True, 0
+                drop_written(listed)
+                continue
             rank = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("node"), F.col("root").alias("root"))
-            led = listed.withColumn("lead", F.min(rank).over(Window.partitionBy("v"))).where("lead.root != root")
+            led = listed.join(listed.groupBy("v").agg(F.min(rank).alias("lead")), "v").where("lead.root != root")
             found, tried = self.compare(led.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
             roots = self.roots()
             drop_written(listed)
-            turn += 1
+            turn, since = turn + 1, since + 1
         # what is left: every pair of one list that is not in one component, by way of the components' pairs
         own = listed.select("v", "root").distinct()
         across = own.toDF("v", "ra").join(own.toDF("v", "rb"), "v").where("ra < rb")

@@ -213,6 +213,18 @@ def test_near_short_texts_are_all_found(spark):
     assert found == want
 
 
+def test_near_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts that have a passage in common, 45 % of each, and no more are no copies, and their pairs are not all tried."""
+    passage = [f"p{i}" for i in range(90)]
+    texts = [passage + [f"w{i}x{j}" for j in range(110)] for i in range(400)]
+    texts += [t[:-4] + ["other", "words"] for t in texts[:20]]
+    tried, compare = [], near_dedup._Search.compare
+    monkeypatch.setattr(near_dedup._Search, "compare", lambda self, pairs: tried.append(compare(self, pairs)) or tried[-1])
+    found = {tuple(r) for r in near_dedup.near_duplicates(docs(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert found == {(400 + i, i) for i in range(20)}
+    assert sum(n for _, n in tried) < 8000  # of 88,000
+
+
 def test_components_on_the_cluster(spark):
     """Star rounds and the union-find give the same roots, with loops, repeats and nulls among the edges."""
     rng = np.random.default_rng(3)
