@@ -22,7 +22,7 @@ from quillon.llm._batch import fresh, mix, small_batches
 
 BITS, ORDERS = 14, 3
 FEATURES = 1 << BITS
-_STEP = 1 << 18  # characters at a time
+_STEP = 1 << 17  # characters at a time
 
 
 def _counts(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,7 +68,7 @@ def _features(units: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.
         inside = (row[: n - k + 1] == row[k - 1 :]) & ~space
         keys.append(row[: n - k + 1][inside].astype(np.int64) << BITS | (mix(h[inside]) >> np.uint64(64 - BITS)).astype(np.int64))
     key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    if rows * FEATURES <= 1 << 22:
+    if rows * FEATURES <= 1 << 21:
         dense = np.bincount(key, minlength=1)
         key = np.flatnonzero(dense)
         count = dense[key]
