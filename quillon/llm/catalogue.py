@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fingerprint_whole_texts": fingerprint.fingerprint_whole_texts,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.OP1_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "fingerprint_whole_texts": fingerprint.WHOLE_TEXTS_SQL,

@@ -245,3 +245,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2)::BIGINT)) AS i FROM words WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+alike AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE o >= {THRESHOLD} * (x.n + y.n - o)),
+edges AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reach AS (SELECT DISTINCT a AS doc_id, a AS root FROM edges UNION SELECT edges.b, reach.root FROM reach JOIN edges ON edges.a = reach.doc_id WHERE reach.root < edges.b)
+SELECT doc_id, min(root) AS kept_id FROM reach GROUP BY doc_id HAVING min(root) < doc_id
+"""
