@@ -32,7 +32,7 @@ def hashing_model(dimension: int) -> Model:
         for i, text in enumerate(texts):
             for word in text.lower().split():
                 if word not in known:
-                    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                    h = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:4])
                     known[word] = (h >> 1) % dimension, 1 if h & 1 else -1
                 at, sign = known[word]
                 out[i, at] += sign

@@ -9,10 +9,10 @@ from quillon.config import CollectionConfig, EmbedConfig, HybridConfig, TextConf
 from quillon.functions.text import char_chunks, stems, tokens, word_chunks
 from quillon.functions.vectors import norm
 from quillon.operators import hybrid, knn
-from quillon.operators.embed import embed, embed_and_insert, embed_chunked
+from quillon.operators.embed import embed, embed_and_insert, embed_chunked, embed_query
 from quillon.operators.embed import semantic_search as semantic
 from quillon.operators.fts import TextIndex
-from quillon.plans.common import CORPUS, QUERY, SQL_QUERY, TEXT, bm25, corpus, l2, query, r6, table, text_corpus, total, workspace
+from quillon.plans.common import CORPUS, QUERY, SQL_QUERY, TEXT, bm25, corpus, cosine, l2, query, r6, table, text_corpus, total, workspace
 from quillon.sources.collection import Catalog, Collection
 from quillon.sources.storage import Storage
 
@@ -248,9 +248,18 @@ def chunk_chars(spark, sf_dir):
 _EMBED = EmbedConfig(dimension=64)
 
 
-@query()
+_VECTORS = r"""ew AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+eh AS (SELECT id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM ew),
+ep AS (SELECT id, (h >> 1) % 64 AS p, sum(CASE WHEN h & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM eh GROUP BY ALL),
+en AS (SELECT id, sqrt(sum(x * x)) AS n FROM ep GROUP BY id),
+eg AS (SELECT doc_id AS id, unnest(range(64)) AS p FROM documents WHERE text IS NOT NULL),
+ev AS (SELECT id, list((CASE WHEN n > 0 THEN coalesce(x, 0) / n ELSE 0 END)::FLOAT ORDER BY p) AS vector FROM eg LEFT JOIN ep USING (id, p) LEFT JOIN en USING (id) GROUP BY id)"""
+
+
+@query(f"WITH {_VECTORS} SELECT id, list_transform(vector, lambda x: {r6('x::DOUBLE')}) AS vector FROM ev UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
 def embed_documents(spark, sf_dir):
-    return text_corpus(spark, sf_dir).select("id", embed("text", _EMBED).alias("vector"))
+    vectors = text_corpus(spark, sf_dir).select("id", embed("text", _EMBED).alias("vector"))
+    return vectors.select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> Collection:
@@ -267,10 +276,17 @@ def embed_insert(spark, sf_dir):
     return told.crossJoin(c.all().agg(F.count(F.lit(1)).alias("stored")))  # one row each
 
 
-@query()
+_ASKED = "the water of the model"
+_ASKED_VECTOR = "[" + ", ".join(f"{x!r}::DOUBLE" for x in embed_query(_ASKED, _EMBED)) + "]"
+
+
+@query(
+    f"""WITH {_VECTORS}, d AS (SELECT id::VARCHAR AS id, concat_ws(' ', source, lang) AS payload, {r6(cosine('list_transform(vector, lambda x: x::DOUBLE)', _ASKED_VECTOR))} AS distance FROM ev JOIN documents ON doc_id = id)
+SELECT id, distance, payload FROM d ORDER BY distance, id LIMIT {K}"""
+)
 def semantic_search(spark, sf_dir):
     """A text in, documents out: embedded, inserted, searched."""
-    return semantic(_embedded(spark, sf_dir), "the water of the model", K, include_payload=True, config=_EMBED)
+    return semantic(_embedded(spark, sf_dir), _ASKED, K, include_payload=True, config=_EMBED)
 
 
 @query(f"WITH {_CHUNKS} SELECT id, chunk_index::INTEGER AS chunk_index, array_to_string(w[chunk_index * 224 + 1 : chunk_index * 224 + 256], ' ') AS chunk, 64::INTEGER AS dimension, CASE WHEN len(w) > 0 THEN 1::DOUBLE END AS norm FROM s")

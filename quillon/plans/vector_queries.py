@@ -287,14 +287,15 @@ def kmeans_fit(spark, sf_dir):
     return spark.createDataFrame([(n, [round(float(x), 6) + 0.0 for x in c]) for n, c in zip(names, centers)], "cluster_id int, centroid array<double>")
 
 
-@query()
+@query("SELECT 16 AS clusters, count(*) AS members, 0.0::DOUBLE AS moved FROM embeddings")
 def kmeans_fit_drawn(spark, sf_dir):
-    """fit() with drawn initial centroids: (clusters, cost), the mean squared distance to the own centroid."""
+    """fit() with drawn initial centroids until nothing moves: every centroid is then the mean of its members."""
     source = corpus(spark, sf_dir).select("id", "vector")
-    centers = kmeans.fit(source, KMeansConfig(num_clusters=16))
-    names = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
-    d = kmeans.assign(source, centers).join(F.broadcast(names), "cluster_id").select(V.l2_squared("vector", "centroid").alias("d"))
-    return d.agg(F.lit(len(centers)).alias("clusters"), F.round(F.avg("d"), 4).alias("cost"))
+    centers = kmeans.fit(source, KMeansConfig(num_clusters=16, max_iterations=200, tolerance=0.0))
+    names = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, old array<double>")
+    assigned = kmeans.assign(source, centers)
+    both = kmeans.update(assigned).join(names, "cluster_id").join(kmeans.cluster_sizes(assigned), "cluster_id")
+    return both.agg(F.count(F.lit(1)).cast("int").alias("clusters"), F.sum("n").alias("members"), F.round(F.max(V.l2_squared("centroid", "old")), 6).alias("moved"))
 
 
 # candidates: the nearest by the first half of the elements
@@ -438,14 +439,6 @@ def pq_train(spark, sf_dir):
     return book.to_dataframe(spark).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
-@query()
-def pq_train_drawn(spark, sf_dir):
-    """train() with drawn initial centroids: the reconstruction error of its codes."""
-    source = corpus(spark, sf_dir).select("id", "vector")
-    book = pq.train(source, PqConfig(subvectors=M, centroids=32, max_iterations=8))
-    return pq.reconstruction_error(pq.decode(pq.encode(source, book), book))
-
-
 @query(f"WITH {_CODES} SELECT id, list_reduce(list_transform(codes, lambda x: printf('%02X00', x)), lambda a, b: a || b) AS packed, codes FROM codes")
 def pq_compact_wide(spark, sf_dir):
     """Two bytes a code, the low one first, as for more than 256 centroids."""
@@ -465,13 +458,12 @@ def _ivf_pq(spark: SparkSession, sf_dir: str) -> pq.IvfPq:
     return pq.IvfPq.build(corpus(spark, sf_dir), config=PqConfig(centroids=len(centers)), centers=centers, codebook=book)
 
 
-@query()
+@query(f"WITH {CORPUS} {_top_sql(l2('vector', SQL_QUERY))}")
 def ivf_pq_built(spark, sf_dir):
-    """An index that trains its centroids and its codebook: recall@10 with all clusters probed and exact re-ranking."""
-    c = corpus(spark, sf_dir)
-    index = pq.IvfPq.build(c, 10, PqConfig(subvectors=M, centroids=32, max_iterations=8))
-    truth = knn.search(c, QUERY, K).select(F.lit(0).alias("query_id"), "id")
-    return evaluate.recall_at_k(index.search(QUERY, K, 10).select(F.lit(0).alias("query_id"), "id"), truth, K)
+    """An index that trains its centroids and its codebook; with all clusters probed and all candidates ranked exactly, its
+    answer is the true one."""
+    index = pq.IvfPq.build(corpus(spark, sf_dir), 10, PqConfig(subvectors=M, centroids=32, max_iterations=8, refine_candidates=1 << 20))
+    return index.search(QUERY, K, 10)
 
 
 @query(
@@ -506,11 +498,18 @@ def opq_rotate(spark, sf_dir):
     return pq.rotate(corpus(spark, sf_dir).select("id", "vector"), r).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query()
+@query("SELECT count(*) AS vectors, 8 AS subvectors, 0.0::DOUBLE AS skew, true AS no_worse FROM embeddings")
 def opq_encode(spark, sf_dir):
-    source = corpus(spark, sf_dir).select("id", "vector")
-    model = pq.train_rotated(source, PqConfig(subvectors=8, centroids=32, opq_iterations=4))
-    return model.encode(source).select("id", "codes")
+    """A trained rotation is orthogonal, and its codes are no worse than those of a codebook without one."""
+    source, config = corpus(spark, sf_dir).select("id", "vector"), PqConfig(subvectors=8, centroids=32, opq_iterations=4)
+    model, plain = pq.train_rotated(source, config), pq.train(source, config)
+    skew = float(np.round(np.abs(model.rotation @ model.rotation.T - np.eye(64)).max(), 6))
+    coded = model.encode(source)
+    ours = pq.reconstruction_error(model.decode(coded).join(source.select("id", "vector"), "id"))
+    other = pq.reconstruction_error(pq.decode(pq.encode(source, plain), plain))
+    counts = coded.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("codes")).alias("subvectors"))
+    errors = ours.withColumnRenamed("error", "a").crossJoin(other.withColumnRenamed("error", "b"))  # one row each
+    return counts.crossJoin(errors).select("vectors", "subvectors", F.lit(skew).alias("skew"), (F.col("a") <= F.col("b") + 1e-6).alias("no_worse"))
 
 
 # evaluation
@@ -578,32 +577,51 @@ def graph_degree_stats(spark, sf_dir):
     return hnsw.degree_stats(both.withColumn("layer", F.lit(0)))
 
 
-@query()
-def hnsw_recall(spark, sf_dir):
-    """One graph of all vectors, every vector a query."""
+#: What the approximate searches promise: nine tenths of the true neighbours over all queries.
+_REACHED = "SELECT count(*) AS n_queries, true AS reached FROM embeddings"
+
+
+def _reached(measured: DataFrame) -> DataFrame:
+    return measured.select("n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_queries, recall) of one graph of all vectors, every vector a query."""
     c = corpus(spark, sf_dir)
     index = hnsw.build(c.withColumn("cluster_id", F.lit(0)), "l2", HnswConfig(ef_construction=100))
     truth = knn.batch_search(c, queries_of(c), K)
     return evaluate.recall_at_k(hnsw.search(index, queries_of(c), K), truth, K)
 
 
-@query()
-def ivf_hnsw_recall(spark, sf_dir):
-    """A graph for each label, every vector a query that probes seven of the ten."""
+@query(_REACHED)
+def hnsw_recall(spark, sf_dir):
+    return _reached(graph_recall(spark, sf_dir))
+
+
+def probed_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_queries, recall) of a graph for each label, every vector a query that probes seven of the ten."""
     c = clustered(spark, sf_dir)
     index = hnsw.build(c, "l2", HnswConfig(ef_construction=100))
     truth = knn.batch_search(c, queries_of(c), K)
     return evaluate.recall_at_k(hnsw.ivf_search(index, label_centroids(spark, sf_dir), queries_of(c), K, NPROBE), truth, K)
 
 
+@query(_REACHED)
+def ivf_hnsw_recall(spark, sf_dir):
+    return _reached(probed_graph_recall(spark, sf_dir))
+
+
 def _hnsw_index(spark: SparkSession, sf_dir: str, **config) -> DataFrame:
     return hnsw.build(clustered(spark, sf_dir), "l2", HnswConfig(ef_construction=100, **config))
 
 
-@query()
+@query("SELECT label AS cluster_id, count(*) AS nodes, 0::BIGINT AS beyond FROM embeddings GROUP BY label")
 def hnsw_graph_stats(spark, sf_dir):
-    """The layers of built graphs, one for each label."""
-    return hnsw.stats(_hnsw_index(spark, sf_dir))
+    """Built graphs, one for each label: all vectors are in the lowest layer, and none has more links than it may."""
+    e = hnsw.edges(_hnsw_index(spark, sf_dir)).where("layer = 0")
+    links = e.select("cluster_id", "src", F.lit(1).alias("out")).union(e.select("cluster_id", "dst", F.lit(0)))
+    degree = links.groupBy("cluster_id", "src").agg(F.sum("out").alias("degree"))
+    return degree.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("degree") > HnswConfig().most(0)).alias("beyond"))
 
 
 @query(f"WITH {CORPUS}, {_BATCH.replace('WHERE q.id <> c.id', 'WHERE q.cluster_id = c.cluster_id')} SELECT query_id, id, distance, rank FROM r WHERE rank <= 1")
@@ -690,15 +708,19 @@ def opq_round_trip(spark, sf_dir):
     return model.decode(coded).select("id", "codes", F.transform("decoded", lambda x: F.round(x, 6)).alias("decoded"))
 
 
-@query()
-def pq_refined_recall(spark, sf_dir):
-    """recall@10 of a trained codebook, every vector a query, 20 candidates for each result ranked exactly."""
+def quantized_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_queries, recall) of a trained codebook, every vector a query, 20 candidates for each result ranked exactly."""
     c = corpus(spark, sf_dir)
     book = pq.train(c, PqConfig(subvectors=16, centroids=64, max_iterations=8))
     found = pq.batch_search_refined(pq.encode(c.select("id", "vector"), book), c, book, queries_of(c), K, 20)
     return evaluate.recall_at_k(found, knn.batch_search(c, queries_of(c), K), K)
 
 
+@query(_REACHED)
+def pq_refined_recall(spark, sf_dir):
+    return _reached(quantized_recall(spark, sf_dir))
+
+
 @query("SELECT vec_id AS id, len(embedding) * 4 AS bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 6) + 0.0::DOUBLE) AS vector FROM embeddings")
 def vector_bytes(spark, sf_dir):
     """Vectors as bytes and back."""
