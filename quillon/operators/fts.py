@@ -1,6 +1,6 @@
 """Full-text search: an inverted index as tables, BM25, terms, phrases, edit distance and a query language.
 
-The index is postings (bucket, field, term, id, tf, length, positions), lengths (field, id, length), terms (bucket, field,
+The index is postings (bucket, field, term, id, tf, length, positions), lengths (field, id, length; bucket -1), terms (bucket, field,
 term, df) and stats (field, n, tokens). It is built once, in one pass over the texts, and written in folders by bucket,
 which is a hash of the term, and sorted by term: a search reads the folders of its terms and in them the row groups of
 these terms, so what it shuffles is the postings of the query, not the corpus. Scores are
@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from quillon.config import TextConfig
 from quillon.errors import InvalidQuery
 from quillon.functions.text import stem, stems, tokens
+from quillon.sources.storage import Storage
 
 PLACES, BUCKETS = 6, 64
 _WORDS = 1 << 21
@@ -44,7 +45,10 @@ def _bucket(term: Column) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(field, term, id, tf, length, positions) of (field, id, words): each batch in one sort of its words' numbers."""
+    """(field, term, id, tf, length, positions) of (field, id, words): each batch in one sort of its words' numbers.
+
+    Every document and field has a row without a term as well, which tells the length of those that have no words, too.
+    """
     for batch in batches:
         lists = batch.column("words")
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -65,9 +69,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, b - a)
             columns = [part.column("field").take(pa.array(at)), coded.dictionary.take(pa.array(code[order[first]])), part.column("id").take(pa.array(at)), pa.array(np.diff(ends)), pa.array(size[at]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(positions.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names=["field", "term", "id", "tf", "length", "positions"])
+            n = b - a
+            empty = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("field"), pa.nulls(n, pa.string()), part.column("id"), pa.array(np.zeros(n, np.int64)), pa.array(size), empty], names=["field", "term", "id", "tf", "length", "positions"])
             a = b
 
 
+def _postings(rows: DataFrame) -> DataFrame:
+    return rows.where("bucket >= 0")
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    return rows.where("bucket < 0").select("field", "id", "length")
+
+
 @dataclass
 class TextIndex:
     """config tells how texts were analysed; queries are analysed alike. stored is (id, ...), the fields that hits show."""
@@ -78,6 +93,7 @@ class TextIndex:
     terms: DataFrame | None = None
     totals: DataFrame | None = None
     stored: DataFrame | None = None
+    rows: DataFrame | None = None  # postings and lengths as one table, lengths in bucket -1 without a term
 
     def __post_init__(self) -> None:
         if self.terms is None:
@@ -105,30 +121,39 @@ class TextIndex:
         for p in parts[1:]:
             analysed = analysed.unionByName(p)
         analysed = analysed.where("words IS NOT NULL")
-        lengths = analysed.select("field", "id", F.size("words").cast("long").alias("length"))
         schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), docs.select(F.col(id_col).alias("id")).schema["id"], T.StructField("tf", T.LongType()), T.StructField("length", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
-        postings = analysed.mapInArrow(_counted, schema)
+        rows = analysed.mapInArrow(_counted, schema).select(F.when(F.col("term").isNull(), -1).otherwise(_bucket(F.col("term"))).alias("bucket"), "*")
         kept = docs.select(F.col(id_col).alias("id"), *stored) if stored else None
-        return TextIndex(postings.select(_bucket(F.col("term")).alias("bucket"), "*"), lengths, config, stored=kept)
+        return TextIndex(_postings(rows), _lengths(rows), config, stored=kept, rows=rows)
 
     def write(self, path: str) -> "TextIndex":
         """The index as tables. The postings move once, by bucket and id, so that a frequent term is not one task's."""
         spark = self.postings.sparkSession
+        rows = self.rows
+        if rows is None:
+            bare = [F.lit(-1).alias("bucket"), "field", F.lit(None).cast("string").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "length", F.array().cast("array<int>").alias("positions")]
+            rows = self.postings.select("bucket", "field", "term", "id", "tf", "length", "positions").unionByName(self.lengths.select(*bare))
         parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        spread = self.postings.withColumn("_part", F.pmod(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // BUCKETS)))), F.lit(parts)).cast("int"))
-        spread.repartitionById(parts, "_part").sortWithinPartitions("bucket", "term", "field", "id").drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        held = spark.read.parquet(f"{path}/postings")
+        # a bucket is as many tasks' as there are for one, and the lengths are all tasks'
+        share = F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // BUCKETS)))))
+        spread = rows.withColumn("_part", F.pmod(share, F.lit(parts)).cast("int")).repartitionById(parts, "_part")
+        spread.sortWithinPartitions("bucket", "term", "field", "id").drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        held = _postings(spark.read.parquet(f"{path}/postings"))
         held.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        TextIndex(held, spark.read.parquet(f"{path}/lengths"), self.config).totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         if self.stored is not None:
             self.stored.write.mode("overwrite").parquet(f"{path}/stored")
+        lengths = _lengths(spark.read.parquet(f"{path}/postings"))
+        TextIndex(held, lengths, self.config).totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return TextIndex.read(spark, path, self.config, self.stored is not None)
 
     @staticmethod
     def read(spark: SparkSession, path: str, config: TextConfig = TextConfig(), stored: bool = False) -> "TextIndex":
         at = lambda name: spark.read.parquet(f"{path}/{name}")
-        return TextIndex(at("postings"), at("lengths"), config, at("terms"), at("totals"), at("stored") if stored else None)
+        if not any(x.startswith("bucket=") for x in Storage(spark).folders(f"{path}/postings")):  # an index of no documents
+            rows = spark.createDataFrame([], "field string, term string, id string, tf long, length long, positions array<int>, bucket int")
+            return TextIndex(_postings(rows), _lengths(rows), config, stored=at("stored") if stored else None, rows=rows)
+        rows = at("postings")
+        return TextIndex(_postings(rows), _lengths(rows), config, at("terms"), at("totals"), at("stored") if stored else None, rows)
 
     def analyse(self, text: str) -> list[str]:
         words = [t for t in re.findall(r"[^\W_]+", text.lower()) if len(t.encode()) < self.config.max_token_bytes]
@@ -182,9 +207,7 @@ class TextIndex:
     @staticmethod
     def top(scored: DataFrame, k: int | None, min_score: float | None = None) -> DataFrame:
         """(id, score) of the k best, then those below min_score left out."""
-        # sums over few terms in a fixed order: doubles don't add up alike in every order
-        parts = F.array_sort(F.collect_list("score"))
-        total = scored.groupBy("id").agg(F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), PLACES).alias("score"))
+        total = scored.groupBy("id").agg(F.round(F.sum("score"), PLACES).alias("score"))
         if k is not None:
             total = total.orderBy(F.desc("score"), "id").limit(k)
         return total.where(F.col("score") >= min_score) if min_score is not None else total
@@ -205,8 +228,7 @@ class TextIndex:
         wanted = lambda table: table.where(F.col("field").isin(fields)) if fields else table
         found = wanted(self.postings).select("bucket", "field", "term", "id", "tf", "length").join(asked, ["bucket", "term"])
         terms = wanted(self.terms).join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-        parts = F.array_sort(F.collect_list("score"))
-        total = self._weighted(found, terms, "query_id").groupBy("query_id", "id").agg(F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), PLACES).alias("score"))
+        total = self._weighted(found, terms, "query_id").groupBy("query_id", "id").agg(F.round(F.sum("score"), PLACES).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

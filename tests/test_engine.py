@@ -247,6 +247,17 @@ def test_postings_against_brute_force(spark):
     assert sorted((r["term"], r["id"], r["length"], r["positions"]) for r in index.postings.collect()) == want
 
 
+def test_index_of_nothing(spark, tmp_path):
+    """Documents without a text make an index that finds nothing; one without words has a length of 0."""
+    docs = spark.createDataFrame([("a", None)], "id string, text string")
+    index = TextIndex.build(docs, {"text": "text"}).write(str(tmp_path / "none"))
+    assert index.search("river").collect() == [] and index.num_docs() == 0 and index.stats().collect() == []
+    index = TextIndex.build(spark.createDataFrame([("a", "..."), ("b", "river mill")], "id string, text string"), {"text": "text"}).write(str(tmp_path / "two"))
+    assert sorted(map(tuple, index.lengths.collect())) == [("text", "a", 0), ("text", "b", 2)] and index.stats().first()["mean_length"] == 1
+    again = index.delete(spark.createDataFrame([("a",)], "id string")).write(str(tmp_path / "one"))
+    assert again.num_docs() == 1 and [r["id"] for r in again.search("mills").collect()] == ["b"]
+
+
 def test_text_store(spark, tmp_path):
     """Additions show after a commit, also to who opens the folder anew; deletions hit what was added before them."""
     at = str(tmp_path / "store")
