@@ -225,6 +225,15 @@ def test_near_texts_that_share_a_passage(spark, monkeypatch):
     assert sum(n for _, n in tried) < 8000  # of 88,000
 
 
+def test_near_hot_values_count_alike(spark, monkeypatch):
+    """Whether a value counts as hot changes the way it is counted by and no result."""
+    found = []
+    for hot in ("v", "v % 2 = 0", "false"):
+        monkeypatch.setattr(near_dedup._Search, "_hot", lambda self, hot=hot: self.nodes.select(F.explode("least").alias("v")).distinct().where("true" if hot == "v" else hot))
+        found.append(sorted(map(tuple, near_dedup.near_duplicates(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 25
+
+
 def test_components_on_the_cluster(spark):
     """Star rounds and the union-find give the same roots, with loops, repeats and nulls among the edges."""
     rng = np.random.default_rng(3)
