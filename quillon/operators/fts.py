@@ -138,12 +138,12 @@ class TextIndex:
         share = F.when(F.col("bucket") < 0, F.xxhash64("id")).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // BUCKETS)))))
         spread = rows.withColumn("_part", F.pmod(share, F.lit(parts)).cast("int")).repartitionById(parts, "_part")
         spread.sortWithinPartitions("bucket", "term", "field", "id").drop("_part").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        held = _postings(spark.read.parquet(f"{path}/postings"))
+        back = spark.read.schema(T.StructType([*(f for f in rows.schema if f.name != "bucket"), T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/postings")
+        held = _postings(back)
         held.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
         if self.stored is not None:
             self.stored.write.mode("overwrite").parquet(f"{path}/stored")
-        lengths = _lengths(spark.read.parquet(f"{path}/postings"))
-        TextIndex(held, lengths, self.config).totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        TextIndex(held, _lengths(back), self.config).totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return TextIndex.read(spark, path, self.config, self.stored is not None)
 
     @staticmethod
