@@ -153,22 +153,14 @@ class Collection:
         return sum(s["level"] == 0 for s in self._meta()["segments"]) >= self.config.l0_max_segments
 
     def compact(self) -> tuple[int, int]:
-        """Merges the first l0_max_segments of level 0, as long as there are so many; (segments before, after).
-
-        A merged segment stays within segment_target_size where single segments allow it.
-        """
+        """Merges the first l0_max_segments of level 0 to one segment, as long as there are so many; (segments before, after)."""
         before = len(self._meta()["segments"])
         while True:
             meta = self._meta()
-            level0 = [s for s in meta["segments"] if s["level"] == 0][: self.config.l0_max_segments]
-            if len(level0) < self.config.l0_max_segments:
+            batch = [s for s in meta["segments"] if s["level"] == 0][: self.config.l0_max_segments]
+            if len(batch) < self.config.l0_max_segments:
                 return before, len(meta["segments"])
-            size, batch = 0, []
-            for s in level0:
-                if len(batch) >= 2 and size + s["num_vectors"] > self.config.segment_target_size:
-                    break
-                batch.append(s)
-                size += s["num_vectors"]
+            size = sum(s["num_vectors"] for s in batch)
             names = [s["segment_id"] for s in batch]
             entry = self._write_segment(self.vectors(names).select("id", "vector", "payload"), 1, size)
             meta["segments"] = [s for s in meta["segments"] if s["segment_id"] not in names] + [entry]
