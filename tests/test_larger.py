@@ -33,3 +33,9 @@ def test_compaction_leaves_no_segment_out(spark, tmp_path):
     for i in range(3):
         c.insert(spark.range(10 * i, 10 * i + 10).selectExpr("id", "array(id, 1D) AS vector"))
     assert [(r["level"], r["num_vectors"]) for r in c.router().collect()] == [(1, 30)]
+
+
+def test_whole_table_stays_in_staging(spark, tmp_path):
+    """More vectors than fill a staging table by default."""
+    assert matches(spark, "collection_list", embeddings(tmp_path, 10_050), "embeddings")
+
