@@ -39,3 +39,6 @@ def test_whole_table_stays_in_staging(spark, tmp_path):
     """More vectors than fill a staging table by default."""
     assert matches(spark, "collection_list", embeddings(tmp_path, 10_050), "embeddings")
 
+
+def test_second_half_stays_in_staging(spark, tmp_path):
+    assert matches(spark, "collection_stats", embeddings(tmp_path, 20_100), "embeddings")
