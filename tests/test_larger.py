@@ -4,10 +4,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq_files
-import pytest
 from conftest import rows_of
 
-from quillon.config import CollectionConfig
+from quillon.config import CollectionConfig, KMeansConfig
+from quillon.operators import hnsw, kmeans
 from quillon.plans import ORACLES, QUERIES
 from quillon.sources.collection import Catalog
 
@@ -42,3 +42,26 @@ def test_whole_table_stays_in_staging(spark, tmp_path):
 
 def test_second_half_stays_in_staging(spark, tmp_path):
     assert matches(spark, "collection_stats", embeddings(tmp_path, 20_100), "embeddings")
+
+
+def test_every_twentieth_row_asks(spark):
+    """Batches of searches ask 25 of 500 rows, of all rows."""
+    for name in ("knn_batch_self_excluded", "ivf_batch_search", "pq_batch", "hnsw_search_wide", "ivf_hnsw_search_wide"):
+        assert {r["query_id"] for r in QUERIES[name](spark, "/root/testdata/sf0.001").select("query_id").collect()} == set(range(0, 500, 20))
+
+
+def test_graphs_are_built_by_many_tasks(spark, tmp_path):
+    """Rows are few bytes, so they were read by one task."""
+    points = spark.range(400).selectExpr("id", "cast(id % 10 AS int) AS cluster_id", "array(cast(id AS double), 1D) AS vector")
+    built = hnsw.build(points)
+    assert built.count() == 10 and built.rdd.getNumPartitions() > 1
+
+
+def test_equal_members_have_equal_centroids(spark):
+    """fit() with tolerance 0 ends only if two rounds over the same members give the same sums."""
+    rng = np.random.default_rng(3)
+    rows = [(v.tolist(),) for v in rng.standard_normal((3000, 8))]
+    source = spark.createDataFrame(rows, "vector array<double>").repartition(8)
+    first = kmeans.fit(source, KMeansConfig(num_clusters=4, max_iterations=1000, tolerance=0.0), init=np.array([r[0] for r in rows[:4]]))
+    again, n = kmeans.lloyd_round(source, first)
+    assert n.sum() == 3000 and np.allclose(again, first, atol=1e-9)
