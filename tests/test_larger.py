@@ -7,7 +7,7 @@ import pyarrow.parquet as pq_files
 from conftest import rows_of
 
 from quillon.config import CollectionConfig, KMeansConfig
-from quillon.operators import hnsw, kmeans
+from quillon.operators import fts, hnsw, kmeans
 from quillon.plans import ORACLES, QUERIES
 from quillon.sources.collection import Catalog
 
@@ -65,3 +65,12 @@ def test_equal_members_have_equal_centroids(spark):
     first = kmeans.fit(source, KMeansConfig(num_clusters=4, max_iterations=1000, tolerance=0.0), init=np.array([r[0] for r in rows[:4]]))
     again, n = kmeans.lloyd_round(source, first)
     assert n.sum() == 3000 and np.allclose(again, first, atol=1e-9)
+
+
+def test_words_are_counted_in_small_parts():
+    """The numbers of two million words were held several times at once."""
+    words = pa.array([[f"w{i % 500}" for i in range(1000)]] * 1200)
+    batch = pa.RecordBatch.from_arrays([pa.array(["text"] * 1200), pa.array(range(1200)), words], names=["field", "id", "words"])
+    parts = [b for b in fts._counted(iter([batch])) if b.column("term").null_count == 0]
+    assert sum(b.num_rows for b in parts) == 1200 * 500 and max(sum(b.column("tf").to_pylist()) for b in parts) <= 1 << 18
+    assert {tuple(b.column("positions")[0].as_py()) for b in parts} == {(0, 500)}
