@@ -74,3 +74,7 @@ def test_words_are_counted_in_small_parts():
     parts = [b for b in fts._counted(iter([batch])) if b.column("term").null_count == 0]
     assert sum(b.num_rows for b in parts) == 1200 * 500 and max(sum(b.column("tf").to_pylist()) for b in parts) <= 1 << 18
     assert {tuple(b.column("positions")[0].as_py()) for b in parts} == {(0, 500)}
+
+
+def test_graph_recall_does_not_fall_with_the_table(spark, tmp_path):
+    assert matches(spark, "hnsw_recall", embeddings(tmp_path, 6000), "embeddings")
