@@ -95,3 +95,7 @@ def test_chunks_of_cancelling_words_have_unit_vectors(spark, tmp_path):
     pq_files.write_table(docs, f"{tmp_path}/documents.parquet")
     assert matches(spark, "embed_chunks", str(tmp_path), "documents")
     assert matches(spark, "chunk_words", str(tmp_path), "documents")
+
+
+def test_probed_graph_recall_does_not_fall_with_the_table(spark, tmp_path):
+    assert matches(spark, "ivf_hnsw_recall", embeddings(tmp_path, 6000), "embeddings")
