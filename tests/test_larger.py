@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq_files
 from conftest import rows_of
 
-from quillon.config import CollectionConfig, KMeansConfig
-from quillon.operators import fts, hnsw, kmeans
+from quillon.config import CollectionConfig, KMeansConfig, PqConfig
+from quillon.operators import fts, hnsw, kmeans, knn, pq
 from quillon.plans import ORACLES, QUERIES
 from quillon.sources.collection import Catalog
 
@@ -99,3 +99,19 @@ def test_chunks_of_cancelling_words_have_unit_vectors(spark, tmp_path):
 
 def test_probed_graph_recall_does_not_fall_with_the_table(spark, tmp_path):
     assert matches(spark, "ivf_hnsw_recall", embeddings(tmp_path, 6000), "embeddings")
+
+
+def test_quantized_recall_does_not_fall_with_the_table(spark, tmp_path):
+    assert matches(spark, "pq_refined_recall", embeddings(tmp_path, 6000), "embeddings")
+
+
+def test_candidates_are_as_many_as_queries_need(spark):
+    """With two centroids a code of four tells nothing of most neighbours; the last factor takes all vectors."""
+    rng = np.random.default_rng(5)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((900, 8)))], "id long, vector array<double>")
+    some = c.limit(20).selectExpr("id AS query_id", "vector")
+    truth = knn.batch_search(c, some, 5)
+    coded = lambda book: (pq.encode(c, book), book)
+    coarse, fine = (coded(pq.train(c, PqConfig(subvectors=m, centroids=n, max_iterations=4))) for m, n in ((1, 2), (8, 128)))
+    assert pq.enough_candidates(*fine, some, truth, 5, 2, 0.95) == 2
+    assert pq.enough_candidates(*coarse, some, truth, 5, 2, 1.0) > 16
