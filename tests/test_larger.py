@@ -6,9 +6,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq_files
+import pytest
 from conftest import rows_of
 
-from quillon.config import CollectionConfig, KMeansConfig, PqConfig
+from quillon.config import CollectionConfig, KMeansConfig, PqConfig, TextConfig
 from quillon.operators import fts, hnsw, kmeans, knn, pq
 from quillon.plans import ORACLES, QUERIES
 from quillon.sources.collection import Catalog
@@ -115,3 +116,27 @@ def test_candidates_are_as_many_as_queries_need(spark):
     coarse, fine = (coded(pq.train(c, PqConfig(subvectors=m, centroids=n, max_iterations=4))) for m, n in ((1, 2), (8, 128)))
     assert pq.enough_candidates(*fine, some, truth, 5, 2, 0.95) == 2
     assert pq.enough_candidates(*coarse, some, truth, 5, 2, 1.0) > 16
+
+
+def written_bytes(spark):
+    """Shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.fixture
+def texts(spark):
+    """2,000 texts of 200 words, of a vocabulary of 500."""
+    rng = np.random.default_rng(11)
+    return spark.createDataFrame([(i, " ".join(f"w{x:03}" for x in rng.integers(0, 500, 200))) for i in range(2000)], "id long, text string").repartition(4).localCheckpoint()
+
+
+def test_postings_are_written_without_a_shuffle(spark, texts, tmp_path):
+    """400,000 words make about 330,000 postings, which were shuffled; the words' numbers are all that is."""
+    before = written_bytes(spark)
+    index = fts.TextIndex.build(texts, {"text": "text"}, config=TextConfig(stemming=None)).write(str(tmp_path / "i"))
+    assert written_bytes(spark) - before < 500_000
+    assert index.postings.agg({"tf": "sum"}).first()[0] == 400_000 and index.terms.count() == 500
+    for file in (tmp_path / "i" / "postings").glob("*.parquet"):
+        terms = [t for t in pq_files.read_table(file).column("term").to_pylist() if t]
+        assert sum(a > b for a, b in zip(terms, terms[1:])) < 2  # a run or two
