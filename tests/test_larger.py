@@ -140,3 +140,19 @@ def test_postings_are_written_without_a_shuffle(spark, texts, tmp_path):
     for file in (tmp_path / "i" / "postings").glob("*.parquet"):
         terms = [t for t in pq_files.read_table(file).column("term").to_pylist() if t]
         assert sum(a > b for a, b in zip(terms, terms[1:])) < 2  # a run or two
+
+
+def test_many_queries_do_not_move_the_postings(spark, texts, tmp_path):
+    """Whatever the size of the terms table, which limits a broadcast by itself."""
+    index = fts.TextIndex.build(texts, {"text": "text"}, config=TextConfig(stemming=None)).write(str(tmp_path / "i"))
+    queries = spark.createDataFrame([(i, " ".join(f"w{x:03}" for x in range(i, i + 200))) for i in range(3)], "query_id long, query string").localCheckpoint()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before, shuffled = spark.conf.get(limit), written_bytes(spark)
+    spark.conf.set(limit, "-1")
+    try:
+        found = {(r["query_id"], r["id"]): r["score"] for r in index.search_many(queries, 10).collect()}
+        assert written_bytes(spark) - shuffled < 1_000_000
+    finally:
+        spark.conf.set(limit, before)
+    one = index.search(queries.where("query_id = 1").first()["query"], 10).collect()
+    assert len(found) == 30 and all(abs(found[1, r["id"]] - r["score"]) < 1e-6 for r in one)
