@@ -156,3 +156,17 @@ def test_many_queries_do_not_move_the_postings(spark, texts, tmp_path):
         spark.conf.set(limit, before)
     one = index.search(queries.where("query_id = 1").first()["query"], 10).collect()
     assert len(found) == 30 and all(abs(found[1, r["id"]] - r["score"]) < 1e-6 for r in one)
+
+
+def test_codes_are_made_in_one_python_step(spark):
+    """Steps in a chain had a Python worker each in every task: assignment, residual and codes."""
+    rng = np.random.default_rng(2)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "id long, vector array<double>").localCheckpoint()
+    index = pq.IvfPq.build(c, 4, PqConfig(subvectors=4, centroids=16, refine_candidates=1000))
+    assert index.codes._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    centers, rows = index.centers, index.codes.collect()
+    v = np.array([r["vector"] for r in rows])
+    own = ((v[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+    assert [r["cluster_id"] for r in rows] == own.tolist()
+    assert [r["codes"] for r in rows] == index.codebook.encode(v - centers[own]).tolist()
+    assert [r["id"] for r in index.search(v[7].tolist(), 5).collect()] == [r["id"] for r in knn.search(c, v[7].tolist(), 5, "l2").collect()]
